@@ -40,7 +40,7 @@ def strip_suffix(df: DataFrame, rules: DataFrame, domain: str = "domain") -> Dat
     suffix_labels = F.when(F.col(host).rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), 0).otherwise(
         F.coalesce(exempt, taken)
     )
-    kept = F.substring_index(host, ".", parts - suffix_labels)
+    kept = F.call_function("substring_index", F.col(host), F.lit("."), parts - suffix_labels)
     stripped = F.when(suffix_labels == 0, F.col(host)).otherwise(kept)
     columns = [stripped.alias(domain) if c == domain else F.col(c) for c in df.columns]
     return out.select(*columns)
@@ -67,7 +67,9 @@ def clean(df: DataFrame, rules: DataFrame, order: str | None = None) -> DataFram
     return dedup_benign_wins(stripped, order)
 
 
-def cap_per_class(df: DataFrame, cap: int = 500_000, label: str = "label", order: str = "ord"):
+def cap_per_class(
+    df: DataFrame, cap: int = 500_000, label: str = "label", order: str = "ord"
+) -> DataFrame:
     """The first ``cap`` rows of each class in ``order``.
 
     Counts per stretch of ``order`` locate each class's last admitted value;
@@ -77,7 +79,8 @@ def cap_per_class(df: DataFrame, cap: int = 500_000, label: str = "label", order
     stretch = [F.shiftright(order, 32), F.shiftright(order, 16)]
     last = cutoffs(df, [label], stretch, F.col(order), F.lit(cap))
     bounded = df.join(F.broadcast(last), label, "left")
-    return bounded.where(F.col("cutoff").isNull() | (F.col(order) <= F.col("cutoff"))).drop("cutoff")
+    admitted = F.col("cutoff").isNull() | (F.col(order) <= F.col("cutoff"))
+    return bounded.where(admitted).select(*df.columns)
 
 
 def merge_classes(benign: DataFrame, dga: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 
 def hash_of(keys: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k) for k in keys], F.lit(str(seed))))
@@ -75,19 +77,17 @@ def stratified_split(
     order, last = _hash_cutoffs(df, [label], keys or ["domain"], seed, quota)
     placed = df.withColumn("_order", order).join(F.broadcast(last), label, "left")
     in_test = F.coalesce(F.col("_order") <= F.col("cutoff"), F.lit(False))
-    return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop(
-        "_order", "cutoff"
-    )
+    return placed.select(*df.columns, F.when(in_test, "test").otherwise("train").alias("split"))
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (all, if there are no more)."""
-    order, last = _hash_cutoffs(df, [], keys or ["domain"], seed, F.lit(n))
     if n <= 0:
         return df.limit(0)
+    order, last = _hash_cutoffs(df, [], keys or ["domain"], seed, F.lit(n))
     placed = df.withColumn("_order", order).join(F.broadcast(last), F.lit(True), "left")
     keep = F.col("cutoff").isNull() | (F.col("_order") <= F.col("cutoff"))
-    return placed.where(keep).drop("_order", "cutoff")
+    return placed.where(keep).select(*df.columns)
 
 
 def _hex_digits(rows: int, rows_per_bucket: int = 50_000) -> int:
@@ -123,8 +123,7 @@ def hash_rank(
         .withColumn("_b", F.substring("_h", 1, digits))
         .withColumn("_place", F.row_number().over(within))
         .join(starts, [label, "_b"])
-        .withColumn("rank", F.col("_start") + F.col("_place"))
-        .drop("_h", "_b", "_place", "_start")
+        .select(*df.columns, (F.col("_start") + F.col("_place")).alias("rank"))
     )
 
 
@@ -147,7 +146,8 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median")
     keys = by or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
     sketch = F.percentile_approx(value, [0.495, 0.505], 10_000)
-    bracket = rows.groupBy(*keys).agg(sketch.alias("_br"), F.count("*").alias("_total"))
+    # Staged, so the join below broadcasts it by its measured size.
+    bracket = stage(rows.groupBy(*keys).agg(sketch.alias("_br"), F.count("*").alias("_total")))
     joined = rows.join(bracket, keys)
     low, high, v = F.col("_br")[0], F.col("_br")[1], F.col(value)
     # Everything below the bracket collapses into one row per group.

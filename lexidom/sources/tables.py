@@ -21,7 +21,9 @@ def read_split(
     ddl: str = LABELLED_DDL,
 ) -> DataFrame:
     """Labelled rows, with a partition filter when ``split`` is given."""
-    df = spark.read.schema(f"{ddl}, split STRING").option("header", True).format(fmt).load(path)
+    # enforceSchema=False: a CSV whose header disagrees with the DDL is an error.
+    reader = spark.read.schema(f"{ddl}, split STRING").option("header", True)
+    df = reader.option("enforceSchema", False).format(fmt).load(path)
     return df if split is None else df.where(F.col("split") == split).drop("split")
 
 
