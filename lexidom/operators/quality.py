@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import FEATURES_6
+from ..session import stage
 
 # Fixed value: slack of the range rules.
 TOLERANCE = 1e-9
@@ -83,8 +84,12 @@ def validation_report(
 def split_quarantine(
     features: DataFrame, report: DataFrame, chunk: str = "chunk"
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of valid chunks, rows of failing chunks with their reason)."""
-    verdict = report.select(chunk, "valid", "reason")
+    """(rows of valid chunks, rows of failing chunks with their reason).
+
+    The verdicts are staged: both sides read them, and their size decides how
+    they are joined.
+    """
+    verdict = stage(report.select(chunk, "valid", "reason"), "verdicts")
     joined = features.join(verdict, chunk)
     valid = joined.where("valid").drop("valid", "reason")
     return valid, joined.where("not valid").drop("valid")

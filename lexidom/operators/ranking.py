@@ -16,43 +16,44 @@ def hash_of(keys: list[str], seed: int) -> Column:
 
 
 def cutoffs(
-    df: DataFrame, by: list[str], buckets: list[Column], order: Column, quota: Column
+    df: DataFrame, by: list[str], buckets: list[Column], order: Column, *quotas: Column,
+    few_classes: bool = True,
 ) -> DataFrame:
-    """For each class, the ``order`` value of its quota-th row (column cutoff).
+    """For each class and quota q, the q-th smallest ``order`` value (cutoff).
 
     ``buckets`` are ever finer coarsenings of ``order``. Each level is one
-    partial aggregate over the bucket that still holds the quota-th row, so
-    the final ranking sees one finest bucket per class. Classes with fewer
-    rows than the quota get no row. ``quota`` may use ``total``, the class
-    size. ``order`` must be unique within a class.
+    partial aggregate over the bucket that still holds the wanted row, so the
+    last step sees the distinct values of one finest bucket per class. Classes
+    with fewer rows than a quota get no row for it. A quota may use ``total``,
+    the class size. The located buckets, a row per class and quota, are
+    broadcast if there are ``few_classes``.
     """
     # A constant class stands in for "no classes".
     keys = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     rows = rows.select(*keys, order.alias("_o"), *[b.alias(f"_b{i}") for i, b in enumerate(buckets)])
+    rows = rows.where(F.col("_o").isNotNull())
+    located = lambda t: F.broadcast(t) if few_classes else t
     target: DataFrame | None = None
-    for i in range(len(buckets)):
-        inside = rows if target is None else rows.join(
-            F.broadcast(target), [*keys, *[f"_b{j}" for j in range(i)]]
-        )
-        carried = [f"_b{j}" for j in range(i)]
-        need = [] if target is None else [F.first("_need").alias("_need")]
-        counts = inside.groupBy(*keys, *carried, f"_b{i}").agg(F.count("*").alias("_n"), *need)
-        running = Window.partitionBy(*keys).orderBy(f"_b{i}").rowsBetween(
+    levels = [f"_b{i}" for i in range(len(buckets))] + ["_o"]
+    for i, level in enumerate(levels):
+        above = levels[:i]
+        if target is None:
+            counts = rows.groupBy(*keys, level).agg(F.count("*").alias("_n"))
+            counts = counts.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
+            wanted = F.posexplode(F.array(*[q.cast("long") for q in quotas])).alias("_q", "_need")
+            counts = counts.select("*", wanted)
+        else:
+            inside = rows.join(located(target), [*keys, *above])
+            counts = inside.groupBy(*keys, "_q", "_need", *above, level).agg(F.count("*").alias("_n"))
+        running = Window.partitionBy(*keys, "_q").orderBy(level).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         counts = counts.withColumn("_upto", F.sum("_n").over(running))
-        if target is None:
-            counts = counts.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
-            counts = counts.withColumn("_need", quota.cast("long"))
         counts = counts.where("_need <= _upto and _need > _upto - _n")
-        target = counts.select(
-            *keys, *carried, f"_b{i}", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")
-        )
-    inside = rows.join(F.broadcast(target), [*keys, *[f"_b{j}" for j in range(len(buckets))]])
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
-    found = inside.withColumn("_place", place).where("_place = _need")
-    return found.select(*by, F.col("_o").alias("cutoff"))
+        rest = (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")
+        target = counts.select(*keys, "_q", *above, level, rest)
+    return target.select(*by, F.col("_o").alias("cutoff"))
 
 
 def _hash_cutoffs(df: DataFrame, by: list[str], keys: list[str], seed: int, quota: Column):
@@ -136,36 +137,28 @@ def stratified_folds(
     return ranked.withColumn("fold", ((F.col("rank") - 1) % n_splits).cast("int")).drop("rank")
 
 
+# Buckets per level when a value range is searched; a power of two, so that
+# finer buckets nest in coarser ones without rounding.
+_FAN = 4096
+
+
 def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group (mean of the middle two for even counts).
 
-    An error-bounded sketch brackets the median, rows below the bracket are
-    counted, and only the distinct values inside the bracket are ranked. One
-    row per group: the groups are the run configurations of a report.
+    The value range of a group is searched by counting, level by level; equal
+    values are counted, not ranked, so neither a large group nor a hot value
+    meets in one task.
     """
     keys = by or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
-    sketch = F.percentile_approx(value, [0.495, 0.505], 10_000)
-    # Staged, so the join below broadcasts it by its measured size.
-    bracket = stage(rows.groupBy(*keys).agg(sketch.alias("_br"), F.count("*").alias("_total")))
-    joined = rows.join(bracket, keys)
-    low, high, v = F.col("_br")[0], F.col("_br")[1], F.col(value)
-    # Everything below the bracket collapses into one row per group.
-    slot = F.when(v >= low, v)
-    counts = (
-        joined.where(v <= high)
-        .groupBy(*keys, slot.alias("_v"))
-        .agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
-    )
-    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    counts = counts.withColumn("_upto", F.sum("_n").over(running))
-    lower = F.floor((F.col("_total") + 1) / 2)
-    upper = F.floor(F.col("_total") / 2) + 1
-    held = lambda place: (place <= F.col("_upto")) & (place > F.col("_upto") - F.col("_n"))
-    middle = counts.groupBy(*keys).agg(
-        ((F.max(F.when(held(lower), F.col("_v"))) + F.max(F.when(held(upper), F.col("_v")))) / 2)
-        .alias(out)
+    ranges = stage(rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    few = ranges.count() <= 100_000
+    placed = rows.join(F.broadcast(ranges) if few else ranges, keys)
+    width = F.col("_hi") - F.col("_lo")
+    x = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
+    levels = [F.floor(x * float(_FAN**i)) for i in (1, 2, 3)]
+    middle = cutoffs(
+        placed, keys, levels, F.col(value),
+        F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1, few_classes=few,
     )
-    return middle.select(*by, out)
+    return middle.groupBy(*keys).agg(F.avg("cutoff").alias(out)).select(*by, out)
