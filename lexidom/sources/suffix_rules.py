@@ -36,7 +36,7 @@ def read_suffix_rules(spark: SparkSession, path: str, private: bool = False) ->
     Privately operated suffixes (the marked second section) count only with
     ``private``; the whole file is one small text row while its sections split.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     body = F.col("value") if private else F.element_at(
         F.split("value", "===BEGIN PRIVATE DOMAINS==="), 1
     )
