@@ -43,7 +43,7 @@ def main() -> None:
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     lines = stage(queries.raw_lines(spark, SF_DIR))
     rules = suffix_rules.starter_rules(spark)
-    docs = inputs.table(spark, SF_DIR, "documents")
+    docs = inputs.documents(spark, SF_DIR)
     forest = models.random_forest(FEATURES_5, 50)
     fitted = forest.fit(train)
 

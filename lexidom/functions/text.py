@@ -11,6 +11,9 @@ from pyspark.sql import Column, functions as F
 # Fixed value: probability of a trigram the table does not know.
 UNKNOWN_TRIGRAM_P = 1e-10
 
+# Every white-space character; none lies beyond U+3000.
+WHITE_SPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
+
 
 @lru_cache(maxsize=None)
 def _digit_class() -> str:
@@ -51,19 +54,24 @@ def char_grams(domain: Column, size: int = 3) -> Column:
     return F.when(n >= size, grams).otherwise(F.array().cast("array<string>"))
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def normalized(domain: Column) -> Column:
     """Scoring-time form: surrounding white space removed, lower case."""
-    return F.lower(F.regexp_replace(domain, r"(?U)^\s+|\s+$", ""))
+    return F.lower(stripped(domain))
 
 
 def host_of(text: Column) -> Column:
     """Host part of a host, host:port or URL, without trailing dots."""
+    plain = ~text.rlike(r"[/?#@:\s。．｡]|\.$")  # nearly every row
     host = F.regexp_replace(text, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
     host = F.regexp_extract(host, r"^([^/?#]*)", 1)
     host = F.regexp_replace(host, r"^.*@", "")
     host = F.regexp_replace(host, r":\d*$", "")
     host = F.translate(F.trim(host), "。．｡", "...")
-    return F.regexp_replace(host, r"\.+$", "")
+    return F.when(plain, text).otherwise(F.regexp_replace(host, r"\.+$", ""))
 
 
 def encode_threat(threat: Column) -> Column:

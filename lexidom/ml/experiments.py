@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.ranking import stratified_folds
 from ..operators.run_reports import paired_t, score_summary
 from ..schema import FEATURES_5, FEATURES_6
-from ..session import stage
+from ..session import spread, stage
 from .models import evaluate, make_model
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
@@ -94,6 +94,7 @@ def _fold_scores(
     rows = []
     for i in range(n_splits):
         train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        train = spread(train, (keys or ["domain"])[0])
         for name, model in models.items():
             scores = _fit_and_score(train, test, **model)
             rows.append({"fold": i, "model": name, "fit_time": scores["train_time_sec"], **scores})

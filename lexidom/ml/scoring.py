@@ -54,12 +54,12 @@ def load_or_train(
     return PipelineModel.load(model_path), spark.read.parquet(info_path)
 
 
-def score_domains(requests: DataFrame, model: PipelineModel, lexicon: Lexicon, domain: str = "domain"):
-    """One verdict per distinct normalized domain, blanks skipped.
+def request_features(requests: DataFrame, lexicon: Lexicon, domain: str = "domain") -> DataFrame:
+    """domain, n_requests and the five features per distinct normalized domain.
 
-    Returns domain, n_requests, label, probability, p_dga and the features as
-    a struct. Repeated requests fold on the map side before any feature is
-    computed, so a domain asked for in a third of all rows costs one row.
+    Blanks are skipped. Repeated requests fold on the map side before any
+    feature is computed, so a domain asked for in a third of all rows costs
+    one row.
     """
     asked = (
         requests.select(normalized(F.col(domain)).alias("domain"))
@@ -67,8 +67,15 @@ def score_domains(requests: DataFrame, model: PipelineModel, lexicon: Lexicon, d
         .groupBy("domain")
         .agg(F.count("*").alias("n_requests"))
     )
-    features = extract_features(asked, lexicon, key="domain", levenshtein=False)
-    return predict(model, features).select(
+    return extract_features(asked, lexicon, key="domain", levenshtein=False)
+
+
+def score_domains(
+    requests: DataFrame, model: PipelineModel, lexicon: Lexicon, domain: str = "domain"
+) -> DataFrame:
+    """One verdict per distinct normalized domain: domain, n_requests, label,
+    probability of that label, p_dga, and the features as a struct."""
+    return predict(model, request_features(requests, lexicon, domain)).select(
         "domain",
         "n_requests",
         decode_label(F.col("prediction")).alias("label"),
@@ -78,7 +85,9 @@ def score_domains(requests: DataFrame, model: PipelineModel, lexicon: Lexicon, d
     )
 
 
-def score_rows(requests: DataFrame, model: PipelineModel, lexicon: Lexicon, domain: str = "domain"):
+def score_rows(
+    requests: DataFrame, model: PipelineModel, lexicon: Lexicon, domain: str = "domain"
+) -> DataFrame:
     """One verdict per request row, with every request column kept.
 
     The verdicts are staged, so the join back sees their measured size:

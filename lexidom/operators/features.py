@@ -14,33 +14,45 @@ from .reference_tables import Lexicon
 SALTS = 16
 
 
-def explode_substrings(df: DataFrame, domain: str, max_length: int) -> DataFrame:
-    """Every substring of up to ``max_length`` characters, plus one empty one.
+def candidate_words(df: DataFrame, domain: str, lexicon: Lexicon) -> DataFrame:
+    """The substrings of each domain that can be words, by their beginnings.
 
-    Adds _end (exclusive), _len and gram. Two generators over number ranges
-    and one substring call, all inside generated code.
+    Adds _end (exclusive), _len, gram and p. Each position looks its next
+    three characters up once; that gives the trigram's probability and the
+    only word lengths worth a second lookup. The probability rides on a row of
+    length 0, which positions with a known trigram, and the first one, emit.
     """
     n = F.length(domain)
-    starts = df.withColumn("_start", F.explode(F.sequence(F.lit(0), n)))
-    left = n - F.col("_start")
-    # Only the start just past the end yields the empty gram.
-    lengths = F.sequence(F.least(F.lit(1), left), F.least(left, F.lit(max_length)))
-    spans = starts.withColumn("_len", F.explode(lengths))
-    # Never null, which spares the join an extra filter on the substring.
-    gram = F.coalesce(F.substring(F.col(domain), F.col("_start") + 1, F.col("_len")), F.lit(""))
-    return spans.withColumn("gram", gram).withColumn("_end", F.col("_start") + F.col("_len"))
+    none = F.array().cast("array<int>")
+    position = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    at = df.withColumn("_start", F.explode(position))
+    # Never null, which spares the joins an extra filter on the substring.
+    ahead = lambda size: F.coalesce(F.substring(F.col(domain), F.col("_start") + 1, size), F.lit(""))
+    starts = lexicon.starts.select(F.col("gram").alias("_three"), "p", "lengths")
+    found = at.withColumn("_three", ahead(F.lit(3))).join(
+        F.broadcast(starts) if lexicon.starts_small else starts, "_three", "left"
+    )
+    own = F.when(F.col("p").isNotNull() | (F.col("_start") == 0), F.array(F.lit(0))).otherwise(none)
+    short = F.array(*[F.lit(i) for i in lexicon.short_lengths]).cast("array<int>")
+    lengths = F.concat(own, short, F.coalesce("lengths", none))
+    spans = found.withColumn("_len", F.explode(lengths)).where(F.col("_len") <= n - F.col("_start"))
+    return (
+        spans.withColumn("gram", ahead(F.col("_len")))
+        .withColumn("_end", F.col("_start") + F.col("_len"))
+        .drop("_three", "lengths", "_start")
+    )
 
 
-def find_hits(spans: DataFrame, lexicon: Lexicon, salt_key: str) -> DataFrame:
-    """Inner lookup of each gram: broadcast when measured small, else salted.
+def find_words(spans: DataFrame, lexicon: Lexicon, salt_key: str) -> DataFrame:
+    """Inner lookup of each candidate: broadcast when measured small, else salted.
 
-    Short grams occur in almost every domain, so the shuffled form spreads
-    each gram over several copies of the lookup row.
+    Short words occur in almost every domain, so the shuffled form spreads
+    each word over several copies of its lookup row.
     """
-    if lexicon.small:
-        return spans.join(F.broadcast(lexicon.frame), "gram")
+    if lexicon.words_small:
+        return spans.join(F.broadcast(lexicon.words), "gram")
     salted = spans.withColumn("_salt", F.pmod(F.xxhash64(salt_key), F.lit(SALTS)).cast("int"))
-    copies = lexicon.frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = lexicon.words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, ["gram", "_salt"]).drop("_salt")
 
 
@@ -59,8 +71,12 @@ def covered_length(hits: Column) -> Column:
         gap = F.array_repeat(last, hit["end"] - F.size(best))
         return F.concat(known, gap, F.array(F.greatest(last, with_hit)))
 
-    best = F.aggregate(F.array_sort(hits), F.array(F.lit(0)), extend)
-    return F.element_at(best, -1)
+    best = F.aggregate(F.sort_array(hits), F.array(F.lit(0)), extend)
+    return (
+        F.when(F.size(hits) == 0, F.lit(0))
+        .when(F.size(hits) == 1, F.get(hits, F.lit(0))["len"])
+        .otherwise(F.element_at(best, -1))
+    )
 
 
 def _lexical(
@@ -73,23 +89,22 @@ def _lexical(
     the same stage.
     """
     carried = [c for c in rows.columns if c not in group]
-    hits = find_hits(
-        explode_substrings(rows, domain, lexicon.max_length), lexicon, salt_key
-    )
-    word_len = F.when(F.col("word"), F.col("_len"))
+    hits = find_words(candidate_words(rows, domain, lexicon), lexicon, salt_key)
+    is_word = F.col("_len") > 0
     span = F.struct(F.col("_end").alias("end"), F.col("_len").alias("len"))
+    p = F.when(~is_word, F.col("p"))
     folded = hits.groupBy(*group).agg(
         *[F.first(c).alias(c) for c in carried],
-        F.max(word_len).alias("_longest"),
-        F.collect_list(F.when(F.col("word"), span)).alias("_words"),
-        F.sum("p").alias("_p_sum"),
-        F.count("p").alias("_p_known"),
+        F.max("_len").alias("_longest"),
+        F.collect_list(F.when(is_word, span)).alias("_words"),
+        F.sum(p).alias("_p_sum"),
+        F.count(p).alias("_p_known"),
     )
     n = F.length(domain)
     grams = n - 2
     unknown = (grams - F.col("_p_known")) * UNKNOWN_TRIGRAM_P
     mean_p = (F.coalesce(F.col("_p_sum"), F.lit(0.0)) + unknown) / grams
-    share = lambda chars: F.when(n == 0, F.lit(0.0)).otherwise(F.coalesce(chars, F.lit(0)) / n)
+    share = lambda chars: F.when(n == 0, F.lit(0.0)).otherwise(chars / n)
     return (
         folded.withColumn("meaningful_word_ratio", share(covered_length(F.col("_words"))))
         .withColumn("pronounceability", F.when(n < 3, F.lit(0.0)).otherwise(mean_p))

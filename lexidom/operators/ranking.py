@@ -139,7 +139,7 @@ def stratified_folds(
 
 # Buckets per level when a value range is searched; a power of two, so that
 # finer buckets nest in coarser ones without rounding.
-_FAN = 4096
+_FAN = 65_536
 
 
 def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
@@ -156,7 +156,7 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median")
     placed = rows.join(F.broadcast(ranges) if few else ranges, keys)
     width = F.col("_hi") - F.col("_lo")
     x = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    levels = [F.floor(x * float(_FAN**i)) for i in (1, 2, 3)]
+    levels = [F.floor(x * float(_FAN**i)) for i in (1, 2)]
     middle = cutoffs(
         placed, keys, levels, F.col(value),
         F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1, few_classes=few,

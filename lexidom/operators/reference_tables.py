@@ -70,43 +70,48 @@ def dictionary_from_texts(
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Words and trigrams as one lookup table keyed by ``gram``.
+    """The two lookup tables of the features.
 
-    The empty gram is a row of its own: it matches once per domain, so domains
-    without any hit survive the inner lookup join.
+    ``starts`` is keyed by three characters: the trigram's probability p, and
+    the lengths of the words that begin so. It is bounded by the alphabet, and
+    tells which of a domain's substrings can be words at all. ``words`` holds
+    the words, and the empty string as a row that every domain matches.
+    ``short_lengths`` are the word lengths below three that occur.
     """
 
-    frame: DataFrame
-    max_length: int
-    small: bool
+    starts: DataFrame
+    words: DataFrame
+    short_lengths: list[int]
+    starts_small: bool
+    words_small: bool
 
 
 def build_lexicon(
     dictionary: DataFrame | None, trigrams: DataFrame | None, min_word_len: int = 1
 ) -> Lexicon:
-    """Combine the tables, stage them and measure them for the lookup join."""
-    some = dictionary if dictionary is not None else trigrams
-    spark = some.sparkSession
-    parts = [spark.createDataFrame([("", None, None)], "gram STRING, word BOOLEAN, p DOUBLE")]
-    if dictionary is not None:
-        parts.append(
-            dictionary.where(F.length("word") >= max(min_word_len, 1)).select(
-                F.col("word").alias("gram"), F.lit(True).alias("word"),
-                F.lit(None).cast("double").alias("p"),
-            )
-        )
-    if trigrams is not None:
-        parts.append(
-            trigrams.where(F.length("gram") == 3).select(
-                "gram", F.lit(None).cast("boolean").alias("word"), "p"
-            )
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.groupBy("gram").agg(
-        F.coalesce(F.bool_or("word"), F.lit(False)).alias("word"), F.max("p").alias("p")
+    """Derive the lookup tables, stage them, and measure them for the joins."""
+    spark = (dictionary if dictionary is not None else trigrams).sparkSession
+    if dictionary is None:
+        dictionary = spark.createDataFrame([], "word STRING")
+    if trigrams is None:
+        trigrams = spark.createDataFrame([], "gram STRING, p DOUBLE")
+    n = F.length("word")
+    kept = dictionary.where(n >= max(min_word_len, 1)).select("word").distinct()
+    words = stage(
+        kept.select(F.col("word").alias("gram"), n.alias("_n")).unionByName(
+            spark.createDataFrame([("", 0)], "gram STRING, _n INT")
+        ),
+        "words",
+    )
+    begins = (
+        words.where("_n >= 3")
+        .groupBy(F.substring("gram", 1, 3).alias("gram"))
+        .agg(F.sort_array(F.collect_set("_n")).alias("lengths"))
+    )
+    known = trigrams.where(F.length("gram") == 3).select("gram", "p")
+    starts = stage(known.join(begins, "gram", "full_outer"), "starts")
+    short = [r["_n"] for r in words.where("_n in (1, 2)").select("_n").distinct().collect()]
+    return Lexicon(
+        starts, words.select("gram"), sorted(short),
+        fits_broadcast(starts, "gram"), fits_broadcast(words, "gram"),
     )
-    frame = stage(merged, "lexicon")
-    longest = frame.agg(F.max(F.length("gram"))).first()[0]
-    return Lexicon(frame, max(longest, 1), fits_broadcast(frame, "gram"))

@@ -15,12 +15,17 @@ from ..operators.ordering import assign_ord
 from ..operators.reference_tables import (
     Lexicon, build_lexicon, dictionary_from_texts, fit_trigrams,
 )
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def generated_twin(word: str = "domain"):
     """A hash of the word, mostly letters, about as long as the word."""
     return F.expr(
@@ -30,8 +35,8 @@ def generated_twin(word: str = "domain"):
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """domain, label: benign words and generated twins, one row per domain."""
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("domain"))
-    benign = words.where(F.length("domain").between(3, 63)).distinct()
+    texts = documents(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("domain"))
+    benign = texts.where(F.length("domain").between(3, 63)).distinct()
     both = merge_classes(
         benign.withColumn("label", F.lit(0)),
         benign.select(generated_twin().alias("domain"), F.lit(1).alias("label")),
@@ -44,7 +49,7 @@ def ordered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary_from_texts(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    return dictionary_from_texts(documents(spark, sf_dir).where("lang = 'en'"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> Lexicon:

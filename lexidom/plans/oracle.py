@@ -2,7 +2,40 @@
 
 from __future__ import annotations
 
-# name -> (CTEs it reads, query). Recursive where the last line says so.
+def _lexical(source: str, prefix: str = "") -> dict[str, tuple[list[str], str]]:
+    """Dictionary and trigram features of a CTE with a domain column."""
+    x = prefix
+    return {
+        f"{x}pron": ([source, "tri"], f"""
+        SELECT domain, CASE WHEN length(domain) < 3 THEN 0.0::DOUBLE
+                            ELSE avg(coalesce(p, 1e-10::DOUBLE)) END AS pronounceability
+        FROM (SELECT domain, substr(domain, i, 3) AS gram
+              FROM (SELECT domain, unnest(range(1, greatest(length(domain) - 1, 2))) AS i
+                    FROM {source})) g
+        LEFT JOIN tri USING (gram) GROUP BY domain"""),
+        f"{x}hits": ([source, "dic"], f"""
+        SELECT domain, s + l AS e, l
+        FROM (SELECT domain, s, unnest(range(1, length(domain) - s + 1)) AS l
+              FROM (SELECT domain, unnest(range(0, length(domain))) AS s FROM {source})) x
+        JOIN dic ON dic.word = substr(domain, s + 1, l)"""),
+        f"{x}ends": ([f"{x}hits"], f"SELECT domain, e, list(l) AS ls FROM {x}hits GROUP BY domain, e"),
+        # Recursive: the best cover of the first j characters, for growing j.
+        f"{x}cov": ([source, f"{x}ends"], f"""
+        SELECT domain, length(domain) AS n, 0::BIGINT AS j, [0::BIGINT] AS best FROM {source}
+        UNION ALL
+        SELECT c.domain, c.n, c.j + 1, list_append(c.best, greatest(c.best[c.j + 1], coalesce(
+          list_max(list_transform(ends.ls, lambda l: c.best[c.j + 2 - l] + l)), 0)))
+        FROM {x}cov c LEFT JOIN {x}ends ends ON ends.domain = c.domain AND ends.e = c.j + 1
+        WHERE c.j < c.n"""),
+        f"{x}words": ([f"{x}cov", f"{x}hits"], f"""
+        SELECT domain, best[n + 1]::DOUBLE / n AS meaningful_word_ratio,
+               coalesce(longest, 0)::DOUBLE / n AS lms_percentage
+        FROM {x}cov LEFT JOIN (SELECT domain, max(l) AS longest FROM {x}hits GROUP BY domain)
+        USING (domain) WHERE j = n"""),
+    }
+
+
+# name -> (CTEs it reads, query).
 CTES: dict[str, tuple[list[str], str]] = {
     "tok": ([], """
         SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w
@@ -24,29 +57,6 @@ CTES: dict[str, tuple[list[str], str]] = {
     "tri": (["gram_counts"], """
         SELECT gram, cnt, cnt::DOUBLE / (SELECT sum(cnt) FROM gram_counts)::DOUBLE AS p
         FROM gram_counts"""),
-    "pron": (["dom", "tri"], """
-        SELECT domain, avg(coalesce(p, 1e-10::DOUBLE)) AS pronounceability
-        FROM (SELECT domain, substr(domain, i, 3) AS gram
-              FROM (SELECT domain, unnest(range(1, length(domain) - 1)) AS i FROM dom)) g
-        LEFT JOIN tri USING (gram) GROUP BY domain"""),
-    "hits": (["dom", "dic"], """
-        SELECT domain, s + l AS e, l
-        FROM (SELECT domain, s, unnest(range(1, length(domain) - s + 1)) AS l
-              FROM (SELECT domain, unnest(range(0, length(domain))) AS s FROM dom)) x
-        JOIN dic ON dic.word = substr(domain, s + 1, l)"""),
-    "ends": (["hits"], "SELECT domain, e, list(l) AS ls FROM hits GROUP BY domain, e"),
-    "cov": (["dom", "ends"], """
-        SELECT domain, length(domain) AS n, 0::BIGINT AS j, [0::BIGINT] AS best FROM dom
-        UNION ALL
-        SELECT c.domain, c.n, c.j + 1, list_append(c.best, greatest(c.best[c.j + 1], coalesce(
-          list_max(list_transform(ends.ls, lambda l: c.best[c.j + 2 - l] + l)), 0)))
-        FROM cov c LEFT JOIN ends ON ends.domain = c.domain AND ends.e = c.j + 1
-        WHERE c.j < c.n"""),
-    "words": (["cov", "hits"], """
-        SELECT domain, best[n + 1]::DOUBLE / n AS meaningful_word_ratio,
-               coalesce(longest, 0)::DOUBLE / n AS lms_percentage
-        FROM cov LEFT JOIN (SELECT domain, max(l) AS longest FROM hits GROUP BY domain) USING (domain)
-        WHERE j = n"""),
     "simple": (["ordd"], """
         SELECT domain, label, ord, length(domain)::DOUBLE AS length,
                length(regexp_replace(domain, '[^0-9]', '', 'g'))::DOUBLE / length(domain)
@@ -115,6 +125,12 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT domain, min(label) AS label FROM (
           SELECT regexp_replace(lower(domain), '[.](co[.]uk|de|fr|com)$', '') AS domain, label
           FROM raw_labelled) GROUP BY domain"""),
+    "requests": ([], """
+        SELECT w AS domain, count(*) AS n_requests FROM (
+          SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w
+          FROM conversations) GROUP BY w"""),
+    **_lexical("dom"),
+    **_lexical("requests", "r_"),
     # Run metrics read from the event stream.
     "runs0": ([], """
         SELECT CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 4

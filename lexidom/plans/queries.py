@@ -17,9 +17,9 @@ from ..ml import experiments, models, scoring
 from ..operators import cleaning, compare, evaluation, features, ordering, quality, ranking
 from ..operators import reference_tables, run_reports
 from ..schema import FEATURES_5, FEATURES_6
-from ..session import scratch_path, stage
+from ..session import scratch_path, spread, stage
 from ..sources import raw_log, run_metrics, suffix_rules, tables
-from ..streaming.scoring import read_requests, score_stream
+from ..streaming.scoring import read_requests, score_stream, write_batches
 from . import inputs
 from .inputs import table
 from .oracle import with_ctes
@@ -55,7 +55,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words of documents marked toxic are reported as dga, so the same domain
     turns up under both labels.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = inputs.documents(spark, sf_dir)
     marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     words = docs.select("doc_id", "lang", F.explode(tokens(F.col("text"))).alias("w")).join(
         marks, "doc_id", "left"
@@ -310,7 +310,7 @@ def trigram_table_train(spark, sf_dir):
 
 
 def _ordered_and_lexicon(spark, sf_dir):
-    ordered = stage(inputs.ordered_domains(spark, sf_dir))
+    ordered = inputs.ordered_domains(spark, sf_dir)
     return ordered, inputs.lexicon(spark, sf_dir, ordered)
 
 
@@ -798,64 +798,90 @@ def fold_score_summary(spark, sf_dir):
     return _rounded_report(run_reports.score_summary(scores, ["model"], ["accuracy", "f1"]), ["model"])
 
 
+# ---------------------------------------------------------------- scoring
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    words = F.explode(tokens(F.col("text"))).alias("domain")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words)
+
+
+_REQUEST_SQL = """SELECT domain, n_requests, length(domain)::DOUBLE AS length,
+         length(regexp_replace(domain, '[^0-9]', '', 'g'))::DOUBLE / length(domain) AS numerical_ratio,
+         meaningful_word_ratio, round(pronounceability, 12) AS pronounceability, lms_percentage
+       FROM requests JOIN r_words USING (domain) JOIN r_pron USING (domain)"""
+
+
+@query("score_features", _REQUEST_SQL, "requests r_words r_pron")
+def score_features(spark, sf_dir):
+    _, lexicon = _ordered_and_lexicon(spark, sf_dir)
+    rows = scoring.request_features(_requests(spark, sf_dir), lexicon)
+    return _round(rows, 12, "pronounceability")
+
+
+@query("stream_features", _REQUEST_SQL, "requests r_words r_pron")
+def stream_features(spark, sf_dir):
+    """The same through a stream of several micro-batches."""
+    _, lexicon = _ordered_and_lexicon(spark, sf_dir)
+    source, out = scratch_path(spark, "requests"), scratch_path(spark, "features")
+    _requests(spark, sf_dir).select("domain").repartition(4, "domain").write.parquet(source)
+    stream = read_requests(spark, source, "domain STRING", max_files=2)
+    features_of = lambda batch: scoring.request_features(batch, lexicon)
+    write_batches(stream, features_of, out, scratch_path(spark, "stream")).awaitTermination()
+    rounded = _round(spark.read.parquet(out).drop("batch"), 12, "pronounceability")
+    return rounded.groupBy("domain", *FEATURES_5).agg(F.sum("n_requests").alias("n_requests"))
+
+
 # ------------------------------------------------- fitted models (no SQL)
 
-# Forests of the registered queries; the functions default to larger ones.
-_TREES, _DEPTH, _FOLDS = 20, 10, 5
+# Queries that fit many forests use smaller ones than the functions' defaults.
+_SWEEP, _TREES = (50, 100, 200), 20
 
 
 def _train_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     split = stage(ranking.stratified_split(stage(all_features(spark, sf_dir))), "split-features")
-    return split.where("split = 'train'"), split.where("split = 'test'")
+    return spread(split.where("split = 'train'"), "domain"), split.where("split = 'test'")
 
 
 @query("rf_eval")
 def rf_eval(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
-    model = models.random_forest(FEATURES_6, _TREES, _DEPTH).fit(train)
-    return evaluation.binary_metrics(models.predict(model, test))
+    return evaluation.binary_metrics(models.predict(models.random_forest().fit(train), test))
 
 
 @query("dt_vs_rf")
 def dt_vs_rf(spark, sf_dir):
-    return experiments.compare_models(*_train_test(spark, sf_dir), n_estimators=_TREES, max_depth=_DEPTH)
+    return experiments.compare_models(*_train_test(spark, sf_dir))
 
 
 @query("sweep")
 def sweep(spark, sf_dir):
-    return experiments.hyperparameter_sweep(
-        *_train_test(spark, sf_dir), estimator_values=(5, 10, 20), max_depth=_DEPTH
-    )
+    return experiments.hyperparameter_sweep(*_train_test(spark, sf_dir), estimator_values=_SWEEP)
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    return experiments.feature_ablation(*_train_test(spark, sf_dir), n_estimators=_TREES, max_depth=_DEPTH)
+    return experiments.feature_ablation(*_train_test(spark, sf_dir), n_estimators=_TREES)
 
 
 @query("compare_5v6")
 def compare_5v6(spark, sf_dir):
-    return experiments.compare_feature_sets(
-        *_train_test(spark, sf_dir), n_estimators=_TREES, max_depth=_DEPTH
-    )
+    return experiments.compare_feature_sets(*_train_test(spark, sf_dir))
 
 
 @query("cv_folds")
 def cv_folds(spark, sf_dir):
-    rows = stage(all_features(spark, sf_dir))
-    return experiments.cross_validate(rows, "rf", _FOLDS, n_estimators=_TREES, max_depth=_DEPTH)
+    return experiments.cross_validate(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
 
 
 @query("paired_rf_dt")
 def paired_rf_dt(spark, sf_dir):
-    rows = stage(all_features(spark, sf_dir))
-    return experiments.paired_models(rows, _FOLDS, _TREES, max_depth=_DEPTH)
+    return experiments.paired_models(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
 
 
 @query("paired_5v6")
 def paired_5v6(spark, sf_dir):
-    rows = stage(all_features(spark, sf_dir))
-    return experiments.paired_feature_sets(rows, _FOLDS, _TREES, max_depth=_DEPTH)
+    return experiments.paired_feature_sets(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
 
 
 def _scoring_model(spark, sf_dir):
@@ -863,16 +889,11 @@ def _scoring_model(spark, sf_dir):
     split = stage(ranking.stratified_split(ordered))
     model, card = scoring.load_or_train(
         spark, scratch_path(spark, "model"), split.where("split = 'train'"),
-        split.where("split = 'test'"), lexicon, key="ord", n_estimators=_TREES,
+        split.where("split = 'test'"), lexicon, key="ord",
     )
     return model, card, lexicon
 
 
-def _requests(spark, sf_dir) -> DataFrame:
-    words = F.explode(tokens(F.col("text"))).alias("domain")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words)
-
-
 @query("score_batch")
 def score_batch(spark, sf_dir):
     model, _, lexicon = _scoring_model(spark, sf_dir)

@@ -22,6 +22,7 @@ def local_session(cores: str = "*", app: str = "lexidom", memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -67,5 +68,16 @@ def fits_broadcast(df: DataFrame, text_col: str) -> bool:
     return row.n <= BROADCAST_MAX_ROWS and row.b + 32 * row.n <= BROADCAST_MAX_BYTES
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over all cores if it has fewer splits than there are cores.
+
+    A gzip file, or a file of one row group, is read by one task whatever its
+    size; work that costs more than reading should not stay there. A scan with
+    enough splits is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import encode_threat
+from ..functions.text import encode_threat, stripped
 from ..schema import RAW_LOG_DDL
+from ..session import spread
 
 _CORRUPT = "_corrupt_record"
 
@@ -16,7 +17,7 @@ def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     Blank lines, ``#`` comments, broken JSON, JSON that is no object, and
     records without a domain or threat are dropped. Other columns ride along.
     """
-    line = F.regexp_replace(line_col, r"(?U)^\s+|\s+$", "")
+    line = stripped(F.col(line_col))
     record = F.from_json(
         line,
         f"{RAW_LOG_DDL}, {_CORRUPT} STRING",
@@ -26,10 +27,12 @@ def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     return (
         # Only a line that is one object from end to end can be a record.
         lines.where(line.startswith("{") & line.endswith("}"))
-        .select(*rest, record.alias("r"))
-        .where(F.col(f"r.{_CORRUPT}").isNull())
-        .select(*rest, "r.domain", "r.threat")
+        # As a generator the parse runs once; as a plain column, the filters
+        # below would each be pushed under it with a parse of their own.
+        .select(*rest, F.inline(F.array(record)))
+        .where(F.col(_CORRUPT).isNull())
         .where("domain <> '' and threat <> ''")
+        .drop(_CORRUPT)
         .withColumn("label", encode_threat(F.col("threat")))
     )
 
@@ -39,10 +42,11 @@ def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     ``ord`` grows in file order; it has gaps. One gzip file is one scan task
     whatever its size, so ship the log as many files (or a splittable codec)
-    at scale. A missing path raises Spark's own PATH_NOT_FOUND error.
+    at scale; the lines of too few files are spread before they are parsed.
+    A missing path raises Spark's own PATH_NOT_FOUND error.
     """
     lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    return parse_lines(lines)
+    return parse_lines(spread(lines, "ord"))
 
 
 def write_raw_log(df: DataFrame, path: str, line_col: str = "value") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import stripped
 from ..schema import LABELLED_DDL, TRIGRAMS_DDL
 
 
@@ -33,7 +34,7 @@ def write_words(words: DataFrame, path: str) -> None:
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """One word per line; white space and blank lines do not count."""
-    word = F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("word")
+    word = stripped(F.col("value")).alias("word")
     return spark.read.text(path).select(word).where("word <> ''").distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,25 +21,33 @@ def read_requests(
     return reader.load(path)
 
 
-def score_stream(
-    requests: DataFrame, model: PipelineModel, lexicon: Lexicon, out: str, checkpoint: str,
-    domain: str = "domain", trigger: dict | None = None,
+def write_batches(
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+    trigger: dict | None = None,
 ):
-    """Score every micro-batch against the static tables and write Parquet.
+    """Apply a batch plan to every micro-batch and write it as Parquet.
 
     The features group by domain, which only has to hold within a batch, so
     they run per batch and the stream keeps no state. A batch replayed after a
-    failure overwrites its own folder, so each verdict is written once.
-    Returns the started query.
+    failure overwrites its own folder, so every row is written once. Returns
+    the started query.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        verdicts = score_domains(batch, model, lexicon, domain)
-        verdicts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        requests.writeStream.foreachBatch(write_batch)
+        stream.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def score_stream(
+    requests: DataFrame, model: PipelineModel, lexicon: Lexicon, out: str, checkpoint: str,
+    domain: str = "domain", trigger: dict | None = None,
+):
+    """Score every micro-batch against the static lookup tables."""
+    score = lambda batch: score_domains(batch, model, lexicon, domain)
+    return write_batches(requests, score, out, checkpoint, trigger)
