@@ -57,9 +57,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = inputs.documents(spark, sf_dir)
     marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    words = docs.select("doc_id", "lang", F.explode(tokens(F.col("text"))).alias("w")).join(
-        marks, "doc_id", "left"
-    )
+    # Joined while there is still one row per document.
+    marked = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left")
+    words = marked.select("doc_id", "lang", "toxic", F.explode(tokens(F.col("text"))).alias("w"))
     suffix = (
         F.when(F.col("lang") == "en", ".co.uk").when(F.col("lang") == "de", ".de")
         .when(F.col("lang") == "fr", ".fr").otherwise(".com")
