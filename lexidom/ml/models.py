@@ -30,7 +30,7 @@ def random_forest(
     return _pipeline(
         RandomForestClassifier(
             numTrees=n_estimators, maxDepth=max_depth, maxBins=MAX_BINS, seed=seed,
-            featureSubsetStrategy="sqrt",
+            featureSubsetStrategy="sqrt", cacheNodeIds=True,
         ),
         features,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import UNKNOWN_TRIGRAM_P, char_length, edit_distance, numerical_ratio
 from ..schema import feature_names
@@ -59,23 +59,24 @@ def find_words(spans: DataFrame, lexicon: Lexicon, salt_key: str) -> DataFrame:
 def covered_length(hits: Column) -> Column:
     """Most characters that non-overlapping words can cover.
 
-    ``hits`` holds (end, len) structs. They are taken by end; best[i] is the
-    optimum for the first i characters, extended only up to the current end.
+    ``hits`` holds (end, len) structs, taken by end. ``points`` lists the ends
+    where the optimum grows, with the optimum there; a word adds its length to
+    the optimum of the last point not beyond its start.
     """
+    point = lambda end, best: F.struct(end.alias("end"), best.alias("best"))
 
-    def extend(best: Column, hit: Column) -> Column:
-        last = F.element_at(best, -1)
+    def extend(points: Column, hit: Column) -> Column:
         start = hit["end"] - hit["len"]
-        with_hit = F.coalesce(F.get(best, start), last) + hit["len"]
-        known = F.slice(best, F.lit(1), hit["end"])
-        gap = F.array_repeat(last, hit["end"] - F.size(best))
-        return F.concat(known, gap, F.array(F.greatest(last, with_hit)))
+        before = F.element_at(F.filter(points, lambda q: q["end"] <= start), -1)
+        best = before["best"] + hit["len"]
+        grows = best > F.element_at(points, -1)["best"]
+        return F.when(grows, F.concat(points, F.array(point(hit["end"], best)))).otherwise(points)
 
-    best = F.aggregate(F.sort_array(hits), F.array(F.lit(0)), extend)
+    points = F.aggregate(F.sort_array(hits), F.array(point(F.lit(0), F.lit(0))), extend)
     return (
         F.when(F.size(hits) == 0, F.lit(0))
         .when(F.size(hits) == 1, F.get(hits, F.lit(0))["len"])
-        .otherwise(F.element_at(best, -1))
+        .otherwise(F.element_at(points, -1)["best"])
     )
 
 
@@ -88,12 +89,16 @@ def _lexical(
     rows are partitioned by, so exploding, looking up and folding back stay in
     the same stage.
     """
-    carried = [c for c in rows.columns if c not in group]
+    # Constant within a row's group; as keys they need no aggregation buffer.
+    plain = (T.StringType, T.IntegralType)
+    others = [f for f in rows.schema.fields if f.name not in group]
+    keys = [*group, *[f.name for f in others if isinstance(f.dataType, plain)]]
+    carried = [f.name for f in others if f.name not in keys]
     hits = find_words(candidate_words(rows, domain, lexicon), lexicon, salt_key)
     is_word = F.col("_len") > 0
     span = F.struct(F.col("_end").alias("end"), F.col("_len").alias("len"))
     p = F.when(~is_word, F.col("p"))
-    folded = hits.groupBy(*group).agg(
+    folded = hits.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carried],
         F.max("_len").alias("_longest"),
         F.collect_list(F.when(is_word, span)).alias("_words"),
