@@ -45,7 +45,6 @@ def main() -> None:
     rules = suffix_rules.starter_rules(spark)
     docs = inputs.documents(spark, SF_DIR)
     forest = models.random_forest(FEATURES_5, 50)
-    fitted = forest.fit(train)
 
     times = {
         # The reference's headline: feature extraction over prepared tables.
@@ -63,8 +62,9 @@ def main() -> None:
         "stratified_folds": timed(lambda: run(ranking.stratified_folds(domains))),
         "run_summary": timed(lambda: run(queries.run_summary(spark, SF_DIR))),
         "rf_fit_50": timed(lambda: forest.fit(train), 1),
-        "rf_predict": timed(lambda: run(models.predict(fitted, test))),
     }
+    fitted = forest.fit(train)
+    times["rf_predict"] = timed(lambda: run(models.predict(fitted, test)))
     report = {
         "metric": "total of headline queries, warm",
         "value": round(sum(times.values()), 3),

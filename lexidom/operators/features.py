@@ -133,6 +133,7 @@ def extract_features(
     position 0 .. n-1 that defines the predecessor; ``order_by`` assigns it
     first. Either way the table is shuffled once, in its narrow form; the
     substrings never are (unless the lookup table is too large to broadcast).
+    Rows whose domain is missing have no features and are left out.
     """
     columns = [c for c in df.columns if c != key] if order_by else df.columns
     rows = assign_ord(df.select(*columns), order_by, key) if order_by else df

@@ -30,5 +30,32 @@ def read_runs(
     return docs.select(F.inline(experiment))
 
 
+# Models and scores of the model-comparison part.
+MODELS = ["decision_tree", "random_forest"]
+SCORES = ["accuracy", "precision", "recall", "f1", "inference_latency_ms", "train_time_sec"]
+
+
+def read_model_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The nested model comparison (E6) as model, metric, value."""
+    scores = ", ".join(f"{c}: DOUBLE" for c in SCORES)
+    models = ", ".join(f"{m}: STRUCT<{scores}>" for m in MODELS)
+    docs = spark.read.schema(f"E6 STRUCT<{models}>").option("multiLine", multi_line).json(path)
+    rows = [
+        F.struct(F.lit(m).alias("model"), F.lit(c).alias("metric"), F.col(f"E6.{m}.{c}").alias("value"))
+        for m in MODELS for c in SCORES
+    ]
+    return docs.select(F.inline(F.array(*rows))).where("value IS NOT NULL")
+
+
+def read_overall(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The sequential baseline and the measured exchange overhead."""
+    ddl = (
+        "sequential_baseline_sec DOUBLE, ipc_overhead STRUCT<serialize_time_sec: DOUBLE, "
+        "deserialize_time_sec: DOUBLE, total_overhead_sec: DOUBLE, overhead_percentage: DOUBLE>"
+    )
+    docs = spark.read.schema(ddl).option("multiLine", multi_line).json(path)
+    return docs.select("sequential_baseline_sec", "ipc_overhead.*")
+
+
 def _struct(ddl: str) -> str:
     return ", ".join("{}: {}".format(*field.split()) for field in ddl.split(", "))
