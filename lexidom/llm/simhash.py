@@ -240,8 +240,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == mark:
             break
         mark = after
-    nodes = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return nodes
+    nodes = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
