@@ -45,15 +45,6 @@ def edit_distance(domain: Column, previous: Column) -> Column:
     return F.levenshtein(domain, previous).cast("double")
 
 
-def char_grams(domain: Column, size: int = 3) -> Column:
-    """All character n-grams as an array; empty for shorter strings."""
-    n = F.length(domain)
-    grams = F.transform(
-        F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(domain, i, F.lit(size))
-    )
-    return F.when(n >= size, grams).otherwise(F.array().cast("array<string>"))
-
-
 def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
@@ -84,5 +75,9 @@ def decode_label(prediction: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case ASCII letter/digit runs of one text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Lower-case runs of letters and digits of one text, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(tokens(text))

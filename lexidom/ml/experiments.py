@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.ranking import stratified_folds
 from ..operators.run_reports import paired_t, score_summary
 from ..schema import FEATURES_5, FEATURES_6
-from ..session import spread, stage
+from ..session import stage
 from .models import evaluate, make_model
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
 
+# Training rows per partition: bagging follows partitions, so their number must not
+# follow the cluster.
+FIT_ROWS = 20_000
+
+
+def settled(train: DataFrame, key: str = "domain") -> DataFrame:
+    """The rows in partitions and in an order that only the data decide."""
+    return train.repartition(-(-train.count() // FIT_ROWS) or 1, key).sortWithinPartitions(key)
+
+
 def _rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     names = [c.split()[0] for c in ddl.split(", ")]
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ddl)
@@ -89,12 +99,16 @@ def _fold_scores(
 ) -> DataFrame:
     """fold, model, accuracy, f1, fit_time for every model on the same folds."""
     folds = features
-    if "fold" not in features.columns:
+    if "fold" in features.columns:
+        seen = {r.fold for r in features.select("fold").distinct().limit(n_splits + 1).collect()}
+        if seen != set(range(n_splits)):
+            raise ValueError(f"fold must hold 0 to {n_splits - 1}")
+    else:
         folds = stage(stratified_folds(features, n_splits, keys=keys, seed=seed), "folds")
     rows = []
     for i in range(n_splits):
         train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        train = spread(train, (keys or ["domain"])[0])
+        train = settled(train, (keys or ["domain"])[0])
         for name, model in models.items():
             scores = _fit_and_score(train, test, **model)
             rows.append({"fold": i, "model": name, "fit_time": scores["train_time_sec"], **scores})
@@ -120,7 +134,9 @@ def fold_summary(scores: DataFrame) -> DataFrame:
 
 def _paired(scores: DataFrame, a: str, b: str) -> DataFrame:
     wide = scores.groupBy("fold").pivot("model", [a, b]).agg(F.first("accuracy"))
-    return paired_t(wide.withColumnsRenamed({a: "a", b: "b"}), "a", "b")
+    wide = wide.withColumnsRenamed({a: "a", b: "b"})
+    by_fold = F.sort_array(F.collect_list(F.struct("fold", "a", "b")))  # a row per fold
+    return paired_t(wide, "a", "b").crossJoin(wide.agg(by_fold.alias("fold_scores")))
 
 
 def paired_models(

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.evaluation import binary_metrics
 from ..schema import FEATURES_6
 
-# MLlib grows trees level by level over histograms, up to 30 levels. Deeper
-# trees or finer bins gain a tenth of a percent on the derived data and double
-# the time of a fit.
+# MLlib grows trees level by level over histograms, up to 30 levels. One depth for
+# single trees and forests, so that comparisons are of equals; set it per call.
 MAX_DEPTH = 10
 MAX_BINS = 32
 SEED = 42
@@ -23,13 +22,17 @@ def _pipeline(classifier, features: list[str]) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), classifier])
 
 
+def _depth(max_depth: int | None) -> int:
+    return MAX_DEPTH if max_depth is None else max_depth
+
+
 def random_forest(
-    features: list[str] = FEATURES_6, n_estimators: int = 100, max_depth: int = MAX_DEPTH,
+    features: list[str] = FEATURES_6, n_estimators: int = 100, max_depth: int | None = None,
     seed: int = SEED,
 ) -> Pipeline:
     return _pipeline(
         RandomForestClassifier(
-            numTrees=n_estimators, maxDepth=max_depth, maxBins=MAX_BINS, seed=seed,
+            numTrees=n_estimators, maxDepth=_depth(max_depth), maxBins=MAX_BINS, seed=seed,
             featureSubsetStrategy="sqrt", cacheNodeIds=True,
         ),
         features,
@@ -39,9 +42,7 @@ def random_forest(
 def decision_tree(
     features: list[str] = FEATURES_6, max_depth: int | None = None, seed: int = SEED
 ) -> Pipeline:
-    """``max_depth=None`` asks for MLlib's deepest tree (30 levels)."""
-    depth = 30 if max_depth is None else max_depth
-    return _pipeline(DecisionTreeClassifier(maxDepth=depth, maxBins=MAX_BINS, seed=seed), features)
+    return _pipeline(DecisionTreeClassifier(maxDepth=_depth(max_depth), maxBins=MAX_BINS, seed=seed), features)
 
 
 def make_model(
@@ -49,7 +50,7 @@ def make_model(
     max_depth: int | None = None, seed: int = SEED,
 ) -> Pipeline:
     if model_type == "rf":
-        return random_forest(features, n_estimators, max_depth or MAX_DEPTH, seed)
+        return random_forest(features, n_estimators, max_depth, seed)
     if model_type == "dt":
         return decision_tree(features, max_depth, seed)
     raise ValueError(f"Unknown model_type: {model_type}")

@@ -42,7 +42,7 @@ def load_or_train(
         accuracy = float(evaluate(model, test_rows)["accuracy"])
         model.write().overwrite().save(model_path)
         card = (
-            "healthy", f"RandomForest (n_estimators={n_estimators})", len(FEATURES_5), FEATURES_5,
+            "ready", f"random forest of {n_estimators} trees", len(FEATURES_5), FEATURES_5,
             fit_rows.count(), accuracy,
         )
         # Written last: a card marks a complete model.

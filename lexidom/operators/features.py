@@ -35,7 +35,7 @@ def candidate_words(df: DataFrame, domain: str, lexicon: Lexicon) -> DataFrame:
     own = F.when(F.col("p").isNotNull() | (F.col("_start") == 0), F.array(F.lit(0))).otherwise(none)
     short = F.array(*[F.lit(i) for i in lexicon.short_lengths]).cast("array<int>")
     lengths = F.concat(own, short, F.coalesce("lengths", none))
-    spans = found.withColumn("_len", F.explode(lengths)).where(F.col("_len") <= n - F.col("_start"))
+    spans = found.withColumn("_len", F.explode(lengths)).where(F.col("_len") <= F.coalesce(n, F.lit(0)) - F.col("_start"))
     return (
         spans.withColumn("gram", ahead(F.col("_len")))
         .withColumn("_end", F.col("_start") + F.col("_len"))
@@ -129,11 +129,11 @@ def extract_features(
 ) -> DataFrame:
     """Add the 6 (or, without ``levenshtein``, 5) feature columns to ``df``.
 
-    ``key`` is unique per row. With ``levenshtein`` it is also the dense
-    position 0 .. n-1 that defines the predecessor; ``order_by`` assigns it
-    first. Either way the table is shuffled once, in its narrow form; the
+    With ``levenshtein``, ``key`` is the dense position 0 .. n-1 that defines the
+    predecessor, or the job fails; ``order_by`` assigns it first. Without, rows of
+    equal key stay apart. Either way the table is shuffled once, in its narrow form; the
     substrings never are (unless the lookup table is too large to broadcast).
-    Rows whose domain is missing have no features and are left out.
+    Rows whose domain is missing are kept, with null features.
     """
     columns = [c for c in df.columns if c != key] if order_by else df.columns
     rows = assign_ord(df.select(*columns), order_by, key) if order_by else df
@@ -144,8 +144,8 @@ def extract_features(
         )
         group = ["_chunk", key]
     else:
-        rows = rows.repartition(shuffle_partitions(df.sparkSession), key)
-        group = [key]
+        rows = _numbered(rows.repartition(shuffle_partitions(df.sparkSession), key))
+        group = [key, "_row"]
     lexical = _lexical(rows, lexicon, domain, group, key)
     built = {
         "length": char_length(F.col(domain)),
@@ -159,6 +159,11 @@ def extract_features(
     return lexical.select(*kept, *features)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_row`` tells rows of equal key apart, inside the partition of that key."""
+    return rows.withColumn("_row", F.monotonically_increasing_id())
+
+
 def word_features(df: DataFrame, lexicon: Lexicon, key: str = "ord", domain: str = "domain"):
     """Only the two dictionary features."""
     full = extract_features(df, lexicon, key, domain, levenshtein=False)
@@ -173,7 +178,7 @@ def pronounceability(
 
     ``broadcast`` is the caller's measured answer for ``trigrams``.
     """
-    rows = df.repartition(shuffle_partitions(df.sparkSession), key)
+    rows = _numbered(df.repartition(shuffle_partitions(df.sparkSession), key))
     n = F.length(domain)
     grams = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))))
     grams = grams.withColumn("gram", F.substring(F.col(domain), F.col("_i"), F.lit(3)))
@@ -181,8 +186,8 @@ def pronounceability(
     found = grams.join(F.broadcast(table) if broadcast else table, "gram", "left")
     carried = [c for c in df.columns if c != key]
     mean_p = F.avg(F.coalesce("p", F.lit(UNKNOWN_TRIGRAM_P)))
-    folded = found.groupBy(key).agg(
+    folded = found.groupBy(key, "_row").agg(
         *[F.first(c).alias(c) for c in carried], mean_p.alias("_mean")
     )
-    value = F.when(n < 3, F.lit(0.0)).otherwise(F.col("_mean"))
+    value = F.when(n < 3, F.lit(0.0)).when(n >= 3, F.col("_mean"))
     return folded.select(*df.columns, value.alias("pronounceability"))

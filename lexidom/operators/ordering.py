@@ -35,7 +35,7 @@ def assign_ord(df: DataFrame, order_by: list[str], ord_col: str = "ord") -> Data
 
 
 def prefix_rows(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
-    """First ``n`` rows in order: a filter the scan can apply, not a sort."""
+    """First ``n`` rows in order: a filter, not a sort."""
     return df.where(F.col(ord_col) < n)
 
 
@@ -61,6 +61,9 @@ def with_previous(
 ) -> DataFrame:
     """lag(1) over dense positions 0 .. n-1; the first row precedes itself.
 
+    Positions with gaps, repeats or nulls are refused: the job fails rather than
+    take another row, or none, for the predecessor.
+
     Positions are cut into chunks, and the last row of a chunk is also sent to
     the next one as context, so each chunk finds its predecessors alone: one
     shuffle, no window over the whole table, no boundary lookup.
@@ -73,6 +76,10 @@ def with_previous(
     copies = F.when(is_last, F.array(own, next_)).otherwise(F.array(own))
     spread = df.withColumn("_copy", F.explode(copies)).select(*df.columns, "_copy.*")
     spread = spread.repartition(shuffle_partitions(df.sparkSession), "_chunk")
-    lagged = F.lag(value).over(Window.partitionBy("_chunk").orderBy(ord_col))
-    result = spread.withColumn(out, F.coalesce(lagged, F.col(value))).where(~F.col("_context"))
+    order = Window.partitionBy("_chunk").orderBy(ord_col)
+    follows = F.lag(ord_col).over(order) == position - 1
+    refused = F.raise_error(F.lit(f"{ord_col} must hold each position from 0 once; see assign_ord"))
+    first = (position == 0) & F.lag(ord_col).over(order).isNull()
+    previous = F.when(first, F.col(value)).when(follows | F.col("_context"), F.lag(value).over(order))
+    result = spread.withColumn(out, previous.otherwise(refused)).where(~F.col("_context"))
     return result.drop("_context") if keep_chunk else result.drop("_context", "_chunk")

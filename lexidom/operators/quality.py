@@ -62,7 +62,8 @@ def validation_report(
     """Per chunk: rows, one count per rule, valid, and the first reason.
 
     ``expected`` (chunk, expected_rows) adds the row-count rule, also for
-    chunks that produced nothing; a table without ``width`` feature columns
+    chunks that produced nothing; chunks it doesn't name, the null chunk too,
+    fail it. A table without ``width`` feature columns
     fails as a whole, as the wrong shape. Counts fold on the map side, so a
     chunk may be any size.
     """
@@ -73,8 +74,11 @@ def validation_report(
         *[F.count_if(flag).alias(f"bad_{name}") for name, flag in rules.items()],
     )
     if expected is not None:
-        counts = expected.join(counts, chunk, "left").na.fill(0)
-    wanted = F.col("expected_rows") if expected is not None else F.col("n_rows")
+        asked = expected.withColumnRenamed(chunk, "_asked")
+        both = asked.join(counts, F.col("_asked").eqNullSafe(F.col(chunk)), "full_outer")
+        found = [F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c != chunk]
+        counts = both.select(F.coalesce(chunk, "_asked").alias(chunk), "expected_rows", *found)
+    wanted = F.coalesce("expected_rows", F.lit(-1)) if expected is not None else F.col("n_rows")
     shape = ((F.col("n_rows") != wanted) | F.lit(len(names) != width)).cast("long")
     checks = {"shape": shape, **{name: F.col(f"bad_{name}") for name in rules}}
     reported = counts.withColumn("reason", first_broken(checks))
@@ -86,11 +90,12 @@ def split_quarantine(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of valid chunks, rows of failing chunks with their reason).
 
-    The verdicts are staged: both sides read them, and their size decides how
-    they are joined.
+    Each row is in one of the two, those of the null chunk as well. The verdicts
+    are staged: both sides read them, and their size decides how they are joined.
     """
     verdict = stage(report.select(chunk, "valid", "reason"), "verdicts")
-    joined = features.join(verdict, chunk)
+    same = features[chunk].eqNullSafe(F.col("_judged"))
+    joined = features.join(verdict.withColumnRenamed(chunk, "_judged"), same).drop("_judged")
     valid = joined.where("valid").drop("valid", "reason")
     return valid, joined.where("not valid").drop("valid")
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import distinct_tokens
 from ..session import fits_broadcast, stage
 
 
@@ -51,14 +51,14 @@ def dictionary_from_words(words: DataFrame, word: str = "word") -> DataFrame:
 
 
 def dictionary_from_texts(
-    texts: DataFrame, text: str = "text", min_length: int = 2, min_documents: int = 10
+    texts: DataFrame, text: str = "text", min_length: int = 1, min_documents: int = 1
 ) -> DataFrame:
     """Distinct lower-case words seen in at least ``min_documents`` texts.
 
     Repeats inside a text are dropped in its own row, so a word costs one
     count per text and the counts are folded before the shuffle.
     """
-    seen = texts.select(F.explode(tokens(F.col(text))).alias("word"))
+    seen = texts.select(F.explode(distinct_tokens(F.col(text))).alias("word"))
     return (
         seen.where(F.length("word") >= min_length)
         .groupBy("word")

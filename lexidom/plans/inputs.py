@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import distinct_tokens
 from ..operators.cleaning import dedup_benign_wins, merge_classes
 from ..operators.ordering import assign_ord
 from ..operators.reference_tables import (
@@ -35,8 +35,8 @@ def generated_twin(word: str = "domain"):
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """domain, label: benign words and generated twins, one row per domain."""
-    texts = documents(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("domain"))
-    benign = texts.where(F.length("domain").between(3, 63)).distinct()
+    texts = documents(spark, sf_dir).select(F.explode(distinct_tokens(F.col("text"))).alias("domain"))
+    benign = texts.distinct()
     both = merge_classes(
         benign.withColumn("label", F.lit(0)),
         benign.select(generated_twin().alias("domain"), F.lit(1).alias("label")),
@@ -49,7 +49,9 @@ def ordered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary_from_texts(documents(spark, sf_dir).where("lang = 'en'"))
+    """Words of two letters or more that ten English documents hold."""
+    english = documents(spark, sf_dir).where("lang = 'en'")
+    return dictionary_from_texts(english, min_length=2, min_documents=10)
 
 
 def lexicon(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> Lexicon:

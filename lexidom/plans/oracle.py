@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+# DuckDB's edit distance counts bytes: letters beyond ASCII become unused ASCII signs first.
+_LETTERS, _SIGNS = "'àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%'"
+EDIT_DISTANCE = (
+    f"levenshtein(translate(domain, {_LETTERS}, {_SIGNS}), translate(prev, {_LETTERS}, {_SIGNS}))::DOUBLE"
+)
+
 def _lexical(source: str, prefix: str = "") -> dict[str, tuple[list[str], str]]:
     """Dictionary and trigram features of a CTE with a domain column."""
     x = prefix
@@ -38,9 +44,12 @@ def _lexical(source: str, prefix: str = "") -> dict[str, tuple[list[str], str]]:
 # name -> (CTEs it reads, query).
 CTES: dict[str, tuple[list[str], str]] = {
     "tok": ([], """
-        SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w
+        SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w
+        FROM documents"""),
+    "every_tok": ([], """
+        SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w
         FROM documents"""),
-    "benign": (["tok"], "SELECT DISTINCT w AS domain FROM tok WHERE length(w) BETWEEN 3 AND 63"),
+    "benign": (["tok"], "SELECT DISTINCT w AS domain FROM tok"),
     "dom": (["benign"], """
         SELECT domain, min(label) AS label FROM (
           SELECT domain, 0 AS label FROM benign UNION ALL
@@ -63,12 +72,12 @@ CTES: dict[str, tuple[list[str], str]] = {
                  AS numerical_ratio,
                coalesce(lag(domain) OVER (ORDER BY ord), domain) AS prev
         FROM ordd"""),
-    "feats": (["simple", "words", "pron"], """
+    "feats": (["simple", "words", "pron"], f"""
         SELECT domain, label, ord, length, numerical_ratio, meaningful_word_ratio,
-               pronounceability, lms_percentage, levenshtein(domain, prev)::DOUBLE AS levenshtein
+               pronounceability, lms_percentage, {EDIT_DISTANCE} AS levenshtein
         FROM simple JOIN words USING (domain) JOIN pron USING (domain)"""),
     "predicted": (["dom", "pron"], """
-        SELECT domain, label, CASE WHEN pronounceability < 1e-4 THEN 1 ELSE 0 END AS prediction
+        SELECT domain, label, pronounceability, CASE WHEN pronounceability < 1e-4 THEN 1 ELSE 0 END AS prediction
         FROM dom JOIN pron USING (domain)"""),
     "chunked": (["feats"], """
         SELECT *, ntile(256) OVER (ORDER BY ord) - 1 AS chunk, substr(md5(domain), 1, 3) AS h
@@ -113,11 +122,11 @@ CTES: dict[str, tuple[list[str], str]] = {
                 row_number() OVER (PARTITION BY label ORDER BY md5(domain || '|42'), domain) AS place
               FROM dom)"""),
     # The derived raw log, as it must look after the parse.
-    "raw": (["tok"], """
+    "raw": (["every_tok"], """
         SELECT upper(w) || CASE lang WHEN 'en' THEN '.co.uk' WHEN 'de' THEN '.de'
                                      WHEN 'fr' THEN '.fr' ELSE '.com' END AS domain,
                CASE WHEN toxic = 1 THEN 'dga' ELSE 'benign' END AS threat, doc_id
-        FROM tok LEFT JOIN labels USING (doc_id)
+        FROM every_tok LEFT JOIN labels USING (doc_id)
         UNION ALL SELECT 'Doc' || doc_id || '.co.uk', 'other', doc_id FROM documents"""),
     "raw_labelled": (["raw"], """
         SELECT domain, threat, CASE WHEN threat = 'dga' THEN 1 ELSE 0 END AS label, doc_id FROM raw"""),
@@ -127,7 +136,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           FROM raw_labelled) GROUP BY domain"""),
     "requests": ([], """
         SELECT w AS domain, count(*) AS n_requests FROM (
-          SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w
+          SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w
           FROM conversations) GROUP BY w"""),
     **_lexical("dom"),
     **_lexical("requests", "r_"),

@@ -22,7 +22,7 @@ from ..sources import raw_log, run_metrics, suffix_rules, tables
 from ..streaming.scoring import read_requests, score_stream, write_batches
 from . import inputs
 from .inputs import table
-from .oracle import with_ctes
+from .oracle import EDIT_DISTANCE, with_ctes
 from .preprocess import preprocess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,7 +371,7 @@ def pronounceability_by_class(spark, sf_dir):
     return _round(means, 12, "pronounceability")
 
 
-@query("feat_lev_lag", "SELECT ord, levenshtein(domain, prev)::DOUBLE AS levenshtein FROM simple", "simple")
+@query("feat_lev_lag", f"SELECT ord, {EDIT_DISTANCE} AS levenshtein FROM simple", "simple")
 def feat_lev_lag(spark, sf_dir):
     rows = ordering.with_previous(inputs.ordered_domains(spark, sf_dir))
     return rows.select("ord", F.levenshtein("domain", "prev").cast("double").alias("levenshtein"))
@@ -834,13 +834,9 @@ def stream_features(spark, sf_dir):
 
 # ------------------------------------------------- fitted models (no SQL)
 
-# Queries that fit many forests use smaller ones than the functions' defaults.
-_SWEEP, _TREES = (50, 100, 200), 20
-
-
 def _train_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     split = stage(ranking.stratified_split(stage(all_features(spark, sf_dir))), "split-features")
-    return spread(split.where("split = 'train'"), "domain"), split.where("split = 'test'")
+    return experiments.settled(split.where("split = 'train'")), split.where("split = 'test'")
 
 
 @query("rf_eval")
@@ -856,12 +852,12 @@ def dt_vs_rf(spark, sf_dir):
 
 @query("sweep")
 def sweep(spark, sf_dir):
-    return experiments.hyperparameter_sweep(*_train_test(spark, sf_dir), estimator_values=_SWEEP)
+    return experiments.hyperparameter_sweep(*_train_test(spark, sf_dir))
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    return experiments.feature_ablation(*_train_test(spark, sf_dir), n_estimators=_TREES)
+    return experiments.feature_ablation(*_train_test(spark, sf_dir))
 
 
 @query("compare_5v6")
@@ -871,17 +867,17 @@ def compare_5v6(spark, sf_dir):
 
 @query("cv_folds")
 def cv_folds(spark, sf_dir):
-    return experiments.cross_validate(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
+    return experiments.cross_validate(stage(all_features(spark, sf_dir)))
 
 
 @query("paired_rf_dt")
 def paired_rf_dt(spark, sf_dir):
-    return experiments.paired_models(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
+    return experiments.paired_models(stage(all_features(spark, sf_dir)))
 
 
 @query("paired_5v6")
 def paired_5v6(spark, sf_dir):
-    return experiments.paired_feature_sets(stage(all_features(spark, sf_dir)), n_estimators=_TREES)
+    return experiments.paired_feature_sets(stage(all_features(spark, sf_dir)))
 
 
 def _scoring_model(spark, sf_dir):

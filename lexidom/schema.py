@@ -13,10 +13,7 @@ FEATURES_5 = FEATURES_6[:5]
 
 RAW_LOG_DDL = "domain STRING, threat STRING"
 LABELLED_DDL = "domain STRING, label INT"
-WORDS_DDL = "word STRING"
 TRIGRAMS_DDL = "gram STRING, p DOUBLE"
-CONFUSION_DDL = "label INT, prediction INT, cnt BIGINT"
-FOLD_SCORES_DDL = "fold INT, model STRING, accuracy DOUBLE, f1 DOUBLE"
 
 # Run-metric records, one DDL per experiment of the nested metrics file.
 RUN_DDL = {

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import encode_threat, stripped
 from ..schema import RAW_LOG_DDL
-from ..session import spread
+from ..session import fits_broadcast, spread
 
 _CORRUPT = "_corrupt_record"
 
@@ -40,13 +40,27 @@ def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
 def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan plain or compressed JSON lines into domain, threat, label, ord.
 
-    ``ord`` grows in file order; it has gaps. One gzip file is one scan task
-    whatever its size, so ship the log as many files (or a splittable codec)
-    at scale; the lines of too few files are spread before they are parsed.
-    A missing path raises Spark's own PATH_NOT_FOUND error.
+    ``ord`` grows in file order: by path, then place in the file, however files
+    are packed into tasks; it has gaps. One gzip file is one scan task whatever
+    its size, so ship the log as many files (or a splittable codec) at scale; the
+    lines of too few files are spread before they are parsed. A missing path
+    raises Spark's own PATH_NOT_FOUND error.
     """
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    return parse_lines(spread(lines, "ord"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),  # grows within a task, so within a split
+    )
+    # one row per split of a file
+    splits = lines.select("_file", "_start").distinct()
+    number = F.row_number().over(Window.orderBy("_file", "_start")) - 1
+    splits = splits.withColumn("_split", number.cast("bigint"))
+    if fits_broadcast(splits, "_file"):
+        splits = F.broadcast(splits)
+    in_split = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = spread(lines, "_id").join(splits, ["_file", "_start"])
+    return parse_lines(placed.select("value", (F.shiftleft("_split", 33) + in_split).alias("ord")))
 
 
 def write_raw_log(df: DataFrame, path: str, line_col: str = "value") -> None:

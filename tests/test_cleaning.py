@@ -94,3 +94,23 @@ def test_merge_classes_keeps_source_rank(spark):
 def test_missing_rule_file(spark, private):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         suffix_rules.read_suffix_rules(spark, "/no/such/list", private)
+
+
+def test_log_order_is_file_order(spark, tmp_path):
+    """Files of unequal size, which Spark packs into tasks by size."""
+    want = []
+    for name, lines in (("a", 3), ("b", 50), ("c", 10), ("d", 400)):
+        rows = [f"{name}{i}" for i in range(lines)]
+        want += rows
+        text = "".join(f'{{"domain":"{r}","threat":"dga"}}\n' for r in rows)
+        (tmp_path / f"{name}.json").write_text(text)
+    got = read_raw_log(spark, str(tmp_path)).orderBy("ord").select("domain").collect()
+    assert [r.domain for r in got] == want
+    capped = cleaning.cap_per_class(read_raw_log(spark, str(tmp_path)), 5).orderBy("ord").collect()
+    assert [r.domain for r in capped] == want[:5]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = read_raw_log(spark, str(tmp_path)).orderBy("ord").select("domain").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.domain for r in got] == want

@@ -40,13 +40,6 @@ def test_edit_distance(spark, a, b, expected):
     assert df.select(text.edit_distance(F.col("a"), F.col("b"))).first()[0] == float(expected)
 
 
-@pytest.mark.parametrize(
-    "value, expected", [("abcd", ["abc", "bcd"]), ("abc", ["abc"]), ("ab", []), ("", [])]
-)
-def test_char_grams(spark, value, expected):
-    assert one(spark, value, text.char_grams) == expected
-
-
 @pytest.mark.parametrize("value, expected", [("  Foo.COM\t\n", "foo.com"), (" A ", "a"), (" ", "")])
 def test_normalized(spark, value, expected):
     assert one(spark, value, text.normalized) == expected
