@@ -39,36 +39,39 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~bad
 
 
-def _exact(matrix, query, limit):
-    """Inner products; by doubles while they are exact, else by Python's integers."""
-    if limit < 2**53:
-        return matrix.astype(np.float64) @ query.astype(np.float64)
-    return matrix.astype(object) @ query.astype(object)
-
-
 class SortedLists:
     """One list of rows per dimension, ascending, and each row's place in it."""
 
     def __init__(self, ids, vectors):
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids))[:, None], axis=0)
-        self.peak = int(np.abs(vectors.astype(object)).max()) if vectors.size else 0
+        n, width = vectors.shape
+        self.places = np.empty((2 * width, n), np.int32)  # from the start, then from the end
+        for j in range(width):
+            self.places[j, self.order[:, j]] = np.arange(n, dtype=np.int32)
+        self.places[width:] = n - 1 - self.places[:width]
+        self.peak = max(abs(int(vectors.max())), abs(int(vectors.min()))) if vectors.size else 0
+        self.doubles = vectors.astype(np.float64)
 
     def top(self, own, query, k):
         """Indices and scores of the k best rows whose id isn't ``own``."""
         n, used = len(self.ids), np.flatnonzero(query)
-        limit = self.peak * sum(abs(int(x)) for x in query)
+        # doubles are exact below 2^53; beyond, Python's integers are
+        exact = self.peak * float(np.abs(query.astype(np.float64)).sum()) < 2**52
+        vectors = self.doubles if exact else self.vectors
+        query = query.astype(np.float64 if exact else object)
+
+        def score(part, weights):
+            return part @ weights if exact else part.astype(object) @ weights
+
+        down = query[used] > 0  # such lists are read from their end
         if len(used):
-            down = query[used] > 0  # such lists are read from their end
-            at = np.where(down, n - 1 - self.place[:, used], self.place[:, used]).min(axis=1)
+            at = self.places[used + np.where(down, self.vectors.shape[1], 0)].min(axis=0)
         else:
-            at = np.zeros(n, np.int64)
+            at = np.zeros(n, np.int32)
         by_depth = np.argsort(at, kind="stable")
         deep = at[by_depth]
-        rows = np.zeros(0, np.int64)
-        scores = _exact(self.vectors[:0], query, limit)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
         depth, seen = min(FIRST_DEPTH, n), 0
         while True:
             upto = int(np.searchsorted(deep, depth))
@@ -76,15 +79,17 @@ class SortedLists:
             fresh = fresh[self.ids[fresh] != own]
             seen = upto
             rows = np.concatenate([rows, fresh])
-            scores = np.concatenate([scores, _exact(self.vectors[fresh], query, limit)])
-            best = np.lexsort((self.ids[rows], -scores))[:k] if limit < 2**53 else np.array(
-                sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k], np.int64
-            )
+            scores = np.concatenate([scores, score(vectors[fresh], query)])
+            if exact:
+                best = np.lexsort((self.ids[rows], -scores))[:k]
+            else:
+                best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+            best = np.array(best, np.int64)
             rows, scores = rows[best], scores[best]
             if seen >= n:
                 return rows, scores
             edge = np.where(down, n - depth, depth - 1)
-            bound = _exact(self.vectors[self.order[edge, used], used][None, :], query[used], limit)[0]
+            bound = score(vectors[self.order[edge, used], used], query[used])
             if len(rows) == k and scores[-1] > bound:
                 return rows, scores
             depth = min(n, depth * 4)

@@ -135,7 +135,7 @@ def test_lists_stop_before_their_end():
     vectors[:, 0] = rng.permutation(3000) * 50
     lists = SortedLists(np.arange(3000), vectors)
     seen = []
-    lists.vectors = _Watched(vectors, seen)
+    lists.doubles = _Watched(lists.doubles, seen)
     rows, scores = lists.top(-1, np.array([9, 1, -1, 0]), 10)
     want = sorted(((-int(v @ [9, 1, -1, 0]), i) for i, v in enumerate(vectors)))[:10]
     assert [(-int(s), int(r)) for r, s in zip(rows, scores)] == want
