@@ -1,17 +1,19 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity (counted by hash
-bucket over the whole table); two lines with Jaccard similarity of at least t
+A line is the set of its lower-case words. Words are ordered by rarity (counted by
+hash bucket over the whole table); two lines with Jaccard similarity of at least t
 share a word within their first n - ceil(t n) + 1 words, so only those words are
 join keys. Length and positional filters act inside the join, and Jaccard is
-verified on the whole sets. A line goes if an earlier line (by doc_id, then
-line) is similar to it, kept or not.
+verified on the whole sets. A line goes if an earlier line (by doc_id, then line)
+is similar to it, kept or not.
 
 Equal sets are one class first. Then each class meets only the earliest class of
 each of its key words, which settles dense groups of copies in linear work; the
-classes still open meet all earlier ones.
+classes still open meet all earlier ones. Key words travel as 32 bits, which can
+only add candidates; sets are read again for the verification, of candidates only.
 
-All of it is DataFrame operations.
+All of it is DataFrame operations. What is broadcast is measured first; beyond the
+bound the same joins shuffle.
 
 Defined cases: null texts have no lines and stay null; lines without words are
 never removed; null doc_ids come last; rows with equal doc_id are told apart by
@@ -25,23 +27,30 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stage
-from .common import plain_words, text_key
+from ..session import shuffle_partitions, stage
+from .common import plain_words, small, text_key
 
 SIMILARITY = 0.8
 #: Words are counted in this many hash buckets, whatever the table.
-RARITY_BUCKETS = 1 << 12
+RARITY_BUCKETS = 1 << 16
 _LAST = (1 << 63) - 1
+_PLACE = ["doc", "key1", "key2", "line_no"]
+
+
+def _hint(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    return F.broadcast(df) if small(df, bytes_per_row) else df
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, key1, key2, line_no, hashes (of the distinct words)."""
-    rows = docs.select(
+    """doc, key1, key2, line_no, line."""
+    return docs.select(
         F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("doc"), *text_key(docs["text"]),
         F.posexplode(F.split(docs["text"], "\n")).alias("line_no", "line"),
     )
-    hashes = F.array_distinct(F.transform(plain_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return rows.select("doc", "key1", "key2", "line_no", hashes.alias("hashes"))
+
+
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(plain_words(line), lambda w: F.xxhash64(w)))
 
 
 def _bucket(h):
@@ -50,103 +59,116 @@ def _bucket(h):
 
 def _rarity(lines: DataFrame) -> Column:
     """An array with twice the binary logarithm of each bucket's count, as a constant."""
-    counts = (
-        lines.select(F.explode("hashes").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).count()
-    )
+    words = lines.select(F.explode(plain_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     levels = ["0"] * RARITY_BUCKETS
     for r in counts.collect():  # RARITY_BUCKETS rows at most
         levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))))
     return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
 
 
-def _keyed(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Lines with ``words``: rarity and hash of each word in one long, rarest first."""
+def _keyed(lines: DataFrame, rarity: Column, t: float) -> DataFrame:
+    """Per line: set1, set2 (hashes of the set), n, keys (the rarest words, 32 bits)."""
 
-    def key(h):
+    def order(h):
         low = h.bitwiseAND(F.lit((1 << 56) - 1))
         return F.shiftleft(rarity[_bucket(h)].cast("bigint"), 56).bitwiseOR(low)
 
     def row(words):
+        n = F.size(words)
+        length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
+        keys = F.transform(F.slice(words, F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)))
         return F.struct(
-            words.alias("words"),
-            F.xxhash64(words).alias("set1"),
-            F.xxhash64(F.lit(5), words, F.lit(9)).alias("set2"),
+            n.alias("n"), F.xxhash64(words).alias("set1"), F.xxhash64(F.lit(5), words, F.lit(9)).alias("set2"),
+            F.transform(keys, lambda k: (k - F.lit(1 << 31)).cast("int")).alias("keys"),
         )
 
-    words = F.sort_array(F.transform("hashes", key))
+    words = F.sort_array(F.transform(_hashes(F.col("line")), order))
     # an array of one binds the words, which would else be made anew for each use
     bound = lines.withColumn("_set", F.transform(F.array(words), row)[0])
-    return bound.select("doc", "key1", "key2", "line_no", "_set.*").where(F.size("words") > 0)
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """set1, set2 of the later classes whose pair reaches the similarity."""
-    sets = classes.select("set1", "set2", "words")
-    pairs = pairs.distinct()
-    both = pairs.join(sets, ["set1", "set2"]).join(
-        sets.select(
-            F.col("set1").alias("other1"), F.col("set2").alias("other2"), F.col("words").alias("others")
-        ),
-        ["other1", "other2"],
+    return bound.select(*_PLACE, "_set.*")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """cid of the later classes whose pair (cid, other) reaches the similarity."""
+    pairs = stage(pairs.distinct(), "line-pairs")
+    asked = pairs.select("cid").union(pairs.select("other")).distinct()
+    places = stage(classes.select("cid", "at.*").join(asked, "cid"), "line-places")
+    sets = stage(
+        lines.join(_hint(places, 64), _PLACE).select("cid", _hashes(F.col("line")).alias("words"))
+        .dropDuplicates(["cid"]),
+        "line-sets",
+    )
+    both = pairs.join(sets, "cid").join(
+        sets.select(F.col("cid").alias("other"), F.col("words").alias("others")), "other"
     )
     shared = F.size(F.array_intersect("words", "others"))
     every = F.size("words") + F.size("others") - shared
-    return both.where(shared >= every * F.lit(t) - 1e-9).select("set1", "set2").distinct()
+    return stage(both.where(shared >= every * F.lit(t) - 1e-9).select("cid").distinct(), "similar")
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc (null doc_ids as the largest long), key1, key2 (of the text), line_no: lines to remove."""
     t = similarity
     lines = _lines(docs)
-    keyed = _keyed(lines, _rarity(lines))
+    # filtered when it is written: before, the filter would make the sets a second time
+    keyed = stage(_keyed(lines, _rarity(lines), t), "lines").where("n > 0")
     at = F.struct("doc", "line_no", "key1", "key2")
     classes = stage(
-        keyed.groupBy("set1", "set2").agg(F.min(at).alias("at"), F.first("words").alias("words")),
+        keyed.groupBy("set1", "set2")
+        .agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        .withColumn("cid", F.monotonically_increasing_id()),
         "line-classes",
     )
-    n = F.size("words")
-    length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    keys = classes.select(
-        "set1", "set2", n.alias("n"), F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
-        F.posexplode(F.slice("words", F.lit(1), length)).alias("i", "word"),
-    )
-    other = keys.select(
-        "word", *[F.col(c).alias(f"{c}_") for c in ("set1", "set2", "n", "i", "doc", "line_no")]
+    parts = shuffle_partitions(docs.sparkSession)
+    rows = classes.select(
+        "cid", "n", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
+        F.posexplode("keys").alias("i", "word"),
     )
-    earlier = F.struct("doc_", "line_no_", "set1_", "set2_") < F.struct("doc", "line_no", "set1", "set2")
+    names = ["cid", "n", "i", "doc", "line_no"]
+    other = [F.col(c).alias(f"{c}_") for c in names]
+    earlier = F.struct("doc_", "line_no_", "cid_") < F.struct("doc", "line_no", "cid")
     wanted = F.ceil((F.col("n") + F.col("n_")) * F.lit(t / (1 + t)) - 1e-9)
     near = (
         (F.col("n_") >= F.col("n") * F.lit(t) - 1e-9)
         & (F.col("n") >= F.col("n_") * F.lit(t) - 1e-9)
-        & (1 + F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) - 1 >= wanted)
+        & (F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= wanted)
     )
-    pair = ["set1", "set2", F.col("set1_").alias("other1"), F.col("set2_").alias("other2")]
 
-    first = other.groupBy("word").agg(
-        F.min(F.struct("doc_", "line_no_", "set1_", "set2_", "n_", "i_")).alias("o")
-    ).select("word", "o.*")
-    settled = stage(
-        _verified(keys.join(first, "word").where(earlier & near).select(*pair), classes, t), "settled"
-    )
-    open_ = keys.join(settled, ["set1", "set2"], "left_anti")
-    rest = _verified(open_.join(other, "word").where(earlier & near).select(*pair), classes, t)
+    def candidates(left, right):
+        return left.join(right, "word").where(earlier & near).select("cid", F.col("cid_").alias("other"))
+
+    dealt = rows.repartition(parts, "word")
+    first = dealt.groupBy("word").agg(
+        F.min(F.struct("doc", "line_no", "cid", "n", "i")).alias("o")
+    ).select("word", *[F.col(f"o.{c}").alias(f"{c}_") for c in names])
+    settled = _verified(candidates(dealt, first), classes, lines, t)
+    open_ = dealt.join(_hint(settled, 16), "cid", "left_anti")
+    rest = _verified(candidates(open_, dealt.select("word", *other)), classes, lines, t)
     similar = settled.unionByName(rest).withColumn("similar", F.lit(True))
 
-    verdict = classes.join(similar, ["set1", "set2"], "left").select(
-        "set1", "set2", F.coalesce("similar", F.lit(False)).alias("similar"), F.col("at").alias("first")
+    verdict = stage(
+        classes.select("cid", "set1", "set2", "copies", F.col("at").alias("first")).join(similar, "cid", "left")
+        .where("copies > 1 or similar")
+        .select("set1", "set2", F.coalesce("similar", F.lit(False)).alias("similar"), "first"),
+        "line-verdicts",
     )
-    places = keyed.select("doc", "key1", "key2", "line_no", "set1", "set2")
-    first_of = F.struct("doc", "line_no", "key1", "key2") == F.col("first")
-    return places.join(verdict, ["set1", "set2"]).where(F.col("similar") | ~first_of).select(
-        "doc", "key1", "key2", "line_no"
-    ).distinct()
+    repeats = F.struct("doc", "line_no", "key1", "key2") != F.col("first")
+    found = keyed.drop("n", "keys").join(_hint(verdict, 80), ["set1", "set2"])
+    return found.where(F.col("similar") | repeats).select(*_PLACE).distinct()
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that stay, and ``removed``, their numbers from 0."""
-    gone = removed_lines(docs, similarity).groupBy("doc", "key1", "key2").agg(
-        F.collect_set("line_no").alias("_gone")  # lines of one document
+    gone = stage(
+        removed_lines(docs, similarity)
+        .groupBy("doc", "key1", "key2")
+        .agg(F.collect_set("line_no").alias("_gone")),  # lines of one document
+        "removed-lines",
     )
+    size = gone.agg(F.coalesce(F.sum(F.size("_gone") * 8 + 64), F.lit(0))).first()[0]
+    if size <= 64 << 20:
+        gone = F.broadcast(gone)
     key1, key2 = text_key(docs["text"])
     marked = docs.withColumns(
         {"_doc": F.coalesce(docs["doc_id"], F.lit(_LAST)), "_key1": key1, "_key2": key2}
