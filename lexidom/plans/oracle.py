@@ -123,7 +123,8 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM dom)"""),
     # The derived raw log, as it must look after the parse.
     "raw": (["every_tok"], """
-        SELECT upper(w) || CASE lang WHEN 'en' THEN '.co.uk' WHEN 'de' THEN '.de'
+        SELECT translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+                 || CASE lang WHEN 'en' THEN '.co.uk' WHEN 'de' THEN '.de'
                                      WHEN 'fr' THEN '.fr' ELSE '.com' END AS domain,
                CASE WHEN toxic = 1 THEN 'dga' ELSE 'benign' END AS threat, doc_id
         FROM every_tok LEFT JOIN labels USING (doc_id)
