@@ -4,7 +4,7 @@ A line is the set of its lower-case words. Words are ordered by rarity (counted
 hash bucket over the whole table); two lines with Jaccard similarity of at least t
 share a word within their first n - ceil(t n) + 1 words, so only those words are
 join keys. Length and positional filters act inside the join, and so does a
-parity sketch: words toggle bits of one long, and the bits in which two sketches
+parity sketch: words toggle bits of two longs, and the bits in which two sketches
 differ are at most the words in which the sets do. Jaccard is verified on the whole
 sets. A line goes if an earlier line (by doc_id, then line)
 is similar to it, kept or not.
@@ -70,7 +70,7 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def _keyed(lines: DataFrame, rarity: Column, t: float) -> DataFrame:
-    """Per line: set1, set2 (hashes of the set), n, parity, keys (the rarest words, 32 bits)."""
+    """Per line: set1, set2 (hashes of the set), n, even, odd (parity), keys (the rarest words, 32 bits)."""
 
     def order(h):
         low = h.bitwiseAND(F.lit((1 << 56) - 1))
@@ -81,12 +81,14 @@ def _keyed(lines: DataFrame, rarity: Column, t: float) -> DataFrame:
         length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
         keys = F.transform(F.slice(words, F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)))
         one = F.lit(1).cast("bigint")
-        parity = F.aggregate(
-            words, F.lit(0).cast("bigint"),
-            lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))),
-        )
+
+        def parity(half):
+            mine = F.filter(words, lambda w: w.bitwiseAND(F.lit(64)) == 64 * half)
+            bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+            return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+
         return F.struct(
-            n.alias("n"), parity.alias("parity"), F.xxhash64(words).alias("set1"), F.xxhash64(F.lit(5), words, F.lit(9)).alias("set2"),
+            n.alias("n"), parity(0).alias("even"), parity(1).alias("odd"), F.xxhash64(words).alias("set1"), F.xxhash64(F.lit(5), words, F.lit(9)).alias("set2"),
             F.transform(keys, lambda k: (k - F.lit(1 << 31)).cast("int")).alias("keys"),
         )
 
@@ -94,7 +96,7 @@ def _keyed(lines: DataFrame, rarity: Column, t: float) -> DataFrame:
     # an array of one binds the words, which would else be made anew for each use
     bound = lines.withColumn("_set", F.transform(F.array(words), row)[0])
     sets = [F.coalesce(f"_set.{c}", F.lit(0).cast("bigint")).alias(c) for c in ("set1", "set2")]  # never null
-    return bound.select(*_PLACE, *sets, "_set.n", "_set.parity", "_set.keys")
+    return bound.select(*_PLACE, *sets, "_set.n", "_set.even", "_set.odd", "_set.keys")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float) -> DataFrame:
@@ -123,24 +125,25 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     at = F.struct("doc", "line_no", "key1", "key2")
     classes = stage(
         keyed.groupBy("set1", "set2")
-        .agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", "keys")])
+        .agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "even", "odd", "keys")])
         .withColumn("cid", F.monotonically_increasing_id()),
         "line-classes",
     ).where("n > 0")
     parts = shuffle_partitions(docs.sparkSession)
     rows = classes.select(
-        "cid", "n", "parity", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
+        "cid", "n", "even", "odd", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
         F.posexplode("keys").alias("i", "word"),
     )
-    names = ["cid", "n", "parity", "i", "doc", "line_no"]
+    names = ["cid", "n", "even", "odd", "i", "doc", "line_no"]
     other = [F.col(c).alias(f"{c}_") for c in names]
     earlier = F.struct("doc_", "line_no_", "cid_") < F.struct("doc", "line_no", "cid")
     wanted = F.ceil((F.col("n") + F.col("n_")) * F.lit(t / (1 + t)) - 1e-9)
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_")))
     near = (
         (F.col("n_") >= F.col("n") * F.lit(t) - 1e-9)
         & (F.col("n") >= F.col("n_") * F.lit(t) - 1e-9)
         & (F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= wanted)
-        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_"))) <= F.col("n") + F.col("n_") - 2 * wanted)
+        & (differ("even") + differ("odd") <= F.col("n") + F.col("n_") - 2 * wanted)
     )
 
     def candidates(left, right):
@@ -148,7 +151,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     dealt = rows.repartition(parts, "word")
     first = dealt.groupBy("word").agg(
-        F.min(F.struct("doc", "line_no", "cid", "n", "parity", "i")).alias("o")
+        F.min(F.struct("doc", "line_no", "cid", "n", "even", "odd", "i")).alias("o")
     ).select("word", *[F.col(f"o.{c}").alias(f"{c}_") for c in names])
     settled = _verified(candidates(dealt, first), classes, lines, t)
     open_ = dealt.join(_hint(settled, 16), "cid", "left_anti")
