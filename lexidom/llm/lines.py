@@ -12,7 +12,8 @@ is similar to it, kept or not.
 Equal sets are one class first. Then each class meets only the earliest class of
 each of its key words, which settles dense groups of copies in linear work; the
 classes still open meet all earlier ones. Key words travel as 32 bits, which can
-only add candidates; sets are read again for the verification, of candidates only.
+only add candidates; whole sets are read for the verification, of candidates only.
+Texts are split into words once; later steps read the sets' hashes from a table.
 
 All of it is DataFrame operations. What is broadcast is measured first; beyond the
 bound the same joins shuffle.
@@ -29,12 +30,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import shuffle_partitions, stage
+from ..session import scratch_path, shuffle_partitions, stage
 from .common import plain_words, small, text_key
 
 SIMILARITY = 0.8
 #: Words are counted in this many hash buckets, whatever the table.
 RARITY_BUCKETS = 1 << 16
+#: A file's words are written as a dictionary of up to this size; a matter of space only.
+_DICTIONARY_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
 _PLACE = ["doc", "key1", "key2", "line_no"]
 
@@ -59,44 +62,55 @@ def _bucket(h):
     return F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")
 
 
-def _rarity(lines: DataFrame) -> Column:
+def _line_sets(docs: DataFrame) -> DataFrame:
+    """Place, set1, set2 (hashes of the set) and words (sorted hashes) of each line with words.
+
+    Texts are split into words here and nowhere else. Words repeat over lines, so the
+    table's dictionaries hold far fewer of them than its rows do.
+    """
+    words = _lines(docs).select(*_PLACE, F.sort_array(_hashes(F.col("line"))).alias("words"))
+    sets = words.where(F.size("words") > 0).select(
+        *_PLACE, F.xxhash64("words").alias("set1"),
+        F.xxhash64(F.lit(5), F.col("words"), F.lit(9)).alias("set2"), "words",
+    )
+    path = scratch_path(docs.sparkSession, "line-sets")
+    sets.write.option("parquet.dictionary.page.size", _DICTIONARY_BYTES).parquet(path)
+    return docs.sparkSession.read.schema(sets.schema).parquet(path)
+
+
+def _rarity(sets: DataFrame) -> Column:
     """An array with twice the binary logarithm of each bucket's count, as a constant."""
-    words = lines.select(F.explode(plain_words(F.col("line"))).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    counts = sets.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
     levels = ["0"] * RARITY_BUCKETS
     for r in counts.collect():  # RARITY_BUCKETS rows at most
         levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))))
     return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
 
 
-def _keyed(lines: DataFrame, rarity: Column, t: float) -> DataFrame:
-    """Per line: set1, set2 (hashes of the set), n, even, odd (parity), keys (the rarest words, 32 bits)."""
+def _keyed(sets: DataFrame, rarity: Column, t: float) -> DataFrame:
+    """Per line: place, set1, set2, n, even, odd (parity), keys (the rarest words, 32 bits)."""
 
     def order(h):
         low = h.bitwiseAND(F.lit((1 << 56) - 1))
         return F.shiftleft(rarity[_bucket(h)].cast("bigint"), 56).bitwiseOR(low)
 
-    def row(words):
-        n = F.size(words)
-        length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-        keys = F.transform(F.slice(words, F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)))
-        one = F.lit(1).cast("bigint")
+    def key(w):
+        return (w.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
-        def parity(half):
-            mine = F.filter(words, lambda w: w.bitwiseAND(F.lit(64)) == 64 * half)
-            bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
-            return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+    one = F.lit(1).cast("bigint")
 
-        return F.struct(
-            n.alias("n"), parity(0).alias("even"), parity(1).alias("odd"), F.xxhash64(words).alias("set1"), F.xxhash64(F.lit(5), words, F.lit(9)).alias("set2"),
-            F.transform(keys, lambda k: (k - F.lit(1 << 31)).cast("int")).alias("keys"),
-        )
+    def parity(half):
+        mine = F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) == 64 * half)
+        bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
-    words = F.sort_array(F.transform(_hashes(F.col("line")), order))
-    # an array of one binds the words, which would else be made anew for each use
-    bound = lines.withColumn("_set", F.transform(F.array(words), row)[0])
-    sets = [F.coalesce(f"_set.{c}", F.lit(0).cast("bigint")).alias(c) for c in ("set1", "set2")]  # never null
-    return bound.select(*_PLACE, *sets, "_set.n", "_set.even", "_set.odd", "_set.keys")
+    n = F.size("words")
+    length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
+    rarest = F.slice(F.sort_array(F.transform("words", order)), F.lit(1), length)
+    return sets.select(
+        *_PLACE, "set1", "set2", n.alias("n"), parity(0).alias("even"), parity(1).alias("odd"),
+        F.transform(rarest, key).alias("keys"),
+    )
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float) -> DataFrame:
@@ -105,9 +119,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float)
     asked = pairs.select("cid").union(pairs.select("other")).distinct()
     places = stage(classes.select("cid", "at.*").join(asked, "cid"), "line-places")
     sets = stage(
-        lines.join(_hint(places, 64), _PLACE).select("cid", _hashes(F.col("line")).alias("words"))
-        .dropDuplicates(["cid"]),
-        "line-sets",
+        lines.join(_hint(places, 64), _PLACE).select("cid", "words").dropDuplicates(["cid"]),
+        "asked-sets",
     )
     both = pairs.join(sets, "cid").join(
         sets.select(F.col("cid").alias("other"), F.col("words").alias("others")), "other"
@@ -120,7 +133,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float)
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc (null doc_ids as the largest long), key1, key2 (of the text), line_no: lines to remove."""
     t = similarity
-    lines = _lines(docs)
+    lines = _line_sets(docs)
     keyed = _keyed(lines, _rarity(lines), t)
     at = F.struct("doc", "line_no", "key1", "key2")
     classes = stage(
@@ -128,7 +141,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "even", "odd", "keys")])
         .withColumn("cid", F.monotonically_increasing_id()),
         "line-classes",
-    ).where("n > 0")
+    )
     parts = shuffle_partitions(docs.sparkSession)
     rows = classes.select(
         "cid", "n", "even", "odd", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
@@ -165,7 +178,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "line-verdicts",
     )
     repeats = F.struct("doc", "line_no", "key1", "key2") != F.col("first")
-    found = keyed.select(*_PLACE, "set1", "set2").join(_hint(verdict, 80), ["set1", "set2"])
+    found = lines.select(*_PLACE, "set1", "set2").join(_hint(verdict, 80), ["set1", "set2"])
     return found.where(F.col("similar") | repeats).select(*_PLACE).distinct()
 
 
