@@ -10,8 +10,8 @@ sets. A line goes if an earlier line (by doc_id, then line)
 is similar to it, kept or not.
 
 Equal sets are one class first. Then each class meets only the earliest class of
-each of its key words, which settles dense groups of copies in linear work; the
-classes still open meet all earlier ones. Key words travel as 32 bits, which can
+each of its key words of many classes, which settles dense groups of copies in linear
+work; the classes still open meet all earlier ones by all of their key words. Key words travel as 32 bits, which can
 only add candidates; whole sets are read for the verification, of candidates only.
 Texts are split into words once; later steps read the sets' hashes from a table.
 
@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 16
 #: A file's words are written as a dictionary of up to this size; a matter of space only.
 _DICTIONARY_BYTES = 16 << 20
+#: A key word of more classes than this first meets its earliest class only.
+DENSE = 256
 _LAST = (1 << 63) - 1
 _PLACE = ["doc", "key1", "key2", "line_no"]
 
@@ -160,13 +162,15 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
     def candidates(left, right):
-        return left.join(right, "word").where(earlier & near).select("cid", F.col("cid_").alias("other"))
+        return left.join(right, "word").where(near & earlier).select("cid", F.col("cid_").alias("other"))
 
     dealt = rows.repartition(parts, "word")
-    first = dealt.groupBy("word").agg(
+    dense = stage(rows.groupBy("word").count().where(F.col("count") > DENSE).select("word"), "dense")
+    often = rows.join(_hint(dense, 16), "word")
+    first = often.groupBy("word").agg(
         F.min(F.struct("doc", "line_no", "cid", "n", "even", "odd", "i")).alias("o")
     ).select("word", *[F.col(f"o.{c}").alias(f"{c}_") for c in names])
-    settled = _verified(candidates(dealt, first), classes, lines, t)
+    settled = _verified(candidates(often, first), classes, lines, t)
     open_ = dealt.join(_hint(settled, 16), "cid", "left_anti")
     rest = _verified(candidates(open_, dealt.select("word", *other)), classes, lines, t)
     similar = settled.unionByName(rest).withColumn("similar", F.lit(True))
