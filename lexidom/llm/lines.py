@@ -71,13 +71,14 @@ def _line_sets(docs: DataFrame) -> DataFrame:
     table's dictionaries hold far fewer of them than its rows do.
     """
     words = _lines(docs).select(*_PLACE, F.sort_array(_hashes(F.col("line"))).alias("words"))
-    sets = words.where(F.size("words") > 0).select(
+    sets = words.select(
         *_PLACE, F.xxhash64("words").alias("set1"),
         F.xxhash64(F.lit(5), F.col("words"), F.lit(9)).alias("set2"), "words",
     )
     path = scratch_path(docs.sparkSession, "line-sets")
     sets.write.option("parquet.dictionary.page.size", _DICTIONARY_BYTES).parquet(path)
-    return docs.sparkSession.read.schema(sets.schema).parquet(path)
+    # only here: a filter before the writing would split the texts once more
+    return docs.sparkSession.read.schema(sets.schema).parquet(path).where(F.size("words") > 0)
 
 
 def _rarity(sets: DataFrame) -> Column:
