@@ -4,15 +4,16 @@ A line is the set of its lower-case words. Words are ordered by rarity (counted
 hash bucket over the whole table); two lines with Jaccard similarity of at least t
 share a word within their first n - ceil(t n) + 1 words, so only those words are
 join keys. Length and positional filters act inside the join, and so does a
-parity sketch: words toggle bits of two longs, and the bits in which two sketches
-differ are at most the words in which the sets do. Jaccard is verified on the whole
-sets. A line goes if an earlier line (by doc_id, then line)
+parity sketch: words toggle bits of one long, in long sets of two, and the bits in
+which two sketches differ are at most the words in which the sets do. Jaccard is
+verified on the whole sets. A line goes if an earlier line (by doc_id, then line)
 is similar to it, kept or not.
 
 Equal sets are one class first. Then each class meets only the earliest class of
 each of its key words of many classes, which settles dense groups of copies in linear
-work; the classes still open meet all earlier ones by all of their key words. Key words travel as 32 bits, which can
-only add candidates; whole sets are read for the verification, of candidates only.
+work. Then all classes are dealt by their key words once, and each meets those no longer
+than itself, unless both are settled; which of the two is the later is decided with
+the verification. Key words travel as 32 bits, which can only add candidates; whole sets are read for the verification, of candidates only.
 Texts are split into words once; later steps read the sets' hashes from a table.
 
 All of it is DataFrame operations. What is broadcast is measured first; beyond the
@@ -40,6 +41,8 @@ RARITY_BUCKETS = 1 << 16
 _DICTIONARY_BYTES = 16 << 20
 #: A key word of more classes than this first meets its earliest class only.
 DENSE = 256
+#: Sets of at least this many words carry a second parity sketch.
+LONG = 64
 _LAST = (1 << 63) - 1
 _PLACE = ["doc", "key1", "key2", "line_no"]
 
@@ -82,55 +85,83 @@ def _line_sets(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(sets: DataFrame) -> Column:
-    """An array with twice the binary logarithm of each bucket's count, as a constant."""
+    """An array with twice the binary logarithm of each bucket's count, in a long's top byte, as a constant."""
     counts = sets.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
     levels = ["0"] * RARITY_BUCKETS
     for r in counts.collect():  # RARITY_BUCKETS rows at most
-        levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+        levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))) << 56)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+
+
+def _parity(words: Column) -> Column:
+    """Each word toggles one of 64 bits."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, zero, lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def _keyed(sets: DataFrame, rarity: Column, t: float) -> DataFrame:
-    """Per line: place, set1, set2, n, even, odd (parity), keys (the rarest words, 32 bits)."""
+    """Per line: place, set1, set2, n, all_bits, odd_bits (parity), keys (the rarest words, 32 bits).
+
+    ``odd_bits`` is the parity of about half of the words, of long sets only.
+    """
 
     def order(h):
-        low = h.bitwiseAND(F.lit((1 << 56) - 1))
-        return F.shiftleft(rarity[_bucket(h)].cast("bigint"), 56).bitwiseOR(low)
+        return F.get(rarity, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     def key(w):
         return (w.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
-    one = F.lit(1).cast("bigint")
-
-    def parity(half):
-        mine = F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) == 64 * half)
-        bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseXOR(bit(w)))
-
     n = F.size("words")
     length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
     rarest = F.slice(F.sort_array(F.transform("words", order)), F.lit(1), length)
+    odd = _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0))
     return sets.select(
-        *_PLACE, "set1", "set2", n.alias("n"), parity(0).alias("even"), parity(1).alias("odd"),
+        *_PLACE, "set1", "set2", n.alias("n"), _parity(F.col("words")).alias("all_bits"),
+        F.when(n >= LONG, odd).otherwise(F.lit(0).cast("bigint")).alias("odd_bits"),
         F.transform(rarest, key).alias("keys"),
     )
 
 
+def _candidates(left: DataFrame, right: DataFrame, t: float, once: Column) -> DataFrame:
+    """(cid, other) of rows with a common key word that pass the filters and ``once``.
+
+    Rows are cid, at (n, position and mark in one long), all_bits, odd_bits, word;
+    the other side's names end in _.
+    """
+    n, n_ = (F.shiftright(c, 32) for c in ("at", "at_"))
+    i, i_ = (F.shiftright(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), 1) for c in ("at", "at_"))
+    wanted = F.ceil((n + n_) * F.lit(t / (1 + t)) - 1e-9)
+    whole = F.col("all_bits").bitwiseXOR(F.col("all_bits_"))
+    odd = F.col("odd_bits").bitwiseXOR(F.col("odd_bits_"))
+    differ = F.when(F.least(n, n_) < LONG, F.bit_count(whole)).otherwise(
+        F.bit_count(whole.bitwiseXOR(odd)) + F.bit_count(odd)
+    )
+    near = (
+        (n_ >= n * F.lit(t) - 1e-9) & (n >= n_ * F.lit(t) - 1e-9)
+        & (F.least(n - i, n_ - i_) >= wanted) & (differ <= n + n_ - 2 * wanted)
+    )
+    return left.join(right, "word").where(once & near).select("cid", F.col("cid_").alias("other"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """cid of the later classes whose pair (cid, other) reaches the similarity."""
+    """cid of the later class of each pair (cid, other) that reaches the similarity."""
     pairs = stage(pairs.distinct(), "line-pairs")
     asked = pairs.select("cid").union(pairs.select("other")).distinct()
-    places = stage(classes.select("cid", "at.*").join(asked, "cid"), "line-places")
+    places = stage(classes.select("cid", "first.*").join(asked, "cid"), "line-places")
+    place = F.struct("doc", "line_no", "key1", "key2").alias("place")
     sets = stage(
-        lines.join(_hint(places, 64), _PLACE).select("cid", "words").dropDuplicates(["cid"]),
+        lines.join(_hint(places, 64), _PLACE).select("cid", place, "words").dropDuplicates(["cid"]),
         "asked-sets",
     )
     both = pairs.join(sets, "cid").join(
-        sets.select(F.col("cid").alias("other"), F.col("words").alias("others")), "other"
+        sets.select(*[F.col(c).alias(d) for c, d in (("cid", "other"), ("place", "place_"), ("words", "words_"))]),
+        "other",
     )
-    shared = F.size(F.array_intersect("words", "others"))
-    every = F.size("words") + F.size("others") - shared
-    return stage(both.where(shared >= every * F.lit(t) - 1e-9).select("cid").distinct(), "similar")
+    shared = F.size(F.array_intersect("words", "words_"))
+    every = F.size("words") + F.size("words_") - shared
+    later = F.when(F.col("place") > F.col("place_"), F.col("cid")).otherwise(F.col("other"))
+    return stage(both.where(shared >= every * F.lit(t) - 1e-9).select(later.alias("cid")).distinct(), "similar")
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -138,46 +169,47 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     t = similarity
     lines = _line_sets(docs)
     keyed = _keyed(lines, _rarity(lines), t)
-    at = F.struct("doc", "line_no", "key1", "key2")
+    place = F.struct("doc", "line_no", "key1", "key2")
+    carried = ["n", "all_bits", "odd_bits", "keys"]
     classes = stage(
         keyed.groupBy("set1", "set2")
-        .agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "even", "odd", "keys")])
+        .agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in carried])
         .withColumn("cid", F.monotonically_increasing_id()),
         "line-classes",
     )
-    parts = shuffle_partitions(docs.sparkSession)
-    rows = classes.select(
-        "cid", "n", "even", "odd", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"),
-        F.posexplode("keys").alias("i", "word"),
-    )
-    names = ["cid", "n", "even", "odd", "i", "doc", "line_no"]
+    names = ["cid", "at", "all_bits", "odd_bits"]
     other = [F.col(c).alias(f"{c}_") for c in names]
-    earlier = F.struct("doc_", "line_no_", "cid_") < F.struct("doc", "line_no", "cid")
-    wanted = F.ceil((F.col("n") + F.col("n_")) * F.lit(t / (1 + t)) - 1e-9)
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_")))
-    near = (
-        (F.col("n_") >= F.col("n") * F.lit(t) - 1e-9)
-        & (F.col("n") >= F.col("n_") * F.lit(t) - 1e-9)
-        & (F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= wanted)
-        & (differ("even") + differ("odd") <= F.col("n") + F.col("n_") - 2 * wanted)
-    )
-
-    def candidates(left, right):
-        return left.join(right, "word").where(near & earlier).select("cid", F.col("cid_").alias("other"))
-
-    dealt = rows.repartition(parts, "word")
-    dense = stage(rows.groupBy("word").count().where(F.col("count") > DENSE).select("word"), "dense")
-    often = rows.join(_hint(dense, 16), "word")
-    first = often.groupBy("word").agg(
-        F.min(F.struct("doc", "line_no", "cid", "n", "even", "odd", "i")).alias("o")
-    ).select("word", *[F.col(f"o.{c}").alias(f"{c}_") for c in names])
-    settled = _verified(candidates(often, first), classes, lines, t)
-    open_ = dealt.join(_hint(settled, 16), "cid", "left_anti")
-    rest = _verified(candidates(open_, dealt.select("word", *other)), classes, lines, t)
-    similar = settled.unionByName(rest).withColumn("similar", F.lit(True))
+
+    def rows(of, mark, *more):
+        at = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("i") * 2 + mark).cast("bigint"))
+        every = of.select("*", F.posexplode("keys").alias("i", "word"))
+        return every.select("word", "cid", at.alias("at"), "all_bits", "odd_bits", *more)
+
+    plain = rows(classes, F.lit(0), "first")
+    dense = stage(plain.groupBy("word").count().where(F.col("count") > DENSE).select("word"), "dense")
+    often = plain.join(_hint(dense, 16), "word")
+    earliest = F.min(F.struct("first.doc", "first.line_no", *names)).alias("o")
+    anchors = stage(
+        often.groupBy("word").agg(earliest).select("word", *[F.col(f"o.{c}").alias(f"{c}_") for c in names]),
+        "anchors",
+    )
+    apart = F.col("cid") != F.col("cid_")
+    settled = _verified(
+        _candidates(often.drop("first"), _hint(anchors, 64), t, apart), classes, lines, t
+    )
+
+    marked = classes.join(_hint(settled.withColumn("mark", F.lit(1)), 24), "cid", "left")
+    dealt = rows(marked, F.coalesce("mark", F.lit(0))).repartition(shuffle_partitions(docs.sparkSession), "word")
+    n, n_ = (F.shiftright(c, 32) for c in ("at", "at_"))
+    shorter = (n_ < n) | ((n_ == n) & (F.col("cid_") < F.col("cid")))
+    both_settled = F.col("at").bitwiseAND(F.col("at_")).bitwiseAND(F.lit(1)) == 1
+    rest = _verified(
+        _candidates(dealt, dealt.select("word", *other), t, shorter & ~both_settled), classes, lines, t
+    )
+    similar = settled.union(rest).distinct().withColumn("similar", F.lit(True))
 
     verdict = stage(
-        classes.select("cid", "set1", "set2", "copies", F.col("at").alias("first")).join(similar, "cid", "left")
+        classes.select("cid", "set1", "set2", "copies", "first").join(similar, "cid", "left")
         .where("copies > 1 or similar")
         .select("set1", "set2", F.coalesce("similar", F.lit(False)).alias("similar"), "first"),
         "line-verdicts",
