@@ -35,7 +35,7 @@ from ..session import scratch_path, shuffle_partitions, stage
 from .common import plain_words, small, text_key
 
 SIMILARITY = 0.8
-#: Words are counted in this many hash buckets, whatever the table.
+#: Words are counted in this many hash buckets (a power of two), whatever the table.
 RARITY_BUCKETS = 1 << 16
 #: A file's words are written as a dictionary of up to this size; a matter of space only.
 _DICTIONARY_BYTES = 16 << 20
@@ -64,7 +64,7 @@ def _hashes(line: Column) -> Column:
 
 
 def _bucket(h):
-    return F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexidom.llm import simhash, substrings
+from lexidom.llm import lines as line_dedup, simhash, substrings
 from lexidom.llm.lines import dedup_lines
 from lexidom.llm.simhash import components, fingerprint, keep_first, links, near_duplicates
 from lexidom.llm.substrings import remove_repeats, rolling
@@ -181,6 +181,25 @@ def test_lines_are_removed_as_by_the_plain_version(documents):
         assert rows[i].text == (None if left is None else "\n".join(left))
 
 
+def test_long_lines_and_dense_words(documents, monkeypatch):
+    """Sets around the bound of the second sketch; near copies settled by their earliest."""
+    monkeypatch.setattr(line_dedup, "DENSE", 3)
+    rng = random.Random(8)
+    texts = []
+    for size in (8, 56, 64, 70, 130):
+        base = rng.sample(VOCABULARY, size)
+        for _ in range(12):
+            ws = base[: size - rng.randrange(size // 4)]
+            for _ in range(rng.randrange(1 + size // 8)):
+                ws[rng.randrange(len(ws))] = rng.choice(VOCABULARY)
+            texts.append(" ".join(ws))
+    rng.shuffle(texts)
+    rows = {r.doc_id: r.removed for r in dedup_lines(documents(texts)).collect()}
+    want = [sorted(gone) for gone in brute.lines_removed(texts)]
+    assert 10 < sum(map(len, want)) < len(texts) - 5
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(2, "a b c\nnew words here", 1), (None, "a b c", 2), (1, "c b a", 3), (1, "c b a", 3), (1, "other", 4)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, words INT")
