@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import zero_safe
 
 
+def _known(column: str) -> Column:
+    """The column; a null fails the job, as the row would be in none of the counts."""
+    return F.coalesce(F.col(column).cast("int"), F.raise_error(F.lit(f"{column} must not be null")).cast("int"))
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     """label, prediction, cnt for the pairs that occur."""
     return predicted.groupBy(
@@ -15,8 +20,8 @@ def confusion(predicted: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(predicted: DataFrame) -> DataFrame:
-    """The same as a 2 x 2 matrix, absent pairs as 0."""
-    label, pred = F.col("label").cast("int"), F.col("prediction").cast("int")
+    """The same as a 2 x 2 matrix, absent pairs as 0; nulls fail the job."""
+    label, pred = _known("label"), _known("prediction")
     return predicted.groupBy(label.alias("label")).agg(
         F.count_if(pred == 0).alias("predicted_0"), F.count_if(pred == 1).alias("predicted_1")
     )
@@ -24,8 +29,8 @@ def confusion_matrix(predicted: DataFrame) -> DataFrame:
 
 def binary_metrics(predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Accuracy, precision, recall and F1 of class 1 in one pass; an empty
-    denominator gives 0."""
-    label, pred = F.col("label") == 1, F.col("prediction") == 1
+    denominator gives 0, a null label or prediction fails the job."""
+    label, pred = _known("label") == 1, _known("prediction") == 1
     counts = predicted.groupBy(*(by or [])).agg(
         F.count_if(label & pred).alias("tp"),
         F.count_if(~label & pred).alias("fp"),

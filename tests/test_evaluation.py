@@ -56,3 +56,11 @@ def test_summary_has_a_total(spark):
     df = spark.createDataFrame(rows, "domain STRING, label INT, split STRING")
     got = {r.split: (r.n, r.dga, r.benign, r.avg_length) for r in evaluation.class_summary(df).collect()}
     assert got == {"train": (2, 1, 1, 3.0), "test": (1, 0, 1, 3.0), "Total": (3, 1, 2, 3.0)}
+
+
+@pytest.mark.parametrize("row", ["(null, 1)", "(1, null)"])
+@pytest.mark.parametrize("counts", [evaluation.binary_metrics, evaluation.confusion_matrix])
+def test_nulls_are_refused(spark, row, counts):
+    df = spark.sql(f"select * from values (1, 1), {row} as t(label, prediction)")
+    with pytest.raises(Exception, match="must not be null"):
+        counts(df).collect()
