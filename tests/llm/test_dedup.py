@@ -219,3 +219,52 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     got = dedup_lines(df).where(F.size("removed") == 0).select("doc_id").collect()
     assert [r.doc_id for r in got] == [0]
+
+
+def _near_copies(rng):
+    """Texts and copies of them with some words changed, around similarity 0.8."""
+    texts = []
+    for size in (6, 30, 120, 400):
+        for _ in range(6):
+            base = [rng.choice(VOCABULARY) for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in (0, 1, 1, 2, 4, 8):
+                ws = list(base)
+                for at in rng.sample(range(size), min(changes, size)):
+                    ws[at] = rng.choice(VOCABULARY)
+                texts.append(" ".join(ws[rng.randrange(1 + size // 20) :]))
+    rng.shuffle(texts)
+    return texts + [None, "", "!!", "one", "One.", texts[0]]
+
+
+def test_pipeline_keeps_one_of_each_group_of_near_copies(spark, documents):
+    import corpus_pipeline
+
+    texts = _near_copies(random.Random(11))
+    sets = [brute.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                root = [root[j] if r == root[i] else r for r in root]
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    kept = corpus_pipeline.near_duplicates(spark, documents(texts), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(first.values())
+    assert 24 < len(first) < len(texts) - 30
+
+
+def test_near_copies_of_odd_rows(spark):
+    from lexidom.llm.near_copies import keep_first_alike
+
+    same = "a b c d e f g"
+    rows = [(5, same), (3, "A b, c d e f g"), (None, same), (7, "x y z"), (7, "x y z"), (None, "p q r s"), (9, None), (8, "")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id BIGINT, text STRING, cid STRING")
+    kept = keep_first_alike(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(3, "A b, c d e f g"), (7, "x y z"), (None, "p q r s"), (8, "")], key=str
+    )
+    assert keep_first_alike(df.limit(0)).count() == 0
