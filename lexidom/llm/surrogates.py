@@ -59,6 +59,7 @@ _FINDERS = [
 _DIGIT = re.compile(r"[0-9]")
 _KEYWORD = re.compile(r"(?i)token|passw|pwd|secret|api[_-]?key")
 _WORD = r"[^\W\d_]"
+_TOKEN = re.compile(r"\w+")
 _FULL_NAME = re.compile(rf"\b({'|'.join(sorted(_NAMES, key=lambda n: (-len(n), n)))}) ({_WORD}[\w'’\-]*{_WORD})")
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_WORD}[\w'’\-]*{_WORD})")
 
@@ -76,20 +77,23 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             found.append((*(m.span(1) if pattern.groups else m.span()), kind))
-    words = set(text.split())
-    if not words.isdisjoint(_NAMES) or not words.isdisjoint(TITLES) or not words.isdisjoint(f"{t}." for t in TITLES):
-        family = set()
+    # both patterns begin with a whole listed token, whatever signs stand around it
+    words = set(_TOKEN.findall(text))
+    if not words.isdisjoint(_NAMES) or not words.isdisjoint(TITLES):
+        first, family = set(), set()
         for m in _FULL_NAME.finditer(text):
             if m[2][0].isupper():
                 found += [(*m.span(1), "first"), (*m.span(2), "family")]
+                first.add(m[1])
                 family.add(m[2])
         for m in _TITLED.finditer(text):
             if m[1][0].isupper() and m[1] not in _NAMES:
                 found.append((*m.span(1), "family"))
                 family.add(m[1])
-        if family:  # the same person named again by the family name alone
-            again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(family)))})\b")
-            found += [(*m.span(), "family") for m in again.finditer(text)]
+        for kind, names in (("family", family), ("first", first)):
+            if names:  # the same person named again by one name alone
+                again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(names)))})\b")
+                found += [(*m.span(), kind) for m in again.finditer(text)]
     taken, out = [], []
     for start, end, kind in found:
         if all(end <= s or start >= e for s, e in taken):

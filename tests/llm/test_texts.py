@@ -226,3 +226,16 @@ def test_people_keep_gender_script_and_coreference(spark):
     assert m[1] in FIRST_NAMES["latin", "f"] and m[5] in FIRST_NAMES["cyrillic", "m"]
     assert m[2] == m[4] != "Kowalska" and m[3] != "Brown" and m[6] != "Петров"
     assert rows[2].text is None and rows[None].text == "" and anonymise(df.limit(0), "k").count() == 0
+
+
+def test_names_behind_signs_and_alone_again():
+    def parts(text):
+        return [(text[s:e], kind) for s, e, kind in find(text)]
+
+    assert parts("(John Smith)") == [("John", "first"), ("Smith", "family")]
+    assert parts('"Maria Lopez", he said') == [("Maria", "first"), ("Lopez", "family")]
+    assert parts("by:Mr Brown") == [("Brown", "family")] and parts("a/Dr. Brown") == [("Brown", "family")]
+    assert parts("Maria Lopez and (Maria) of Lopez") == [
+        ("Maria", "first"), ("Lopez", "family"), ("Maria", "first"), ("Lopez", "family")
+    ]
+    assert parts("Maria alone, Marias") == []
