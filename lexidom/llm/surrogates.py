@@ -6,7 +6,10 @@ letters, valid octets and check digits, first names of the same gender and scrip
 A surrogate is a keyed hash of the entity, so an entity has the same one wherever
 it stands. The distinct entities of the whole table are checked: a surrogate that
 two of them share, or that equals a real entity, is drawn again for all but the
-smallest, until all are distinct. Only those exceptions are joined back.
+smallest. What still clashes after DRAWS draws gets a free value by number: the
+values of its form are counted through, in blocks that double, and beyond the last
+the form is widened by letters or digits, until all are distinct. Only those
+exceptions are joined back.
 
 Defined cases: null texts stay null and have no entities; repeated rows are each
 returned; other columns are ignored; an empty table gives none.
@@ -15,10 +18,11 @@ returned; other columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 from .common import small, text_key
@@ -40,6 +44,11 @@ ALPHABETS = (
     ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 )
 
+#: Random draws before free values are looked for by number.
+DRAWS = 64
+#: Values of a form looked at for each of its clashes at first; twice as many each time.
+BLOCK = 16
+
 _NAMES = {n: (kind, i) for kind, ns in FIRST_NAMES.items() for i, n in enumerate(ns)}
 _LETTER = {}
 for _group in (g for pair in ALPHABETS for g in pair):
@@ -56,6 +65,7 @@ _FINDERS = [
     ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])")),
 ]
+_DIGITS = "0123456789"
 _DIGIT = re.compile(r"[0-9]")
 _KEYWORD = re.compile(r"(?i)token|passw|pwd|secret|api[_-]?key")
 _WORD = r"[^\W\d_]"
@@ -117,7 +127,28 @@ def _stream(key: bytes, *parts):
         counter += 1
 
 
+class _Number:
+    """In place of a stream: the picks that make value ``left`` of a form, and what is left of it."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def pick(self, options):
+        self.left, at = divmod(self.left, len(options))
+        return options[at]
+
+    def more(self, options) -> str:
+        """Further letters for a number beyond the form; each number has its own."""
+        out = ""
+        while self.left:
+            self.left -= 1
+            out += self.pick(options)
+        return out
+
+
 def _pick(stream, options):
+    if isinstance(stream, _Number):
+        return stream.pick(options)
     n = len(options)
     limit = 256 - 256 % n
     while (b := next(stream)) >= limit:
@@ -148,8 +179,12 @@ def _email_domain(domain, key):
 
 
 def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
-    """A value of the same form; the same for all spellings of one entity."""
-    stream = _stream(key, kind, identity(value, kind), attempt)
+    """A value of the same form; the same for all spellings of one entity.
+
+    Attempts below zero are the values of the form by number (-1 the first), then of wider forms.
+    """
+    stream = _Number(-1 - attempt) if attempt < 0 else _stream(key, kind, identity(value, kind), attempt)
+    more = stream.more if attempt < 0 else lambda options: ""
     if kind == "first":
         names = FIRST_NAMES[_NAMES[value][0]]
         at = names.index(value)
@@ -158,10 +193,16 @@ def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
         return names[(at + turn) % len(names)]
     if kind == "ip":
         spans = {1: range(1, 10), 2: range(10, 100), 3: range(100, 255)}
-        return ".".join(str(_pick(stream, spans[len(p)])) for p in value.split("."))
+        sizes = [len(p) for p in value.split(".")]
+        if attempt < 0:  # a full form gets more digits, the shortest part first
+            while stream.left >= (n := math.prod(len(spans[x]) for x in sizes)) and min(sizes) < 3:
+                stream.left -= n
+                sizes[sizes.index(min(sizes))] += 1
+        new = ".".join(str(_pick(stream, spans[x])) for x in sizes)
+        return new + (f".{99 + stream.left}" if attempt < 0 and stream.left else "")
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        return "".join(_alike(c, stream) for c in local) + "@" + _email_domain(domain, key)
+        return "".join(_alike(c, stream) for c in local) + more(_DIGITS) + "@" + _email_domain(domain, key)
     if kind in ("phone", "card", "ssn", "iban"):
         plain = identity(value, kind)
         code = re.match(r"\+(\d{1,3})(?=[ .\-(])", value)
@@ -169,16 +210,24 @@ def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
         new = plain[:keep] + "".join(_alike(c, stream) for c in plain[keep:])
         if kind == "phone" and len(new) > keep and new[keep] in "01":
             new = new[:keep] + _pick(stream, "23456789") + new[keep + 1 :]
-        if kind == "card" and _check_digit(plain[:-1]) == plain[-1]:
+        valid = kind == "card" and _check_digit(plain[:-1]) == plain[-1]
+        new += more(_DIGITS)
+        if valid:
             new = new[:-1] + _check_digit(new[:-1])
         fresh = iter(new)
-        return "".join(next(fresh) if c.isalnum() else c for c in value)
+        return "".join([next(fresh) if c.isalnum() else c for c in value] + [*fresh])
     if kind == "secret":
         keep = 4 if value.startswith("AKIA") else 0
         hexa = re.fullmatch(r"[0-9a-f]+", value)
         rest = (_pick(stream, "0123456789abcdef") if hexa else _alike(c, stream) for c in value[keep:])
-        return value[:keep] + "".join(rest)
-    return "".join(_alike(c, stream) for c in value)
+        return value[:keep] + "".join(rest) + more(_DIGITS)
+    new = "".join(_alike(c, stream) for c in value)
+    return new + more(_LETTER.get(value[-1].lower(), ALPHABETS[0][1]))
+
+
+def _form(value: str, kind: str, key: bytes) -> str:
+    """What entities whose numbered values are the same have in common."""
+    return "\0".join(identity(surrogate(value, kind, key, n), kind) for n in (-1, -2))
 
 
 def replace(text: str, key: bytes, attempts: dict) -> tuple[str, list[dict]]:
@@ -216,7 +265,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
 
 
 def checked_attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """type, value, attempt (from 1) of the entities whose first surrogate was not free."""
+    """type, value, attempt (not 0) of the entities whose first surrogate was not free."""
 
     def draw(batches):
         for b in batches:
@@ -226,26 +275,69 @@ def checked_attempts(entities: DataFrame, key: bytes) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "new"])
 
-    schema = "type STRING, value STRING, sample STRING, attempt INT, new STRING"
+    schema = "type STRING, value STRING, sample STRING, attempt BIGINT, new STRING"
     # first names turn as a list: distinct by construction, and meant to be names
     entities = stage(entities.where("type != 'first'"), "entities")
-    drawn = stage(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
+    real = entities.select("type", F.col("value").alias("new"), F.lit(True).alias("real"))
+    drawn = entities.withColumn("attempt", F.lit(0).cast("bigint")).mapInArrow(draw, schema)
+    rounds, tried = 0, None
     while True:
+        drawn = stage(drawn, "surrogates")
         holders = drawn.groupBy("type", "new").agg(F.min("value").alias("holder"))
-        real = entities.select("type", F.col("value").alias("new"), F.lit(True).alias("real"))
         judged = drawn.join(holders, ["type", "new"]).join(real, ["type", "new"], "left")
         clash = (F.col("value") != F.col("holder")) | F.col("real").isNotNull()
         judged = stage(judged.select("type", "value", "sample", "attempt", "new", clash.alias("clash")), "judged")
-        if judged.where("clash and attempt < 64").limit(1).count() == 0:
+        if judged.where("clash").limit(1).count() == 0:
             break
-        again = judged.where("clash and attempt < 64").select(
-            "type", "value", "sample", (F.col("attempt") + 1).alias("attempt")
-        )
-        drawn = stage(
-            judged.where("not clash or attempt >= 64").drop("clash").unionByName(again.mapInArrow(draw, schema)),
-            "surrogates",
-        )
-    return judged.where("attempt > 0").select("type", "value", "attempt")
+        rounds += 1
+        if rounds < DRAWS:
+            again = judged.where("clash").select("type", "value", "sample", F.lit(rounds).cast("bigint").alias("attempt"))
+            drawn = judged.where("not clash").drop("clash").unionByName(again.mapInArrow(draw, schema))
+        else:
+            drawn, tried = _numbered(judged, real, tried, rounds - DRAWS, key, draw)
+    return judged.where("attempt != 0").select("type", "value", "attempt")
+
+
+def _numbered(judged: DataFrame, real: DataFrame, tried, step: int, key: bytes, draw):
+    """``judged`` with free values for as many clashing rows as a block of each form's values
+    has, and the numbers (type, form, upto) that were looked at so far."""
+
+    def shape(batches):
+        for b in batches:
+            forms = [_form(s, t, key) for t, s in zip(b.column("type").to_pylist(), b.column("sample").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forms, pa.string())], names=[*b.schema.names, "form"])
+
+    names = "type STRING, value STRING, sample STRING, attempt BIGINT, new STRING"
+    open_ = stage(judged.where("clash").drop("clash").mapInArrow(shape, names + ", form STRING"), "clashes")
+    forms = open_.groupBy("type", "form").agg(F.count("*").alias("n"), F.min("sample").alias("sample"))
+    if tried is not None:
+        forms = forms.join(tried, ["type", "form"], "left")
+    else:
+        forms = forms.withColumn("upto", F.lit(0).cast("bigint"))
+    block = F.col("n") * F.lit(BLOCK << min(step, 32))
+    forms = stage(forms.withColumn("upto", F.coalesce("upto", F.lit(0))).withColumn("end", F.col("upto") + block), "forms")
+    asked = forms.select(
+        "type", F.col("form").alias("value"), "sample",
+        F.explode(F.sequence(-1 - F.col("upto"), -F.col("end"))).alias("attempt"),
+    )
+    # a value taken is one that is real or that a row without a clash has
+    taken = judged.where("not clash").select("type", "new").union(real.select("type", "new"))
+    values = asked.mapInArrow(draw, names).join(taken, ["type", "new"], "left_anti")
+    values = values.groupBy("type", "new").agg(F.max(F.struct("attempt", "value")).alias("v"))
+    place = Window.partitionBy("type", "form")
+    free = values.select(
+        "type", F.col("v.value").alias("form"), F.col("v.attempt").alias("attempt"), "new",
+    ).withColumn("place", F.row_number().over(place.orderBy(F.desc("attempt"))))
+    ranked = open_.withColumn("place", F.row_number().over(place.orderBy("value")))
+    given = ranked.drop("attempt", "new").join(free, ["type", "form", "place"]).select(
+        "type", "value", "sample", "attempt", "new"
+    )
+    given = stage(given, "numbered")
+    waiting = open_.drop("form").join(given.select("type", "value"), ["type", "value"], "left_anti")
+    seen = forms.select("type", "form", F.col("end").alias("upto"))
+    if tried is not None:
+        seen = seen.unionByName(tried.join(forms.select("type", "form"), ["type", "form"], "left_anti"))
+    return judged.where("not clash").drop("clash").unionByName(given).unionByName(waiting), stage(seen, "seen")
 
 
 def anonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -256,7 +348,7 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
     few = small(late, 256)
     if few:
         table = {(r.type, r.value): r.attempt for r in late.collect()}
-        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<type: string, value: string, attempt: int>>").alias("late"))
+        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<type: string, value: string, attempt: bigint>>").alias("late"))
     else:
         table, rows = {}, _with_attempts(docs, late)
 

@@ -239,3 +239,38 @@ def test_names_behind_signs_and_alone_again():
         ("Maria", "first"), ("Lopez", "family"), ("Maria", "first"), ("Lopez", "family")
     ]
     assert parts("Maria alone, Marias") == []
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("family", [a.upper() + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]),
+    ("ip", [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]),
+    ("ssn", ["123-45-6789", "999-99-9999"]),
+])
+def test_full_forms_are_widened(spark, monkeypatch, kind, values):
+    from lexidom.llm import surrogates
+
+    monkeypatch.setattr(surrogates, "DRAWS", 2)
+    entities = spark.createDataFrame([(kind, v, v) for v in values], "type STRING, value STRING, sample STRING")
+    late = {r.value: r.attempt for r in checked_attempts(entities, b"k").collect()}
+    new = [surrogate(v, kind, b"k", late.get(v, 0)) for v in values]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+    assert all(find({"family": f"Mr {x}."}.get(kind, f"a {x} b")) for x in new)
+
+
+@pytest.mark.parametrize("kind, value", [v for v in VALUES if v[0] != "first"])
+def test_numbered_surrogates_differ(kind, value):
+    far = [surrogate(value, kind, b"k", -(10**30) - i) for i in range(0, 500, 100)]
+    assert len(set(far)) == 5
+
+
+def test_free_values_of_a_form_are_used_before_it_is_widened(spark, monkeypatch):
+    from lexidom.llm import surrogates
+
+    monkeypatch.setattr(surrogates, "DRAWS", 1)
+    monkeypatch.setattr(surrogates, "BLOCK", 1)
+    values = [a.upper() + b for a in "bcdfghjklmn" for b in "aeiou"]  # 55 of 105, 50 are free
+    entities = spark.createDataFrame([("family", v, v) for v in values], "type STRING, value STRING, sample STRING")
+    late = {r.value: r.attempt for r in checked_attempts(entities, b"k").collect()}
+    new = [surrogate(v, "family", b"k", late.get(v, 0)) for v in values]
+    assert len(set(new)) == 55 and not set(new) & set(values)
+    assert sum(len(x) == 2 for x in new) == 50 and sum(len(x) == 3 for x in new) == 5
