@@ -274,3 +274,13 @@ def test_free_values_of_a_form_are_used_before_it_is_widened(spark, monkeypatch)
     new = [surrogate(v, "family", b"k", late.get(v, 0)) for v in values]
     assert len(set(new)) == 55 and not set(new) & set(values)
     assert sum(len(x) == 2 for x in new) == 50 and sum(len(x) == 3 for x in new) == 5
+
+
+def test_signs_beyond_16_bits_are_no_letters():
+    assert len(folded("\U0001F600\U0001F680 \U0001D7D8")) == 0  # emoji, a digit
+    assert folded("a\U0001F600b").tolist() == folded("a b").tolist()
+    assert folded("\U00010400").tolist() == folded("\U00010428").tolist() != folded("\U00010429").tolist()
+    assert len(folded("\U00020000")) == 5
+    k, n = np.unique(grams(folded("some words")), return_counts=True)
+    label, score, _, accepted = score_texts(["\U0001F600 \U0001F680"], {"a": Model(k, n, 4, 30)})
+    assert (label[0], score[0], accepted[0]) == ("und", 0.0, False)
