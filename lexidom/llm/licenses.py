@@ -98,10 +98,19 @@ def fuzzy_spans(line: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[i
                 lo -= 1
             while hi < len(line) and line[hi] != " ":
                 hi += 1
-            for m in pattern.finditer(line, lo, hi):
+            # the best match of a part comes first; others may lie before and after it
+            parts = [(lo, hi)]
+            while parts:
+                lo, hi = parts.pop()
+                m = pattern.search(line, lo, hi)
+                if m is None or m.start() == m.end():
+                    continue
                 text = m.group()
                 start = m.start() + len(text) - len(text.lstrip())
-                found.add((start, start + len(text.strip()), label, sum(m.fuzzy_counts)))
+                end = start + len(text.strip())
+                found.add((start, end, label, sum(m.fuzzy_counts)))
+                least = patterns[i][2] - edits(notices[i][0])
+                parts += [(a, b) for a, b in ((lo, start), (end, hi)) if b - a >= least]
     return sorted(found)
 
 

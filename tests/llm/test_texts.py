@@ -284,3 +284,12 @@ def test_signs_beyond_16_bits_are_no_letters():
     k, n = np.unique(grams(folded("some words")), return_counts=True)
     label, score, _, accepted = score_texts(["\U0001F600 \U0001F680"], {"a": Model(k, n, 4, 30)})
     assert (label[0], score[0], accepted[0]) == ("und", 0.0, False)
+
+
+def test_edited_notices_beside_exact_ones_are_found():
+    notices = tuple(NOTICES.items())
+    exact, edited = "gnu general public license", "gnu genral public license"
+    for line in (f"{edited} {exact}", f"{exact} {edited}", f"{edited} {exact} {edited} {exact} {edited}"):
+        got = [line[s:e] for s, e, label, _ in fuzzy_spans(line, notices) if label == "gpl"]
+        want = [exact if x == "general" else edited for x in line.split() if x in ("general", "genral")]
+        assert got == want
