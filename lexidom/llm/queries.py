@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import table
 from .decontaminate import contained
+from .hard_negatives import mine_embeddings
 from .language import held_out, identify
 from .licenses import scan_licenses
 from .lines import dedup_lines
@@ -94,11 +95,15 @@ def op10_decontaminate(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+def op11_hard_negatives(spark, sf_dir) -> DataFrame:
+    return mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_surrogates, op2_simhash, op3_language, op4_licenses, op5_lines,
-        op6_substrings, op7_pages, op8_mixing, op9_topk, op10_decontaminate,
+        op6_substrings, op7_pages, op8_mixing, op9_topk, op10_decontaminate, op11_hard_negatives,
     )
 }
 
@@ -214,5 +219,25 @@ met as (
   from items join shingles using (s) where kind = 'd' group by all)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from met
 where n_shared >= ceil(n_item * 0.8 - 1e-9)
+""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
 """,
 }

@@ -143,3 +143,16 @@ def top(vectors, k=10, every=100):
         found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return out
+
+
+def hard_negatives(rows, every, n_positives=5, n_negatives=3):
+    """Over (id, label, vector of ints) rows, one anchor per distinct row."""
+    out = []
+    for a, own, q in sorted({(i, lab, tuple(v)) for i, lab, v in rows if i % every == 0}):
+        scored = sorted(
+            (-sum(x * y for x, y in zip(q, v)), i, lab == own) for i, lab, v in rows if i != a and len(v) == len(q)
+        )
+        for s, p, _ in [x for x in scored if x[2]][:n_positives]:
+            inside = [x for x in scored if not x[2] and 50 * -s <= 100 * -x[0] <= 95 * -s][:n_negatives]
+            out += [(a, p, r, i, -s, -t) for r, (t, i, _) in enumerate(inside, 1)]
+    return out
