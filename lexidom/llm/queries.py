@@ -13,6 +13,7 @@ from .lines import dedup_lines
 from .mixing import mix
 from .pages import extract
 from .simhash import near_duplicates
+from .spellings import group_spellings
 from .substrings import remove_repeats
 from .surrogates import anonymise
 from .topk import search_embeddings
@@ -99,11 +100,16 @@ def op11_hard_negatives(spark, sf_dir) -> DataFrame:
     return mine_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spellings(spark, sf_dir) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_surrogates, op2_simhash, op3_language, op4_licenses, op5_lines,
         op6_substrings, op7_pages, op8_mixing, op9_topk, op10_decontaminate, op11_hard_negatives,
+        op12_spellings,
     )
 }
 
@@ -239,5 +245,42 @@ select anchor_id, positive_id,
 from positives join scored using (anchor_id)
 where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
 qualify rank <= 3
+""",
+    "op12_spellings": r"""
+with recursive crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i::bigint, range(8)),
+      lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i))),
+runs as (
+  select coalesce(doc_id::varchar, '') || ':' || run as name, run from (
+    select doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) as run
+    from documents)),
+hashed as (
+  select run, count(*) as n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(1, 2 * octet_length(encode(name)), 2), lambda i: ('0x' || substr(hex(encode(name)), i, 2))::bigint)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) as h
+  from runs, crc group by name, run, t),
+slipped as (
+  select n, case when h % 31 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word from hashed),
+words as (
+  select word, sum(n)::bigint as n from slipped where length(word) >= 7 group by word having sum(n) >= 2),
+cuts as (
+  select word, n, i, word[:i - 1] || word[i + 1:] as rest
+  from words, lateral (select unnest(range(1, length(word) + 1)) as i)),
+near as (
+  select a.word, b.word as near, b.n as near_n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select c.word, w.word, w.n from cuts c join words w on c.rest = w.word
+  union select w.word, c.word, c.n from cuts c join words w on c.rest = w.word),
+best as (
+  select word, count(*) as n_near, max(near_n) as top, first(near order by near_n desc, near) as near from near group by word),
+known as (
+  select word, n, coalesce(n_near, 0) as n_near, case when top >= 10 * n then near end as form,
+    case when top >= 10 * n then top end as form_n
+  from words left join best using (word)),
+up as (
+  select word, word as root from known where form is null
+  union all select k.word, up.root from known k join up on k.form = up.word)
+select word, form, root, n, n_near, form_n from known join up using (word)
 """,
 }

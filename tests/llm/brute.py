@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -156,3 +157,35 @@ def hard_negatives(rows, every, n_positives=5, n_negatives=3):
             inside = [x for x in scored if not x[2] and 50 * -s <= 100 * -x[0] <= 95 * -s][:n_negatives]
             out += [(a, p, r, i, -s, -t) for r, (t, i, _) in enumerate(inside, 1)]
     return out
+
+
+def spellings(docs, every=31):
+    """word -> (form, root, n, n_near, form_n) of (doc_id, text) rows."""
+    counts = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 7 and c >= 2}
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out = {}
+    for w in n:
+        about = [v for v in n if v != w and near(w, v)]
+        top = min(about, key=lambda v: (-n[v], v), default=None)
+        form = top if top and n[top] >= 10 * n[w] else None
+        out[w] = [form, None, n[w], len(about), n[form] if form else None]
+    for w, row in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        row[1] = root
+    return {w: tuple(row) for w, row in out.items()}
