@@ -102,6 +102,18 @@ def signer(counts: dict[str, int]) -> Callable[[str], list[tuple[int, int, bool]
     return sign
 
 
+def one_apart(a: Column, b: Column) -> Column:
+    """Whether one inserted, deleted or replaced letter tells them apart; in linear time for long words."""
+    longer = F.greatest(F.length(a), F.length(b))
+    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    first = F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)), longer).cast("int")
+    # what follows the first difference, in whichever word holds the letter more
+    after_a = F.substring(a, F.when(F.length(a) < F.length(b), first).otherwise(first + 1), longer)
+    after_b = F.substring(b, F.when(F.length(b) < F.length(a), first).otherwise(first + 1), longer)
+    linear = (a != b) & (F.abs(F.length(a) - F.length(b)) <= 1) & (after_a == after_b)
+    return F.when(longer <= 64, F.levenshtein(a, b, 1) == 1).otherwise(linear)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: all pairs one inserted, deleted or replaced letter apart, both ways."""
     sign = signer(gram_counts(words))
@@ -132,7 +144,7 @@ def near_words(words: DataFrame) -> DataFrame:
     )
     held = grams.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), "gram", "length", "place")
     met = probes.join(held, ["gram", "length", "place"]).where(
-        (F.col("a_last") <= F.col("b_last")) & (F.levenshtein("a", "b", 1) == 1)
+        (F.col("a_last") <= F.col("b_last")) & one_apart(F.col("a"), F.col("b"))
     )
     both = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),

@@ -3,8 +3,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexidom.llm.spellings import group_spellings, near_words, rarest_disjoint, roots, signer
+from lexidom.llm.spellings import group_spellings, near_words, one_apart, rarest_disjoint, roots, signer
 
 from . import brute
 
@@ -75,6 +76,19 @@ def test_pivots_are_the_cheapest_disjoint_bigrams(seed):
     assert abs(places[got[0]] - places[got[1]]) >= 2 and sum(costs[i] for i in got) == min(pairs)
 
 
+def test_words_one_apart(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("aé") for _ in range(rng.choice([3, 63, 64, 65, 90])))
+        b = _variants(rng, a, "aé")
+        pairs.append((a, rng.choice([b, b, _variants(rng, b, "aé")])))
+    df = spark.createDataFrame(pairs, "a STRING, b STRING")
+    got = df.select("a", "b", one_apart(F.col("a"), F.col("b")).alias("near")).collect()
+    assert [r.near for r in got] == [r[0] for r in df.select(F.levenshtein("a", "b") == 1).collect()]
+    assert {(len(r.a) > 64, r.near) for r in got} == {(x, y) for x in (True, False) for y in (True, False)}
+
+
 def test_signature_of_a_word():
     counts = Counter({"ab": 1, "bc": 2, "cd": 3, "de": 9, "ef": 9, "fg": 9})
     assert signer(counts)("abcdefg") == [(0, 0, True), (1, 1, False), (2, 2, True)]
