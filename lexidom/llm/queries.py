@@ -16,6 +16,7 @@ from .simhash import near_duplicates
 from .spellings import group_spellings
 from .substrings import remove_repeats
 from .surrogates import anonymise
+from .token_files import round_trip
 from .topk import search_embeddings
 
 SURROGATE_KEY = "surrogates of the documents table"
@@ -104,12 +105,23 @@ def op12_spellings(spark, sf_dir) -> DataFrame:
     return group_spellings(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark, sf_dir) -> DataFrame:
+    import public_tokenizers
+
+    # this tokenizer drops white space and splits at it, so words can be encoded one by one
+    read = round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, spaced=True
+    )
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint")
+    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_surrogates, op2_simhash, op3_language, op4_licenses, op5_lines,
         op6_substrings, op7_pages, op8_mixing, op9_topk, op10_decontaminate, op11_hard_negatives,
-        op12_spellings,
+        op12_spellings, op13_token_files,
     )
 }
 
