@@ -8,7 +8,8 @@ disjoint bigrams and moves the others by no more than it changes the length, and
 makes at most two new ones. So of two words at distance one, the one whose third
 bigram isn't the commoner has a pivot that stands in the other's prefix, at the same
 place or moved by the difference of the lengths. Pivots and prefixes meet in one
-equality join on bigram, place and length; the join's condition verifies the distance.
+equality join on bigram, place, length and the side of the word that the edit spares;
+the join's condition compares letter parities, then verifies the distance.
 
 A word's form is its near word of most occurrences, if they are ten times its own or
 more; forms of forms are followed by doubling to the root.
@@ -25,6 +26,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
@@ -114,41 +116,59 @@ def one_apart(a: Column, b: Column) -> Column:
     return F.when(longer <= 64, F.levenshtein(a, b, 1) == 1).otherwise(linear)
 
 
+def parity(word: str) -> int:
+    """63 bits, of which one edit turns two at most."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 63
+    return bits
+
+
+def keys_of(word: str, sign: Callable) -> tuple[int, list[int], list[int]]:
+    """Rank of the prefix's last bigram, keys the pivots look for, keys of the prefix.
+
+    A key is a bigram, its place, the word's length and the side that the edit leaves as it is:
+    an edit behind the left pivot keeps all up to it, any other edit all from the right one on.
+    """
+    prefix, length = sign(word), len(word)
+
+    def left(place, length):
+        return xxhash.xxh64_intdigest(f"l{length} {word[: place + 2]}") - (1 << 63)
+
+    def right(place, length):
+        return xxhash.xxh64_intdigest(f"r{length} {word[place:]}") - (1 << 63)
+
+    first, second = sorted(place for _, place, pivot in prefix if pivot)
+    lengths = (length, length + 1, length - 1)
+    wanted = [left(first, n) for n in lengths] + [right(second, n) for n in lengths]
+    return prefix[-1][0], wanted, [side(place, length) for _, place, _ in prefix for side in (left, right)]
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: all pairs one inserted, deleted or replaced letter apart, both ways."""
     sign = signer(gram_counts(words))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                rows = [
-                    (word, n, len(word), prefix[-1][0], rank, place, pivot)
-                    for word, n in zip(some.column("word").to_pylist(), some.column("n").to_pylist())
-                    for prefix in [sign(word)]
-                    for rank, place, pivot in prefix
-                ]
-                columns = zip(*rows) if rows else [[]] * len(out.names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types)], schema=out)
-
-    out = pa.schema([
-        ("word", pa.string()), ("n", pa.int64()), ("length", pa.int32()), ("last", pa.int32()),
-        ("gram", pa.int32()), ("place", pa.int32()), ("pivot", pa.bool_()),
-    ])
-    schema = "word STRING, n BIGINT, length INT, last INT, gram INT, place INT, pivot BOOLEAN"
-    grams = stage(words.mapInArrow(signed, schema), "grams")
-
-    moves = F.array(*[F.struct(F.lit(a).alias("by"), F.lit(b).alias("to")) for a, b in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-    probes = grams.where("pivot").withColumn("move", F.explode(moves)).select(
-        F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"),
-        "gram", (F.col("length") + F.col("move.by")).alias("length"), (F.col("place") + F.col("move.to")).alias("place"),
-    )
-    held = grams.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), "gram", "length", "place")
-    met = probes.join(held, ["gram", "length", "place"]).where(
-        (F.col("a_last") <= F.col("b_last")) & one_apart(F.col("a"), F.col("b"))
+            found = batch.column("word").to_pylist()
+            last, wanted, held = zip(*[keys_of(w, sign) for w in found]) if found else ([], [], [])
+            columns = [pa.array(last, pa.int32()), pa.array(map(parity, found), pa.int64()), *(pa.array(k, pa.list_(pa.int64())) for k in (wanted, held))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["word", "n", "last", "parity", "wanted", "held"])
+
+    schema = "word STRING, n BIGINT, last INT, parity BIGINT, wanted ARRAY<BIGINT>, held ARRAY<BIGINT>"
+    keyed = stage(words.select("word", "n").mapInArrow(signed, schema), "grams")
+
+    def side(keys, name):
+        named = [F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last", "parity")]
+        return keyed.select(F.explode(keys).alias("key"), *named)
+
+    bits = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
+    met = side("wanted", "a").join(side("held", "b"), "key").where(
+        (F.col("a_last") <= F.col("b_last")) & (bits <= 2) & one_apart(F.col("a_word"), F.col("b_word"))
     )
     both = F.array(
-        F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
-        F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")),
+        F.struct(F.col("a_word").alias("word"), F.col("b_word").alias("near"), F.col("b_n").alias("near_n")),
+        F.struct(F.col("b_word").alias("word"), F.col("a_word").alias("near"), F.col("a_n").alias("near_n")),
     )
     return met.select(F.explode(both).alias("p")).select("p.*").distinct()
 
