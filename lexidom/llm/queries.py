@@ -108,10 +108,7 @@ def op12_spellings(spark, sf_dir) -> DataFrame:
 def op13_token_files(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
-    # this tokenizer drops white space and splits at it, so words can be encoded one by one
-    read = round_trip(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, spaced=True
-    )
+    read = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     n_tokens = (F.octet_length("ids") / 4).cast("bigint")
     return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

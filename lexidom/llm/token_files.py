@@ -21,12 +21,15 @@ table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -37,63 +40,114 @@ BLOCK_IDS = 65_536
 MARK_IDS = 64
 #: Bits of the longest code, unless the ids are too many for it.
 MOST_BITS = 16
-#: Encoded words a worker remembers.
-CACHED_WORDS = 500_000
+#: Encoded words, and pieces of words, a worker remembers.
+CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 64
 
 
 class Encoder:
-    """A tokenizer file in use. ``spaced`` tells that its tokens never reach over spaces
-    and line ends, nor depend on them, so that each word needs encoding once."""
+    """A tokenizer file in use.
 
-    def __init__(self, path: str, spaced: bool):
+    If the file says that white space is dropped after the plain normalizers, a text is
+    the row of its words between spaces and line ends. A worker then remembers words,
+    and for words of Latin letters the pieces that the file's own pattern cuts them into,
+    so that the library's model sees each piece once. Other words, texts that hold the
+    file's special tokens, and other files go to the library whole.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.spaced, self.known = Tokenizer.from_file(path), spaced, {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(self.tokenizer)
+        self.code = "H" if self.kind == "<u2" else "I"
+        described = json.loads(self.tokenizer.to_str())
+        self.pattern = word_pattern(described)
+        if self.pattern:
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+            self.marks = [t["content"] for t in described["added_tokens"]]
+        self.pieces, self.words = Remembered(self._piece), Remembered(self._word)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.tokenizer.model.tokenize(piece.translate(self.table))
+        return pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() or max(word) < "\u0100":
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
+        return self._encode([word])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        if not self.spaced:
+        if not self.pattern:
             return self._encode(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHED_WORDS:
-            self.known = {"": b""}
-        else:
-            for w in new:
-                if len(w) > CACHED_LENGTH:
-                    del known[w]
+        ids = self.words.__getitem__
+        out = [
+            self._encode([t])[0] if any(m in t for m in self.marks) else b"".join(map(ids, t.replace("\n", " ").split(" ")))
+            for t in texts
+        ]
+        for seen in (self.words, self.pieces):
+            if len(seen) > CACHED_WORDS:
+                seen.clear()
         return out
 
 
+class Remembered(dict):
+    """What ``find`` gives for each short word, found once."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.find(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+
 def id_kind(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def word_pattern(described: dict) -> regex.Pattern | None:
+    """The pattern of a file's pieces, if it has one that no white space is part of."""
+    steps = (described["normalizer"] or {}).get("normalizers", [])
+    cutters = (described["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = [n for n in steps if n["type"] in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": r"\s+"}]
+    lowers = [n["type"] for n in steps].count("Lowercase") == 1
+    if not lowers or plain != steps or [c["type"] for c in cutters] != ["Split", "ByteLevel"]:
+        return None
+    split, level = cutters
+    dropped = (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"])
+    pattern = split["pattern"].get("Regex", "").replace(r"\s", r"\t-\r \x85\xa0")  # what counts as space below 256
+    if dropped != ("Removed", True, False, False) or not pattern or regex.search(pattern, " ") or any(
+        t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in described["added_tokens"]
+    ):
+        return None
+    return regex.compile(pattern)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One a worker: what it remembers serves all its tasks."""
-    return Encoder(path, spaced)
+    return Encoder(path)
 
 
 def _some(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian, with the end id) of every whole text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_ = encoder(tokenizer, spaced)
+        with_ = encoder(tokenizer)
         end = np.array([end_id], with_.kind).tobytes()
         for batch in batches:
             for part in _some(batch):
@@ -209,7 +263,7 @@ def blocks_of(tokens: DataFrame, book: CodeBook, kind: str, block_ids: int = BLO
         values = [TaskContext.get().partitionId(), block, first, len(ids), bits, marks, [d for d, _, _ in docs], [n for _, n, _ in docs]]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, block, first, end = np.zeros(0, kind), [], 0, 0, 0
         for batch in batches:
             for part in _some(batch):
@@ -231,18 +285,17 @@ def blocks_of(tokens: DataFrame, book: CodeBook, kind: str, block_ids: int = BLO
 
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
-    return tokens.select("doc_id", "ids").mapInArrow(pack, BLOCKS)
+    return tokens.select("doc_id", "ids").mapInArrow(fill, BLOCKS)
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = False,
-    block_ids: int = BLOCK_IDS, most_bits: int = MOST_BITS,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS, most_bits: int = MOST_BITS,
 ) -> None:
     """Encode doc_id and text of ``docs`` with the tokenizer file and write the folder ``path``."""
     from tokenizers import Tokenizer
 
     spark, kind = docs.sparkSession, id_kind(Tokenizer.from_file(tokenizer))
-    tokens = stage(encoded(docs, tokenizer, end_id, spaced), "tokens")
+    tokens = stage(encoded(docs, tokenizer, end_id), "tokens")
     ids, counts = id_counts(tokens, kind)
     bits = code_lengths(counts, most_bits)
     spark.createDataFrame(
@@ -319,8 +372,8 @@ def read_range(spark: SparkSession, path: str, start: int, count: int) -> DataFr
     return wanted.select("first", "n", "bits", "marks").mapInArrow(decode, "first BIGINT, ids ARRAY<BIGINT>")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, **options) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
     """doc_id, start, ids of ``docs``, written to new token files in the shared folder and read back."""
     path = scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer, end_id, spaced, **options)
+    write_token_files(docs, path, tokenizer, end_id, **options)
     return read_documents(docs.sparkSession, path)

@@ -35,15 +35,15 @@ def _want(path, docs, end):
     return out
 
 
-@pytest.mark.parametrize("path,spaced,block", [(WORDS, True, 64), (BYTES, False, 1000), (WORDS, True, 65_536)])
-def test_documents_come_back(spark, tmp_path, path, spaced, block):
+@pytest.mark.parametrize("path,block", [(WORDS, 64), (BYTES, 1000), (WORDS, 65_536)])
+def test_documents_come_back(spark, tmp_path, path, block):
     rng = random.Random(block)
     words = ["the", "Cat's", "naïve", "x" * 300, "<|endoftext|>", "a\tb", "　", "𝛼β", "é", "é", "́", "12,5", ""]
     docs = [(i, rng.choice([" ", "\n"]).join(rng.choices(words, k=rng.randrange(0, 60)))) for i in rng.sample(range(900), 150)]
     docs += [(-5, None), (None, "no id"), (1000, ""), (1001, " ".join(words * 200))]
     df = spark.createDataFrame([(*d, 1, b"x") for d in docs], "doc_id INT, text STRING, n INT, ids BINARY").repartition(5)
     out = str(tmp_path / "files")
-    write_token_files(df, out, path, 7, spaced, block_ids=block)
+    write_token_files(df, out, path, 7, block_ids=block)
     want = _want(path, docs, 7)
     assert _read(spark, out) == want
     whole = [x for _, _, ids in want for x in ids]
@@ -56,7 +56,7 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     docs = [(3, "same text"), (3, "other"), (3, "same text"), (1, None), (1, None)]
     for name, rows in (("some", docs), ("none", []), ("one", [(9, None)])):
         df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-        write_token_files(df, str(tmp_path / name), WORDS, 1, True)
+        write_token_files(df, str(tmp_path / name), WORDS, 1)
         got = _read(spark, str(tmp_path / name))
         assert sorted((i, ids) for _, i, ids in got) == sorted((i, _ids(WORDS, t) + [1]) for i, t in rows)
         ends = np.cumsum([0, *(len(ids) for _, _, ids in got)]).tolist()
@@ -69,7 +69,19 @@ def test_words_are_encoded_as_in_the_whole_text(text):
     assert ENCODER.encode([text, text]) == [np.array(_ids(WORDS, text), "<u2").tobytes()] * 2
 
 
-ENCODER = Encoder(WORDS, True)
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=300), max_size=60))
+def test_latin_words_are_encoded_as_in_the_whole_text(text):
+    assert ENCODER.encode([text]) == [np.array(_ids(WORDS, text), "<u2").tobytes()]
+
+
+def test_every_low_character_between_others():
+    texts = [f"{a}{chr(c)}{b} {chr(c)}" for c in range(400) for a in ("", "A", "1", "'s", ".") for b in ("", "s", "É", "9", "'")]
+    assert ENCODER.pattern and not Encoder(BYTES).pattern
+    assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.encode(texts)] == [_ids(WORDS, t) for t in texts]
+
+
+ENCODER = Encoder(WORDS)
 
 
 def test_words_of_all_given_documents(spark):
