@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import UNKNOWN_TRIGRAM_P, char_length, edit_distance, numerical_ratio
 from ..schema import feature_names
 from ..session import shuffle_partitions
-from .ordering import CHUNK_ROWS, assign_ord, with_previous
+from .ordering import CHUNK_ROWS, assign_ord, assign_ord_within, with_previous
 from .reference_tables import Lexicon
 
 # Copies of the lookup table when it is too large to broadcast.
@@ -126,23 +126,28 @@ def extract_features(
     levenshtein: bool = True,
     order_by: list[str] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Add the 6 (or, without ``levenshtein``, 5) feature columns to ``df``.
 
     With ``levenshtein``, ``key`` is the dense position 0 .. n-1 that defines the
-    predecessor, or the job fails; ``order_by`` assigns it first. Without, rows of
+    predecessor, or the job fails; ``order_by`` assigns it first. ``by`` names the columns
+    of segments, such as a split, that are ordered apart. Without ``levenshtein``, rows of
     equal key stay apart. Either way the table is shuffled once, in its narrow form; the
     substrings never are (unless the lookup table is too large to broadcast).
     Rows whose domain is missing are kept, with null features.
     """
     columns = [c for c in df.columns if c != key] if order_by else df.columns
-    rows = assign_ord(df.select(*columns), order_by, key) if order_by else df
+    rows = df
+    if order_by:
+        narrow = df.select(*columns)
+        rows = assign_ord_within(narrow, by, order_by, key) if by else assign_ord(narrow, order_by, key)
     kept = [*rows.columns]
     if levenshtein:
         rows = with_previous(
-            rows, domain, key, "_prev", chunk_rows=chunk_rows, keep_chunk=True
+            rows, domain, key, "_prev", chunk_rows=chunk_rows, keep_chunk=True, by=by
         )
-        group = ["_chunk", key]
+        group = [*(by or []), "_chunk", key]
     else:
         rows = _numbered(rows.repartition(shuffle_partitions(df.sparkSession), key))
         group = [key, "_row"]

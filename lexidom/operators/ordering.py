@@ -34,6 +34,39 @@ def assign_ord(df: DataFrame, order_by: list[str], ord_col: str = "ord") -> Data
     return numbered.select(*df.columns, (F.col("_start") + within).alias(ord_col))
 
 
+def assign_ord_within(
+    df: DataFrame, by: list[str], order_by: list[str], ord_col: str = "ord"
+) -> DataFrame:
+    """Number the rows of each segment 0 .. n-1; ``by`` and ``order_by`` are unique together.
+
+    One range shuffle sorts all segments at once. A segment may lie in many
+    partitions, and a partition may hold many segments: the rows of a segment
+    in the partitions before, and where it begins in the own one, give the position.
+    Null is a segment of its own.
+    """
+    place = F.monotonically_increasing_id()
+    keys = [*by, *order_by]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stage(ranged.withColumn("_place", place), "ordered")
+    part = F.shiftright("_place", 33)
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per partition and one more per segment; small ones are broadcast by their size.
+    starts = stage(
+        placed.groupBy(*by, part.alias("_p"))
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select(
+            *[F.col(c).alias(f"_by_{c}") for c in by], "_p",
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"),
+        ),
+        "starts",
+    )
+    same = part == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    numbered = placed.join(starts, same)
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(ord_col))
+
+
 def prefix_rows(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
     """First ``n`` rows in order: a filter, not a sort."""
     return df.where(F.col(ord_col) < n)
@@ -57,10 +90,13 @@ def assign_chunk(df: DataFrame, k: int, ord_col: str = "ord", out: str = "chunk"
 
 def with_previous(
     df: DataFrame, value: str = "domain", ord_col: str = "ord", out: str = "prev",
-    chunk_rows: int = CHUNK_ROWS, keep_chunk: bool = False,
+    chunk_rows: int = CHUNK_ROWS, keep_chunk: bool = False, by: list[str] | None = None,
 ) -> DataFrame:
     """lag(1) over dense positions 0 .. n-1; the first row precedes itself.
 
+    With ``by``, positions are those inside each segment, and no row precedes one of
+    another segment.
+
     Positions with gaps, repeats or nulls are refused: the job fails rather than
     take another row, or none, for the predecessor.
 
@@ -75,8 +111,8 @@ def with_previous(
     is_last = position % chunk_rows == chunk_rows - 1
     copies = F.when(is_last, F.array(own, next_)).otherwise(F.array(own))
     spread = df.withColumn("_copy", F.explode(copies)).select(*df.columns, "_copy.*")
-    spread = spread.repartition(shuffle_partitions(df.sparkSession), "_chunk")
-    order = Window.partitionBy("_chunk").orderBy(ord_col)
+    spread = spread.repartition(shuffle_partitions(df.sparkSession), *(by or []), "_chunk")
+    order = Window.partitionBy(*(by or []), "_chunk").orderBy(ord_col)
     follows = F.lag(ord_col).over(order) == position - 1
     refused = F.raise_error(F.lit(f"{ord_col} must hold each position from 0 once; see assign_ord"))
     first = (position == 0) & F.lag(ord_col).over(order).isNull()

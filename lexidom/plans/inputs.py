@@ -49,9 +49,8 @@ def ordered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of two letters or more that ten English documents hold."""
-    english = documents(spark, sf_dir).where("lang = 'en'")
-    return dictionary_from_texts(english, min_length=2, min_documents=10)
+    """All words of the English documents."""
+    return dictionary_from_texts(documents(spark, sf_dir).where("lang = 'en'"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> Lexicon:

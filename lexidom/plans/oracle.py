@@ -57,8 +57,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           FROM benign) GROUP BY domain"""),
     "ordd": (["dom"], "SELECT domain, label, row_number() OVER (ORDER BY domain) - 1 AS ord FROM dom"),
     "dic": (["tok"], """
-        SELECT w AS word FROM tok WHERE lang = 'en' AND length(w) >= 2
-        GROUP BY w HAVING count(*) >= 10"""),
+        SELECT DISTINCT w AS word FROM tok WHERE lang = 'en'"""),
     "gram_counts": (["dom"], """
         SELECT substr(domain, i, 3) AS gram, count(*) AS cnt
         FROM (SELECT domain, unnest(range(1, length(domain) - 1)) AS i FROM dom WHERE label = 0)
@@ -76,6 +75,13 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT domain, label, ord, length, numerical_ratio, meaningful_word_ratio,
                pronounceability, lms_percentage, {EDIT_DISTANCE} AS levenshtein
         FROM simple JOIN words USING (domain) JOIN pron USING (domain)"""),
+    "split_feats": (["split_dom", "words", "pron"], f"""
+        SELECT domain, label, split, ord, length(domain)::DOUBLE AS length,
+               length(regexp_replace(domain, '[^0-9]', '', 'g'))::DOUBLE / length(domain) AS numerical_ratio,
+               meaningful_word_ratio, pronounceability, lms_percentage, {EDIT_DISTANCE} AS levenshtein
+        FROM (SELECT *, row_number() OVER w - 1 AS ord, coalesce(lag(domain) OVER w, domain) AS prev
+              FROM split_dom WINDOW w AS (PARTITION BY split ORDER BY domain))
+        JOIN words USING (domain) JOIN pron USING (domain)"""),
     "predicted": (["dom", "pron"], """
         SELECT domain, label, pronounceability, CASE WHEN pronounceability < 1e-4 THEN 1 ELSE 0 END AS prediction
         FROM dom JOIN pron USING (domain)"""),

@@ -25,6 +25,7 @@ from . import inputs
 from .inputs import table
 from .oracle import EDIT_DISTANCE, with_ctes
 from .preprocess import preprocess
+from .train import features_by_split, read_prepared, summary, train_and_evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,23 +251,24 @@ def kfold(spark, sf_dir):
 
 @query(
     "train_test_concat",
-    "SELECT label, split, count(*) AS n FROM split_dom GROUP BY ALL", "split_dom",
+    "SELECT domain, label, split FROM split_dom", "split_dom",
 )
 def train_test_concat(spark, sf_dir):
     split = stage(ranking.stratified_split(stage(inputs.domains(spark, sf_dir))))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    return train.unionByName(test).groupBy("label", "split").agg(F.count("*").alias("n"))
+    return train.unionByName(test)
 
 
 @query(
     "csv_round_trip",
-    "SELECT domain, label FROM split_dom WHERE split = 'test'", "split_dom",
+    "SELECT domain, label, split FROM split_dom", "split_dom",
 )
 def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "split-csv")
     split = ranking.stratified_split(stage(inputs.domains(spark, sf_dir)))
     tables.write_split(split, path, "csv")
-    return tables.read_split(spark, path, "test", "csv")
+    train, test = (tables.read_split(spark, path, s, "csv").withColumn("split", F.lit(s)) for s in ("train", "test"))
+    return train.unionByName(test)
 
 
 # ------------------------------------------------------- reference tables
@@ -400,6 +402,45 @@ def feat_all5(spark, sf_dir):
     return _round(all_features(spark, sf_dir, levenshtein=False), 12, "pronounceability")
 
 
+@query(
+    "feat_by_split",
+    """SELECT domain, label, split, ord, length, numerical_ratio, meaningful_word_ratio,
+         round(pronounceability, 12) AS pronounceability, lms_percentage, levenshtein FROM split_feats""",
+    "split_feats",
+)
+def feat_by_split(spark, sf_dir):
+    ordered, lexicon = _ordered_and_lexicon(spark, sf_dir)
+    split = stage(ranking.stratified_split(ordered.drop("ord")), "split")
+    return _round(features_by_split(split, lexicon), 12, "pronounceability")
+
+
+def _prepared(spark, sf_dir) -> str:
+    """A prepared folder of the derived domains."""
+    folder = scratch_path(spark, "prepared")
+    domains = stage(inputs.domains(spark, sf_dir))
+    tables.write_split(ranking.stratified_split(domains), f"{folder}/split")
+    tables.write_words(inputs.dictionary(spark, sf_dir), f"{folder}/english_dictionary")
+    tables.write_trigrams(reference_tables.fit_trigrams(domains), f"{folder}/trigrams")
+    return folder
+
+
+@query(
+    "train_eval_inputs",
+    "SELECT split, label, count(*) AS n, " + ", ".join(
+        f"round(avg({c}), 9) AS mean_{c}" for c in FEATURES_6
+    ) + " FROM split_feats GROUP BY ALL",
+    "split_feats",
+)
+def train_eval_inputs(spark, sf_dir):
+    rows, lexicon = read_prepared(spark, _prepared(spark, sf_dir))
+    return _round(summary(features_by_split(rows, lexicon)), 9, *[f"mean_{c}" for c in FEATURES_6])
+
+
+@query("train_eval")
+def train_eval(spark, sf_dir):
+    return train_and_evaluate(spark, _prepared(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -537,7 +578,7 @@ def class_summary_rollup(spark, sf_dir):
     "decode_labels",
     """SELECT domain, CASE WHEN prediction = 1 THEN 'DGA' ELSE 'Benign' END AS label,
          round(pronounceability, 9) AS score FROM predicted""",
-    "predicted pron",
+    "predicted",
 )
 def decode_labels(spark, sf_dir):
     return _predicted(spark, sf_dir).select(

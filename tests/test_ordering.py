@@ -3,18 +3,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexidom.operators.ordering import assign_chunk, assign_ord, prefix_rows, with_previous
+from lexidom.operators.ordering import assign_chunk, assign_ord, assign_ord_within, prefix_rows, with_previous
 
-BOUNDARY = sorted(
-    "aardvark abalone banana bandana candle candy delta demon eagle earth falcon famous garlic gazelle "
-    "hammer handle igloo image jacket jasmine".split()
-)
-DISTANCES = [0, 7, 4, 1, 4, 2, 5, 3, 5, 3, 5, 4, 5, 4, 6, 4, 6, 4, 5, 5]
+from . import brute
+
+HOSTS = sorted("mill mills millet milk pond ponder yonder wonder q zzz zz z7 a ab ba baab rill".split())
+DISTANCES = [int(brute.edit_distance(a, b)) for a, b in zip(HOSTS, HOSTS[:1] + HOSTS)]
 
 
 @pytest.mark.parametrize("chunk_rows", [1, 2, 4, 5, 8, 20, 40])
 def test_distances_at_chunk_boundaries(domain_rows, chunk_rows):
-    rows = with_previous(domain_rows(BOUNDARY), chunk_rows=chunk_rows)
+    rows = with_previous(domain_rows(HOSTS), chunk_rows=chunk_rows)
     got = rows.orderBy("ord").select(F.levenshtein("domain", "prev").alias("d")).collect()
     assert [r.d for r in got] == DISTANCES
 
@@ -64,4 +63,26 @@ def test_chunks_are_balanced_and_contiguous(domain_rows, n, k):
 
 
 def test_prefix(domain_rows):
-    assert prefix_rows(domain_rows(BOUNDARY), 3).count() == 3
+    assert prefix_rows(domain_rows(HOSTS), 3).count() == 3
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_each_segment_is_numbered_alone(spark, shuffle_partitions, partitions):
+    shuffle_partitions(partitions)
+    rng = random.Random(partitions)
+    rows = [(rng.choice(["train", "train", "train", "test", None]), f"d{i:03d}") for i in range(200)] + [("one", "x")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "split STRING, domain STRING").repartition(5)
+    numbered = assign_ord_within(df, ["split"], ["domain"])
+    got = {(r.split, r.domain): r.prev for r in with_previous(numbered, by=["split"], chunk_rows=7).collect()}
+    ords = {(r.split, r.domain): r.ord for r in numbered.collect()}
+    for split in {s for s, _ in rows}:
+        names = sorted(d for s, d in rows if s == split)
+        assert [ords[split, d] for d in names] == list(range(len(names)))
+        assert [got[split, d] for d in names] == names[:1] + names[:-1]
+    assert len(got) == len(rows)
+
+
+def test_segments_of_no_rows(spark):
+    empty = spark.createDataFrame([], "split STRING, domain STRING")
+    assert with_previous(assign_ord_within(empty, ["split"], ["domain"]), by=["split"]).count() == 0

@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from lexidom.plans import queries
 from lexidom.plans.preprocess import preprocess
 from lexidom.sources import raw_log, suffix_rules, tables
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages labels conversations lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -24,11 +25,11 @@ def in_name_order(columns, rows):
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = queries.QUERIES[name](spark, SF_DIR)
     got = in_name_order(df.columns, df.collect())
-    result = duck.execute(contract.oracle_sql()[name])
+    result = duck.execute(queries.ORACLES[name])
     want = in_name_order([c[0] for c in result.description], result.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
