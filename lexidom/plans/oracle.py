@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..ml.trees import POISSON as _POISSON
+from ..schema import FEATURES_6
+
 # DuckDB's edit distance counts bytes: letters beyond ASCII become unused ASCII signs first.
 _LETTERS, _SIGNS = "'àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%'"
 EDIT_DISTANCE = (
@@ -168,6 +171,62 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+def tree_ctes(name: str, depth: int, trees: int = 1, n_features: int | None = None, bootstrap: bool = False) -> dict:
+    """Exact trees on the train rows of split_feats, level by level; test rows walk along."""
+    features = [*FEATURES_6]
+    x = ", ".join(f"round({c}, 12)" if c == "pronounceability" else c for c in features)
+    u = "('0x' || substr(md5(concat_ws('|', domain, tree::VARCHAR, '42')), 1, 8))::BIGINT"
+    weight = " + ".join(f"({u} >= {limit})::BIGINT" for limit in _POISSON) if bootstrap else "1::BIGINT"
+    train = "split = 'train' AND w > 0 AND length(node) = "
+    hashed = "md5(concat_ws('|', tree::VARCHAR, node, f::VARCHAR, '42'))"
+    allowed = "" if not n_features else f"""
+          QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY substr({hashed}, 1, 8), f) <= {n_features}"""
+    ctes = {f"{name}0": (["split_feats"], f"""
+        SELECT tree::INTEGER AS tree, domain, label AS y, split, {weight} AS w, [{x}] AS x, 'r' AS node
+        FROM split_feats, (SELECT unnest(range({trees})) AS tree)""")}
+    for k in range(depth + 1):
+        ctes[f"{name}{k}_sum"] = ([f"{name}{k}"], f"""
+        SELECT tree, node, sum(w)::BIGINT AS n, sum(w * y)::BIGINT AS n1 FROM {name}{k}
+        WHERE {train}{k + 1} GROUP BY ALL""")
+        if k == depth:
+            continue
+        ctes[f"{name}{k}_cut"] = ([f"{name}{k}_sum"], f"""
+        SELECT tree, node, f, v + (next_v - v) / 2 AS threshold FROM (
+          SELECT *, (s0 * r + s1 * l)::HUGEINT AS top, (l * r)::HUGEINT AS under FROM (
+            SELECT *, l::HUGEINT * l - 2 * l::HUGEINT * l1 + 2 * l1::HUGEINT * l1 AS s0,
+              r::HUGEINT * r - 2 * r::HUGEINT * r1 + 2 * r1::HUGEINT * r1 AS s1 FROM (
+              SELECT tree, node, f, v, lead(v) OVER o AS next_v,
+                sum(n) OVER o AS l, sum(n1) OVER o AS l1,
+                sum(n) OVER g - sum(n) OVER o AS r, sum(n1) OVER g - sum(n1) OVER o AS r1
+              FROM (
+                SELECT tree, node, f, x[f + 1] AS v, sum(w)::BIGINT AS n, sum(w * y)::BIGINT AS n1
+                FROM {name}{k} JOIN (
+                  SELECT tree, node, f FROM {name}{k}_sum, (SELECT unnest(range({len(features)}))::INTEGER AS f)
+                  WHERE n1 > 0 AND n1 < n{allowed}) USING (tree, node)
+                WHERE {train}{k + 1} GROUP BY ALL)
+              WINDOW g AS (PARTITION BY tree, node, f), o AS (PARTITION BY tree, node, f ORDER BY v)))
+          WHERE next_v IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY tree, node
+          ORDER BY top // under DESC, (top % under)::DOUBLE / under::DOUBLE DESC, f, v) = 1""")
+        ctes[f"{name}{k + 1}"] = ([f"{name}{k}", f"{name}{k}_cut"], f"""
+        SELECT tree, domain, y, split, w, x, node || CASE WHEN f IS NULL THEN ''
+          WHEN x[f + 1] <= threshold THEN '0' ELSE '1' END AS node
+        FROM {name}{k} LEFT JOIN {name}{k}_cut USING (tree, node)""")
+    names = "[" + ", ".join(f"'{c}'" for c in features) + "]"
+    ctes[f"{name}_nodes"] = ([f"{name}{k}_sum" for k in range(depth + 1)], " UNION ALL ".join(f"""
+        SELECT tree, node, {k} AS depth, n, n1, {f"{names}[f + 1]" if k < depth else "NULL"} AS feature,
+          {"threshold" if k < depth else "NULL::DOUBLE"} AS threshold, (2 * n1 > n)::INTEGER AS prediction,
+          n1::DOUBLE / n AS p1
+        FROM {name}{k}_sum {f"LEFT JOIN {name}{k}_cut USING (tree, node)" if k < depth else ""}""" for k in range(depth + 1)))
+    ctes[f"{name}_votes"] = ([f"{name}{depth}", f"{name}_nodes"], f"""
+        SELECT domain, any_value(y) AS label, sum(p1) / count(*) AS p_dga, count_if(p1 > 0.5)::INTEGER AS votes
+        FROM {name}{depth} JOIN {name}_nodes USING (tree, node) WHERE split = 'test' GROUP BY domain""")
+    return ctes
+
+
+CTES |= tree_ctes("cart", 3) | tree_ctes("forest", 3, trees=5, n_features=2, bootstrap=True)
+
+
 def with_ctes(names: str, select: str) -> str:
     """``select`` with the CTEs it names and all that those read."""
     order: list[str] = []

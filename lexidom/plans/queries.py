@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.stats import amdahl, efficiency, overhead_pct, speedup, throughput
 from ..functions.text import char_length, decode_label, encode_threat, normalized, numerical_ratio, tokens
-from ..ml import experiments, models, scoring
+from ..ml import experiments, models, scoring, trees
 from ..operators import cleaning, compare, evaluation, features, ordering, quality, ranking
 from ..operators import reference_tables, run_reports
 from ..schema import FEATURES_5, FEATURES_6
@@ -876,6 +876,49 @@ def stream_features(spark, sf_dir):
     return rounded.groupBy("domain", *FEATURES_5).agg(F.sum("n_requests").alias("n_requests"))
 
 
+# ------------------------------------------------------------- exact trees
+
+
+def _cart_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = stage(feat_by_split(spark, sf_dir), "split-features")
+    return rows.where("split = 'train'"), rows.where("split = 'test'")
+
+
+def _cart(train: DataFrame) -> DataFrame:
+    return trees.grow(train, FEATURES_6, max_depth=3)
+
+
+@query(
+    "cart_tree",
+    "SELECT node, depth, n, n1, feature, threshold, prediction, round(p1, 9) AS p1 FROM cart_nodes",
+    "cart_nodes",
+)
+def cart_tree(spark, sf_dir):
+    nodes = _cart(_cart_rows(spark, sf_dir)[0])
+    return _round(nodes.drop("tree", "left", "right"), 9, "p1")
+
+
+_SCORED = """SELECT domain, label, votes, round(p_dga, 9) AS p_dga, (p_dga > 0.5)::INTEGER AS prediction,
+         round(greatest(p_dga, 1 - p_dga), 9) AS probability FROM """
+
+
+def _scored(test: DataFrame, nodes: DataFrame) -> DataFrame:
+    scored = trees.predict(test.select("domain", "label", *FEATURES_6), nodes).drop(*FEATURES_6)
+    return _round(scored, 9, "p_dga", "probability")
+
+
+@query("predict_nodes", _SCORED + "cart_votes", "cart_votes")
+def predict_nodes(spark, sf_dir):
+    train, test = _cart_rows(spark, sf_dir)
+    return _scored(test, _cart(train))
+
+
+@query("cart_forest_votes", _SCORED + "forest_votes", "forest_votes")
+def cart_forest_votes(spark, sf_dir):
+    train, test = _cart_rows(spark, sf_dir)
+    return _scored(test, trees.grow(train, FEATURES_6, trees=5, bootstrap=True, n_features=2, max_depth=3))
+
+
 # ------------------------------------------------- fitted models (no SQL)
 
 def _train_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
