@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,20 +9,14 @@ from ..functions.text import decode_label, normalized
 from ..operators.features import extract_features
 from ..operators.reference_tables import Lexicon
 from ..schema import FEATURES_5
-from ..session import stage
+from ..session import path_exists, stage
 from .models import evaluate, predict, random_forest
 
 N_TREES = 50
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+VERDICT_DDL = (
+    "label STRING, probability DOUBLE, p_dga DOUBLE, features STRUCT<"
+    + ", ".join(f"{c}: DOUBLE" for c in FEATURES_5) + ">"
+)
 
 
 def load_or_train(
@@ -35,7 +28,7 @@ def load_or_train(
     ``train`` and ``test`` hold domain and label; ``key`` is unique in each.
     """
     model_path, info_path = f"{path}/model", f"{path}/info"
-    if not _exists(spark, f"{info_path}/_SUCCESS"):
+    if not path_exists(spark, f"{info_path}/_SUCCESS"):
         fit_rows = stage(extract_features(train, lexicon, key, levenshtein=False), "train")
         test_rows = extract_features(test, lexicon, key, levenshtein=False)
         model = random_forest(FEATURES_5, n_estimators).fit(fit_rows)
@@ -94,9 +87,15 @@ def score_rows(
     broadcast when small, else a sort-merge join of two plain shuffles, the
     form in which adaptive execution can split a hot domain.
     """
-    verdicts = stage(score_domains(requests, model, lexicon, domain).drop("n_requests"), "verdicts")
+    verdicts = score_domains(requests, model, lexicon, domain).drop("n_requests")
+    return join_requests(requests, verdicts, domain)
+
+
+def join_requests(requests: DataFrame, found: DataFrame, domain: str = "domain") -> DataFrame:
+    """Request rows with what was found for their normalized domain; blanks are skipped."""
+    found = stage(found, "verdicts")
     rest = [c for c in requests.columns if c != domain]
     rows = requests.withColumn(domain, normalized(F.col(domain))).where(F.col(domain) != "")
     joined = rows.withColumnsRenamed({c: f"_in_{c}" for c in rest}).withColumnRenamed(domain, "domain")
-    kept = [F.col(f"_in_{c}").alias(c) for c in rest if c not in verdicts.columns]
-    return joined.join(verdicts, "domain").select(*kept, *verdicts.columns)
+    kept = [F.col(f"_in_{c}").alias(c) for c in rest if c not in found.columns]
+    return joined.join(found, "domain").select(*kept, *found.columns)

@@ -137,28 +137,87 @@ def stratified_folds(
     return ranked.withColumn("fold", ((F.col("rank") - 1) % n_splits).cast("int")).drop("rank")
 
 
-# Buckets per level when a value range is searched; a power of two, so that
-# finer buckets nest in coarser ones without rounding.
-_FAN = 65_536
+#: Rows of an interval that one task may rank; wider intervals are narrowed first.
+RANKED_ROWS = 100_000
+#: Limits that one sketch gives per interval.
+_LIMITS = [i / 64 for i in range(1, 64)]
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group (mean of the middle two for even counts).
+def exact_median(
+    df: DataFrame, by: list[str], value: str, out: str = "median", ranked_rows: int = RANKED_ROWS
+) -> DataFrame:
+    """Exact median per group (mean of the middle two for even counts); NaN is the largest value.
 
-    The value range of a group is searched by counting, level by level; equal
-    values are counted, not ranked, so neither a large group nor a hot value
-    meets in one task.
+    Quantiles of a sketch cut the interval that holds the wanted rank, whatever the
+    spread of the values: a counting pass finds the piece, and pieces of more than
+    ``ranked_rows`` rows are cut again. A limit's own value is a piece of its own, so a
+    value that most rows hold is counted, not ranked.
     """
     keys = by or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
-    ranges = stage(rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
-    few = ranges.count() <= 100_000
-    placed = rows.join(F.broadcast(ranges) if few else ranges, keys)
-    width = F.col("_hi") - F.col("_lo")
-    x = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    levels = [F.floor(x * float(_FAN**i)) for i in (1, 2)]
-    middle = cutoffs(
-        placed, keys, levels, F.col(value),
-        F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1, few_classes=few,
+    rows = rows.select(*keys, F.col(value).alias("_v"), F.col(value).cast("double").alias("_x"))
+    total = F.count("*").alias("_n")
+    middles = F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
+    targets = stage(
+        rows.groupBy(*keys).agg(total, (F.min("_v") == F.max("_v")).alias("_one")).select(
+            *keys, F.posexplode(middles).alias("_q", "_need"),
+            F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"),
+            F.lit(False).alias("_closed"), "_n", "_one",
+        ),
+        "targets",
+    )
+    while not targets.where(_wide(ranked_rows)).isEmpty():
+        narrow = targets.where(~_wide(ranked_rows))
+        targets = stage(narrow.unionByName(_narrowed(rows, targets.where(_wide(ranked_rows)), keys)), "targets")
+    inside = _inside(rows, targets, keys).groupBy(*keys, "_q", "_need", "_v").agg(F.count("*").alias("_k"))
+    running = Window.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("_upto", F.sum("_k").over(running)).where("_need <= _upto AND _need > _upto - _k")
+    return found.groupBy(*keys).agg(F.avg("_v").alias(out)).select(*by, out)
+
+
+def _wide(ranked_rows: int) -> Column:
+    return (F.col("_n") > ranked_rows) & ~F.col("_one")
+
+
+def _inside(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each target's interval: above low and below high, or at high if closed; low is high for one value."""
+    few = targets.count() <= 100_000
+    x, high = F.col("_x"), F.col("_high")
+    within = (
+        (F.col("_low").isNull() | (x > F.col("_low")) | ((F.col("_low") == high) & (x == high)))
+        & (high.isNull() | (x < high) | (F.col("_closed") & (x == high)))
+    )
+    return rows.join(F.broadcast(targets) if few else targets, keys).where(within)
+
+
+def _narrowed(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    ids = [*keys, "_q"]
+    inside = _inside(rows, targets, keys)
+    number = F.when(~F.isnan("_x"), F.col("_x"))
+    sketch = F.kll_sketch_agg_double(number)
+    quantiles = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(r) for r in _LIMITS]))
+    limits = inside.groupBy(*ids).agg(
+        F.when(F.count(number) > 0, quantiles).alias("_limits"), F.max("_x").alias("_top")
+    ).select(*ids, F.array_sort(F.array_distinct(F.concat(F.coalesce("_limits", F.array().cast("array<double>")), F.array("_top")))).alias("_limits"))
+    limits = stage(limits, "limits")
+    few = limits.count() <= 100_000
+    # the limit at or above the value, and whether it is the value
+    limit = F.element_at(F.filter("_limits", lambda x: x >= F.col("_x")), 1)
+    pieces = (
+        inside.join(F.broadcast(limits) if few else limits, ids)
+        .withColumn("_at", limit)
+        .groupBy(*ids, "_need", F.col("_low").alias("_from"), "_at", (F.col("_x") == F.col("_at")).alias("_own"))
+        .agg(F.count("*").alias("_k"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
+    order = Window.partitionBy(*ids).orderBy("_at", "_own")  # two pieces a limit
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("_upto", F.sum("_k").over(running)).withColumn(
+        "_before", F.lag("_at").over(order)
+    ).where("_need <= _upto AND _need > _upto - _k")
+    below = F.coalesce(F.col("_before"), F.col("_from"))
+    return pieces.select(
+        *ids, (F.col("_need") - F.col("_upto") + F.col("_k")).alias("_need"), F.when(F.col("_own"), F.col("_at")).otherwise(below).alias("_low"),
+        F.col("_at").alias("_high"), F.col("_own").alias("_closed"), F.col("_k").alias("_n"),
+        # whole numbers that share a double are few
+        (F.col("_own") | (F.col("_min") == F.col("_max"))).alias("_one"),
     )
-    return middle.groupBy(*keys).agg(F.avg("cutoff").alias(out)).select(*by, out)

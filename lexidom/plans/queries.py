@@ -20,7 +20,7 @@ from ..operators import reference_tables, run_reports
 from ..schema import FEATURES_5, FEATURES_6
 from ..session import scratch_path, spread, stage
 from ..sources import raw_log, run_metrics, suffix_rules, tables
-from ..streaming.scoring import read_requests, score_stream, write_batches
+from ..streaming.scoring import feature_stream, read_batches, read_requests, score_stream
 from . import inputs
 from .inputs import table
 from .oracle import EDIT_DISTANCE, with_ctes
@@ -863,17 +863,32 @@ def score_features(spark, sf_dir):
     return _round(rows, 12, "pronounceability")
 
 
-@query("stream_features", _REQUEST_SQL, "requests r_words r_pron")
+_REQUEST_DDL = "conv_id BIGINT, turn INT, domain STRING"
+
+
+def _request_stream(spark, sf_dir) -> DataFrame:
+    """Micro-batches of requests that carry the conversation and turn they come from."""
+    source = scratch_path(spark, "requests")
+    rows = _requests(spark, sf_dir).select(F.col("conv_id").cast("bigint"), F.col("turn").cast("int"), "domain")
+    rows.repartition(4, "domain").write.parquet(source)
+    return read_requests(spark, source, _REQUEST_DDL, max_files=2)
+
+
+@query(
+    "stream_features",
+    """SELECT conv_id, turn::INTEGER AS turn, domain, length, numerical_ratio, meaningful_word_ratio,
+         pronounceability, lms_percentage
+       FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS domain
+             FROM conversations) JOIN (""" + _REQUEST_SQL + ") USING (domain)",
+    "requests r_words r_pron",
+)
 def stream_features(spark, sf_dir):
-    """The same through a stream of several micro-batches."""
+    """Features of each request, through a stream of several micro-batches."""
     _, lexicon = _ordered_and_lexicon(spark, sf_dir)
-    source, out = scratch_path(spark, "requests"), scratch_path(spark, "features")
-    _requests(spark, sf_dir).select("domain").repartition(4, "domain").write.parquet(source)
-    stream = read_requests(spark, source, "domain STRING", max_files=2)
-    features_of = lambda batch: scoring.request_features(batch, lexicon)
-    write_batches(stream, features_of, out, scratch_path(spark, "stream")).awaitTermination()
-    rounded = _round(spark.read.parquet(out).drop("batch"), 12, "pronounceability")
-    return rounded.groupBy("domain", *FEATURES_5).agg(F.sum("n_requests").alias("n_requests"))
+    out = scratch_path(spark, "features")
+    feature_stream(_request_stream(spark, sf_dir), lexicon, out, scratch_path(spark, "stream")).awaitTermination()
+    names = ", ".join(f"{c} DOUBLE" for c in FEATURES_5)
+    return _round(read_batches(spark, out, f"{_REQUEST_DDL}, {names}"), 12, "pronounceability")
 
 
 # ------------------------------------------------------------- exact trees
@@ -991,9 +1006,6 @@ def model_info(spark, sf_dir):
 @query("score_stream")
 def score_stream_query(spark, sf_dir):
     model, _, lexicon = _scoring_model(spark, sf_dir)
-    source, out = scratch_path(spark, "requests"), scratch_path(spark, "verdicts")
-    _requests(spark, sf_dir).select("domain").write.parquet(source)
-    stream = read_requests(spark, source, "domain STRING", max_files=4)
-    run = score_stream(stream, model, lexicon, out, scratch_path(spark, "stream"))
-    run.awaitTermination()
-    return spark.read.parquet(out)
+    out = scratch_path(spark, "verdicts")
+    score_stream(_request_stream(spark, sf_dir), model, lexicon, out, scratch_path(spark, "stream")).awaitTermination()
+    return read_batches(spark, out, f"{_REQUEST_DDL}, {scoring.VERDICT_DDL}")

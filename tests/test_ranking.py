@@ -87,3 +87,25 @@ def test_cutoff_counts_duplicates(spark):
     df = spark.createDataFrame([(0, 5)] * 70 + [(0, 6)] * 30, "label INT, v INT")
     at = lambda q: ranking.cutoffs(df, ["label"], [F.col("v") / 2], F.col("v"), F.lit(q)).first().cutoff
     assert [at(1), at(70), at(71), at(100)] == [5, 5, 6, 6]
+
+
+@pytest.mark.parametrize("ranked_rows", [1, 7, 50, 100_000])
+def test_median_with_outliers_and_hot_values(spark, ranked_rows):
+    rng = random.Random(ranked_rows)
+    groups = {
+        "outlier": [rng.random() for _ in range(400)] + [1e300, -1e300],
+        "hot": [0.5] * 900 + [rng.random() for _ in range(100)],
+        "near": [0.25 + i * 1e-15 for i in range(301)],
+        "two": [1.0, 2.0], "one": [3.0], "same": [7.0] * 50,
+        "wide": [rng.choice([1e-300, 1.0, 1e9, 1e300]) * rng.random() for _ in range(333)],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE").repartition(5)
+    got = {r.k: r.median for r in ranking.exact_median(df, ["k"], "v", ranked_rows=ranked_rows).collect()}
+    assert got == {k: statistics.median(vs) for k, vs in groups.items()}
+    whole = ranking.exact_median(df, [], "v", ranked_rows=ranked_rows).first().median
+    assert whole == statistics.median([v for _, v in rows if v is not None])
+    big = [2**60 + i for i in range(99)]
+    longs = spark.createDataFrame([(x,) for x in big], "v BIGINT")
+    assert ranking.exact_median(longs, [], "v", ranked_rows=ranked_rows).first().median == float(big[49])
