@@ -10,20 +10,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.ranking import stratified_folds
 from ..operators.run_reports import paired_t, score_summary
 from ..schema import FEATURES_5, FEATURES_6
-from ..session import stage
+from ..session import shared_root, stage
 from .models import evaluate, make_model
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
 
-# Training rows per partition: bagging follows partitions, so their number must not
-# follow the cluster.
-FIT_ROWS = 20_000
+# Bagging follows partitions, so their number must follow the data, not the cluster: at
+# least FIT_ROWS rows each for up to FIT_PARTITIONS of them, MOST_ROWS at most beyond.
+FIT_ROWS, FIT_PARTITIONS, MOST_ROWS = 20_000, 64, 1_000_000
 
 
 def settled(train: DataFrame, key: str = "domain") -> DataFrame:
-    """The rows in partitions and in an order that only the data decide."""
-    return train.repartition(-(-train.count() // FIT_ROWS) or 1, key).sortWithinPartitions(key)
+    """The rows in partitions and in an order that only the data decide.
+
+    Shuffled and sorted once and kept by a reliable checkpoint, which keeps partitions
+    and order; all fits of an experiment read that.
+    """
+    shared_root(train.sparkSession)  # names the checkpoint folder where none is set
+    n = train.count()
+    parts = max(1, min(FIT_PARTITIONS, -(-n // FIT_ROWS)), -(-n // MOST_ROWS))
+    return train.repartition(parts, key).sortWithinPartitions(key).checkpoint()
 
 
 def _rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

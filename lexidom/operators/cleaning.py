@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.punycode import host_to_unicode
 from ..functions.text import host_of
 from ..session import fits_broadcast
 from .ranking import cutoffs
 
 
-def strip_suffix(df: DataFrame, rules: DataFrame, domain: str = "domain") -> DataFrame:
+def strip_suffix(
+    df: DataFrame, rules: DataFrame, domain: str = "domain", idna: bool = False
+) -> DataFrame:
     """Remove the public suffix, keep any subdomain ('a.b.co.uk' -> 'a.b').
 
     One broadcast lookup per suffix depth of the rule table (a handful), so
     rows are never exploded or shuffled. The longest rule wins, a wildcard
     covers one more label, and an exception wins over all and covers one less.
-    A host that matches no rule, or is an IPv4 address, stays whole.
+    A host that matches no rule, or is an IPv4 address, stays whole. With ``idna``
+    coded labels (xn--) and letters match each other; the host keeps its spelling.
     """
+    if idna:
+        rules = _decoded(rules)
     depth = rules.agg(F.max("labels")).first()[0] or 0
     small = fits_broadcast(rules, "rule")
     host = "_host"
     out = df.withColumn(host, host_of(F.col(domain)))
+    look = "_look" if idna else host
+    if idna:
+        out = out.withColumn(look, host_to_unicode(F.col(host)))
     parts = F.size(F.split(host, r"\."))
     taken: Column = F.lit(0)
     exempt: Column = F.lit(None).cast("int")
@@ -29,7 +38,7 @@ def strip_suffix(df: DataFrame, rules: DataFrame, domain: str = "domain") -> Dat
             F.col("rule").alias(f"_rule{i}"),
             F.struct("plain", "wildcard", "exception").alias(f"_kind{i}"),
         )
-        tail = F.when(parts >= i, F.substring_index(host, ".", -i))
+        tail = F.when(parts >= i, F.substring_index(look, ".", -i))
         out = out.withColumn(f"_tail{i}", tail).join(
             F.broadcast(level) if small else level, F.col(f"_tail{i}") == F.col(f"_rule{i}"), "left"
         )
@@ -46,6 +55,13 @@ def strip_suffix(df: DataFrame, rules: DataFrame, domain: str = "domain") -> Dat
     return out.select(*columns)
 
 
+def _decoded(rules: DataFrame) -> DataFrame:
+    """Rules in letters; the two spellings of one rule become one row."""
+    kinds = [F.bool_or(c).alias(c) for c in ("plain", "wildcard", "exception")]
+    letters = rules.withColumn("rule", host_to_unicode(F.col("rule")))
+    return letters.groupBy("rule", "labels").agg(*kinds)
+
+
 def dedup_benign_wins(df: DataFrame, order: str | None = None) -> DataFrame:
     """One row per domain: the benign one if any, then the earliest.
 

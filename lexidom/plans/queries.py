@@ -147,6 +147,35 @@ def strip_suffix(spark, sf_dir):
     return cleaning.strip_suffix(pages, suffix_rules.rules_from(spark, _PAGE_RULES))
 
 
+# Suffixes in letters and coded, and rules that name each in one spelling only.
+_WIDE_SUFFIXES = ["рф", "xn--p1ai", "中国", "xn--fiqs8s", "xn--bcher-kva.example", "bücher.example", "com"]
+_WIDE_RULES = ["// wide", "рф", "xn--fiqs8s", "com", "bücher.example", "*.xn--p1ai", "!blog.рф"]
+
+
+@query(
+    "strip_suffix_idna",
+    """SELECT page_id, host, CASE
+         WHEN regexp_matches(host, '[.](рф|xn--p1ai)$') THEN
+           CASE WHEN regexp_matches(host, '(^|[.])blog[.][^.]+$') THEN regexp_replace(host, '[.][^.]+$', '')
+             ELSE array_to_string(string_split(host, '.')[:-3], '.') END
+         ELSE regexp_replace(host, '[.](中国|xn--fiqs8s|com|(xn--bcher-kva|bücher)[.]example)$', '') END AS domain
+       FROM (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.')[1] || '.xn--n3h.'
+         || CASE page_id % 3 WHEN 0 THEN 'blog.' ELSE '' END
+         || ['рф', 'xn--p1ai', '中国', 'xn--fiqs8s', 'xn--bcher-kva.example', 'bücher.example', 'com'][page_id % 7 + 1] AS host
+         FROM pages)""",
+)
+def strip_suffix_idna(spark, sf_dir):
+    """Hosts of the pages under international suffixes; the rules come from a file."""
+    first = F.substring_index(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), ".", 1)
+    blog = F.when(F.col("page_id") % 3 == 0, "blog.").otherwise("")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in _WIDE_SUFFIXES]), (F.col("page_id") % 7 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(first, F.lit(".xn--n3h."), blog, suffix).alias("host"))
+    path = scratch_path(spark, "rules")
+    spark.createDataFrame([(r,) for r in _WIDE_RULES], "value STRING").coalesce(1).write.text(path)
+    rules = suffix_rules.read_suffix_rules(spark, path)
+    return cleaning.strip_suffix(pages.withColumn("domain", F.col("host")), rules, idna=True)
+
+
 def _labelled_log(spark, sf_dir) -> DataFrame:
     return raw_log.parse_lines(raw_lines(spark, sf_dir))
 
@@ -499,6 +528,57 @@ def frame_diff(spark, sf_dir):
     return compare.compare(*faulty_features(spark, sf_dir), "ord", FEATURES_6)
 
 
+@query(
+    "bag_diff",
+    """WITH a AS (SELECT user_id AS k, value AS v FROM events),
+       b AS (SELECT user_id AS k, CASE event_id % 10 WHEN 2 THEN value + 1e-9 WHEN 3 THEN value + 1 ELSE value END AS v
+             FROM events, range(2) t(i) WHERE event_id % 10 <> 0 AND (i = 0 OR event_id % 10 = 1)),
+       c AS (SELECT k, v, sum(l)::BIGINT AS l, sum(r)::BIGINT AS r FROM (
+               SELECT k, v, 1 AS l, 0 AS r FROM a UNION ALL SELECT k, v, 0, 1 FROM b) GROUP BY ALL),
+       x AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS p
+             FROM c, lateral (SELECT unnest(range(l - least(l, r)))) WHERE l > r),
+       y AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS p
+             FROM c, lateral (SELECT unnest(range(r - least(l, r)))) WHERE r > l),
+       z AS (SELECT x.p AS xp, y.p AS yp, abs(x.v - y.v) <= 1e-10 + 1e-5 * abs(y.v) AS close
+             FROM x FULL JOIN y ON x.k = y.k AND x.p = y.p)
+       SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right,
+         (SELECT sum(least(l, r))::BIGINT FROM c) AS n_equal, count_if(close) AS n_close,
+         count_if(NOT close) AS n_rows_diff, count_if(yp IS NULL) AS n_extra_left,
+         count_if(xp IS NULL) AS n_extra_right, count_if(NOT close) AS diff_value FROM z""",
+)
+def bag_diff(spark, sf_dir):
+    """Events by user against a copy with rows left out, repeated, nearly and plainly changed."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    kind = F.col("event_id") % 10
+    changed = F.when(kind == 2, F.col("value") + 1e-9).when(kind == 3, F.col("value") + 1).otherwise(F.col("value"))
+    copies = F.explode(F.when(kind == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    other = events.where(kind != 0).select("user_id", changed.alias("value"), copies.alias("copy"))
+    return compare.compare_bags(events, other, "user_id", ["value"])
+
+
+@query(
+    "csv_rescue",
+    """SELECT 'good' AS kind, 'doc' || doc_id AS domain, (doc_id % 2)::INTEGER AS label, NULL AS line
+       FROM documents WHERE doc_id % 5 > 2
+       UNION ALL SELECT 'rejected', NULL, NULL, 'doc' || doc_id || CASE doc_id % 5
+         WHEN 0 THEN ',many' WHEN 1 THEN '' ELSE ',1,2' END FROM documents WHERE doc_id % 5 <= 2""",
+)
+def csv_rescue(spark, sf_dir):
+    """Lines of a label file, three of five broken."""
+    name, kind = F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("doc_id") % 5
+    rest = (
+        F.when(kind == 0, ",many").when(kind == 1, "").when(kind == 2, ",1,2")
+        .otherwise(F.concat(F.lit(","), (F.col("doc_id") % 2).cast("string")))
+    )
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "documents").select(F.concat(name, rest).alias("value")).write.text(path)
+    good, rejected = tables.read_rescued(spark, path)
+    none = F.lit(None)
+    return good.select(F.lit("good").alias("kind"), "domain", "label", none.cast("string").alias("line")).unionByName(
+        rejected.select(F.lit("rejected").alias("kind"), none.cast("string").alias("domain"), none.cast("int").alias("label"), "line")
+    )
+
+
 # ------------------------------------------------------------- evaluation
 
 
@@ -721,6 +801,31 @@ def nested_metrics(spark, sf_dir):
     return run_metrics.read_runs(spark, path, "E8")
 
 
+# Fields per experiment of a metrics document; the last is no known experiment.
+_DOCUMENT = {
+    "E1": ["k", "rep", "time_sec", "speedup", "cpu_util_avg", "ipc_overhead_pct"],
+    "E2": ["k", "rep", "time_sec", "speedup", "efficiency", "cpu_util_avg", "ipc_overhead_pct", "mem_delta_mb"],
+    "E3": ["n", "rep", "time_sec", "throughput"],
+    "E8": ["k", "n", "rep", "time_sec"],
+    "E99": ["rep", "throughput"],
+}
+
+
+@query(
+    "metrics_document",
+    " UNION ALL ".join(
+        f"SELECT '{e}' AS experiment, '{c}' AS field, count({c}) AS n, round(avg({c}::DOUBLE), 6) AS mean FROM runs"
+        for e, fields in _DOCUMENT.items() for c in fields
+    ),
+    "runs",
+)
+def metrics_document(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    run_metrics.write_documents(runs(spark, sf_dir), path, _DOCUMENT)
+    rows = run_metrics.read_documents(spark, path).groupBy("experiment", "field")
+    return rows.agg(F.count("number").alias("n"), F.round(F.avg("number"), 6).alias("mean"))
+
+
 def _platform(spark, sf_dir, status: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).select(
         F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("time_sec"),

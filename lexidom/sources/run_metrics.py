@@ -30,6 +30,32 @@ def read_runs(
     return docs.select(F.inline(experiment))
 
 
+def write_documents(runs: DataFrame, path: str, experiments: dict[str, list[str]]) -> None:
+    """Documents of several experiments at once: the named columns of ``runs`` for each, a run a document."""
+    fields = [F.array(F.struct(*columns)).alias(e) for e, columns in experiments.items()]
+    runs.select(*fields).write.mode("overwrite").json(path)
+
+
+def read_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Whole documents without a declared schema: experiment, run, field, number, text.
+
+    Experiments are a list of runs, an object of named runs, or a plain value; whatever
+    a document holds is kept, known or not. ``run`` is the position or the name.
+    ``multi_line`` takes each file for one document.
+    """
+    docs = spark.read.text(path, wholetext=multi_line).where("trim(value) <> ''")
+    return spark.sql(
+        """SELECT e.key AS experiment, coalesce(r.key, cast(r.pos AS STRING)) AS run, f.key AS field,
+             try_variant_get(coalesce(f.value, r.value, e.value), '$', 'double') AS number,
+             try_variant_get(coalesce(f.value, r.value, e.value), '$', 'string') AS text
+           FROM (SELECT parse_json(value) AS doc FROM {docs}) d,
+             LATERAL variant_explode(d.doc) e,
+             LATERAL variant_explode_outer(e.value) r,
+             LATERAL variant_explode_outer(r.value) f""",
+        docs=docs,
+    )
+
+
 # Models and scores of the model-comparison part.
 MODELS = ["decision_tree", "random_forest"]
 SCORES = ["accuracy", "precision", "recall", "f1", "inference_latency_ms", "train_time_sec"]

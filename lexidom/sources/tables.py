@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import stripped
 from ..schema import LABELLED_DDL, TRIGRAMS_DDL
+from ..session import stage
 
 
 def write_split(df: DataFrame, path: str, fmt: str = "parquet", split_col: str = "split") -> None:
@@ -28,6 +29,20 @@ def read_split(
     return df if split is None else df.where(F.col("split") == split).drop("split")
 
 
+def read_rescued(
+    spark: SparkSession, path: str, ddl: str = LABELLED_DDL, header: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """CSV rows that fit the DDL, and the lines that don't (column line), which add up to all rows.
+
+    A line is rejected if a value has the wrong type, or values are missing or too many.
+    """
+    corrupt = "_corrupt_record"
+    reader = spark.read.schema(f"{ddl}, {corrupt} STRING").option("columnNameOfCorruptRecord", corrupt)
+    rows = stage(reader.option("header", header).csv(path), "rescued")  # parsed once for both
+    good = rows.where(F.col(corrupt).isNull()).drop(corrupt)
+    return good, rows.where(F.col(corrupt).isNotNull()).select(F.col(corrupt).alias("line"))
+
+
 def write_words(words: DataFrame, path: str) -> None:
     words.select("word").orderBy("word").write.mode("overwrite").text(path)
 

@@ -1,5 +1,9 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from lexidom.functions.punycode import host_to_unicode
 from lexidom.operators import cleaning
 from lexidom.sources import suffix_rules
 from lexidom.sources.raw_log import parse_lines, read_raw_log
@@ -114,3 +118,24 @@ def test_log_order_is_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.domain for r in got] == want
+
+
+def test_coded_labels_are_decoded(spark):
+    rng = random.Random(4)
+    letters = "abz-09" + "éüßœΩжя中国港日本語한𐍈😀"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 20))).strip("-") or "é" for _ in range(400)}
+    coded = [("xn--" + w.encode("punycode").decode(), w) for w in sorted(words) if not w.isascii()]
+    bad = ["xn--", "xn--99999999", "xn--a_b", "xn--é", "plain", "xn--zz!!", "xn--0000000000000000000000000000000000", "", "xn--b-z"]
+    df = spark.createDataFrame([*coded, *[(b, b) for b in bad]], "host STRING, want STRING")
+    got = df.select("host", "want", host_to_unicode(F.col("host")).alias("got")).collect()
+    assert [(r.host, r.got) for r in got if r.got != r.want] == []
+    both = spark.createDataFrame([("a.xn--bcher-kva.XN--FIQS8S",)], "host STRING")
+    assert both.select(host_to_unicode(F.col("host"))).first()[0] == "a.bücher.中国"
+
+
+def test_suffixes_meet_in_either_spelling(spark):
+    rules = suffix_rules.rules_from(spark, ["рф", "xn--fiqs8s", "com", "com.xn--fiqs8s"])
+    hosts = ["a.b.рф", "a.xn--p1ai", "x.com.中国", "x.com.xn--fiqs8s", "xn--n3h.com", "xn--p1ai", "y.org"]
+    df = spark.createDataFrame([(h,) for h in hosts], "domain STRING")
+    got = [r.domain for r in cleaning.strip_suffix(df, rules, idna=True).collect()]
+    assert got == ["a.b", "a", "x", "x", "xn--n3h", "", "y.org"]

@@ -91,3 +91,23 @@ def test_runs_round_trip(spark, tmp_path):
 def test_missing_source(spark, read):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read(spark, "/no/such/path")
+
+
+def test_rejected_lines_and_good_rows_add_up(spark, tmp_path):
+    lines = ["a,1", "b,x", "c", "d,2,3", '"e,f",0', "g,", ",1", "9999,99999999999"]
+    spark.createDataFrame([(x,) for x in lines], "value STRING").write.text(str(tmp_path / "csv"))
+    good, rejected = tables.read_rescued(spark, str(tmp_path / "csv"))
+    assert sorted((str(r.domain), str(r.label)) for r in good.collect()) == [("None", "1"), ("a", "1"), ("e,f", "0"), ("g", "None")]
+    assert sorted(r.line for r in rejected.collect()) == ["9999,99999999999", "b,x", "c", "d,2,3"]
+
+
+def test_whole_documents_without_a_schema(spark, tmp_path):
+    doc = '{"E1": [{"k": 1, "t": 2.5}, {"k": 2, "note": "x"}],\n "E6": {"dt": {"acc": 0.5}, "rf": {"acc": 1}}, "base": 7.25, "E9": [], "none": null}'
+    (tmp_path / "m.json").write_text(doc)
+    rows = run_metrics.read_documents(spark, str(tmp_path / "m.json"), multi_line=True).collect()
+    got = {(r.experiment, r.run, r.field): r.number if r.number is not None else r.text for r in rows}
+    assert got == {
+        ("E1", "0", "k"): 1.0, ("E1", "0", "t"): 2.5, ("E1", "1", "k"): 2.0, ("E1", "1", "note"): "x",
+        ("E6", "dt", "acc"): 0.5, ("E6", "rf", "acc"): 1.0, ("base", None, None): 7.25,
+        ("E9", None, None): "[]", ("none", None, None): None,
+    }
