@@ -5,13 +5,13 @@ item's sketch is its bottom-k MinHash: the k shingles with the smallest hashes,
 where k of its class is one more than the shingles that a match may lack. A
 document that holds the wanted share of an item holds a sketch shingle
 (pigeonhole), however long the document is; a class is searched only in documents
-large enough for it. Exact containment over all shingles then decides.
+large enough for it. Exact containment over all shingles of the pairs found decides.
 
 All of it is DataFrame operations; document rows are shuffled only after they
-have met an item shingle.
+have met a sketch shingle.
 
 Defined cases: null and wordless texts and items have no shingles and match
-nothing; texts shorter than a shingle are one shingle; repeated items or documents
+nothing; texts shorter than a shingle are one shingle; long texts are searched whole; repeated items or documents
 (same id and text) give one row; null ids are kept apart by their texts; other
 columns are ignored; empty tables give an empty result.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .common import plain_words, small, text_key
 
 SHINGLE = 5
@@ -68,28 +69,47 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFra
     )
 
 
+def candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """doc_id, key1, key2, item: documents that hold a sketch shingle of an item and are large enough for it."""
+    wanted = sketches.where("in_sketch").select("item", "least_shared", "hash")
+    if small(wanted, 96):
+        wanted = F.broadcast(wanted)
+    rows = shingles(docs, "text", docs["doc_id"], *text_key(docs["text"]))
+    each = rows.select("doc_id", "key1", "key2", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
+    met = each.join(wanted, "hash").where("n_doc >= least_shared")
+    return met.select("doc_id", "key1", "key2", "item").distinct()
+
+
 def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, key1, key2, item_id, n_item, n_shared, containment: one row for each document
-    and item of which the document holds at least ``containment`` of the shingles."""
-    sketches = item_sketches(items, containment)
-    if small(sketches, 96):
-        sketches = F.broadcast(sketches)
-    rows = shingles(docs, "text", docs["doc_id"], *text_key(docs["text"]))
-    met = (
-        rows.select("doc_id", "key1", "key2", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
-        .join(sketches, "hash")
-        .where("n_doc >= least_shared")
+    and item of which the document holds at least ``containment`` of the shingles.
+
+    The sketches find the pairs; only the texts of pairs are read again, once each, and
+    their whole shingle sets are held against the items'.
+    """
+    item = F.struct("item_id", "item1", "item2").alias("item")
+    sketches = stage(item_sketches(items, containment).select(item, "n_item", "least_shared", "hash", "in_sketch"), "sketches")
+    pairs = stage(candidates(docs, sketches), "pairs")
+    by_text = pairs.select("key1", "key2", "item").distinct()
+    found = by_text.select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).distinct()
+    key1, key2 = text_key(docs["text"])
+    keyed = docs.select("text", key1, key2).join(
+        F.broadcast(found) if small(found, 32) else found,
+        (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")), "left_semi",
+    ).dropDuplicates(["key1", "key2"])
+    texts = shingles(keyed, "text", keyed["key1"], keyed["key2"])
+    sets = sketches.groupBy("item", "n_item", "least_shared").agg(F.collect_list("hash").alias("all"))  # of one short text each
+    if small(sketches, 32):
+        sets = F.broadcast(sets)
+    shared = F.size(F.array_intersect("hashes", "all")).cast("bigint")
+    held = (
+        by_text.join(sets, "item").join(texts, ["key1", "key2"])
+        .withColumn("n_shared", shared).where("n_shared >= least_shared")
+        .select("key1", "key2", "item", "n_item", "n_shared")
     )
-    group = ["doc_id", "key1", "key2", "item_id", "item1", "item2", "n_item", "least_shared"]
-    each = met.groupBy(*group, "hash").agg(F.max("in_sketch").alias("in_sketch"))
-    return (
-        each.groupBy(*group)
-        .agg(F.count("*").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-        .where("candidate and n_shared >= least_shared")
-        .select(
-            "doc_id", "key1", "key2", "item_id", "n_item", "n_shared",
-            (F.col("n_shared") / F.col("n_item")).alias("containment"),
-        )
+    return pairs.join(held, ["key1", "key2", "item"]).select(
+        "doc_id", "key1", "key2", "item.item_id", "n_item", "n_shared",
+        (F.col("n_shared") / F.col("n_item")).alias("containment"),
     )
 
 

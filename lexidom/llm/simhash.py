@@ -260,19 +260,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
     by_fp = rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
     return rows.join(by_fp, "fp").select("doc_id", "key", "fp", "first")
-
-
-def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """``docs`` with one row left of each component, the one with the smallest doc_id."""
-    found = stage(near_duplicates(docs, shingle, reach), "components")
-    kept = found.where(
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("key") == F.col("first.key"))
-    ).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    marked = docs.withColumn("_text_key", F.xxhash64(docs["text"]))
-    out = marked.join(
-        kept,
-        marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_key"] == kept["_key"]),
-        "left_semi",
-    ).drop("_text_key")
-    repeated = found.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -189,3 +189,16 @@ def spellings(docs, every=31):
             root = out[root][0]
         row[1] = root
     return {w: tuple(row) for w, row in out.items()}
+
+
+def alike_components(texts, similarity=0.8):
+    """Smallest index reachable by word shingle sets of that Jaccard similarity."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if root[i] != root[j] and (a == b or len(a & b) >= similarity * len(a | b) - 1e-9):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root

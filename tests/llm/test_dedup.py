@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexidom.llm import lines as line_dedup, simhash, substrings
 from lexidom.llm.lines import dedup_lines
-from lexidom.llm.simhash import components, fingerprint, keep_first, links, near_duplicates
+from lexidom.llm.simhash import components, fingerprint, links, near_duplicates
 from lexidom.llm.substrings import remove_repeats, rolling
 
 from . import brute
@@ -80,21 +80,9 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
-def test_one_of_each_group_stays(spark):
-    same = "a b c d e f g"
-    rows = [(5, same), (3, same), (None, same), (7, "x y z"), (7, "x y z"), (None, "p q r s"), (9, None), (8, "")]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id BIGINT, text STRING, fp STRING")
-    kept = sorted(keep_first(df).collect(), key=str)
-    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
-        [(3, same), (7, "x y z"), (None, "p q r s"), (8, "")], key=str
-    )
-    assert kept[0].asDict().keys() == {"doc_id", "text", "fp"}
-
-
 def test_simhash_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     assert near_duplicates(empty).count() == 0
-    assert keep_first(empty).count() == 0
 
 
 def test_rolling_hash_is_the_polynomial():

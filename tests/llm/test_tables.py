@@ -3,10 +3,11 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexidom.llm import queries
-from lexidom.llm.decontaminate import contained, without_items
+from lexidom.llm.decontaminate import candidates, contained, item_sketches, without_items
 from lexidom.llm.mixing import mix
 from lexidom.llm.simhash import near_duplicates
 from lexidom.llm.topk import SortedLists, search_embeddings
@@ -92,6 +93,19 @@ def test_containment_is_the_plain_one(spark):
     assert {r.doc_id for r in kept.collect()} == {x for x, _ in docs} - {x[0] for x in got}
 
 
+def test_the_sketches_choose_the_pairs(spark):
+    """Far fewer shingles than all are looked for, and a match is always among their pairs."""
+    docs, items = _benchmark(random.Random(12))
+    d = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    i = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    sketches = item_sketches(i).select(F.struct("item_id", "item1", "item2").alias("item"), "least_shared", "hash", "in_sketch")
+    kept = sketches.where("in_sketch").count()
+    assert 0 < kept < 0.6 * sketches.count()
+    pairs = {(r.doc_id, r.item.item_id) for r in candidates(d, sketches).collect()}
+    matches = {x[:2] for x in brute.contained(docs, items)}
+    assert matches < pairs and len(pairs) < len(docs) * len(items) / 2
+
+
 def test_containment_without_a_broadcast(spark, monkeypatch):
     from lexidom.llm import decontaminate
 
@@ -171,7 +185,7 @@ def test_pipeline_is_its_plain_stages(spark):
         text = "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in g)
         assert c == (r[0], text, len(text), r[3])
     third, kept = go("near_duplicates", second)
-    roots = brute.components([brute.fingerprint(c[1]) for c in cut])
+    roots = brute.alike_components([c[1] for c in cut])
     assert kept == [c for i, c in enumerate(cut) if roots[i] == i]
     fourth, clean = go("decontaminate", third)
     bad = {x[0] for x in brute.contained([k[:2] for k in kept], items)}
