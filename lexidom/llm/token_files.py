@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path, stage
 
-BLOCK_IDS = 65_536
+BLOCK_IDS = 262_144
 #: Ids between two bit offsets of a block.
 MARK_IDS = 64
 #: Bits of the longest code, unless the ids are too many for it.
