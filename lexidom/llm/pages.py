@@ -11,13 +11,18 @@ its plain paragraphs and headings are never cut for being alike.
 
 Defined cases: null and empty html give an empty text; a page whose url has no
 host is judged without a tree; broken and cut-off markup is closed where it ends;
-repeated rows are each returned and counted; other columns are ignored.
+repeated rows are each returned and counted; other columns are ignored; pages of any
+length and nesting are read whole, and an element keeps its own role however deep it lies
+(the style tree alone judges what is nested deeper than 400 levels with its ancestor
+there). Attributes are read one by one, the first of a name counts, and the id of
+a paragraph, heading, list item or cell is an anchor, no hint.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -52,43 +57,60 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# one attribute after the other, so that values and parts of names are never taken for names
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?|[\s=/>\"']")
 _NAME_WORD = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _RAW, _NOISE, _VOID, _BLOCKS, _PLAIN = map(frozenset, (RAW, NOISE, VOID, BLOCKS, PLAIN))
 _NOISE_NAMES, _NOISE_ROLES = frozenset(NOISE_NAMES), frozenset(NOISE_ROLES)
 _ENDS_P = _BLOCKS - {"html", "body"}
+#: Elements of running text: their ids are anchors and say nothing about them.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote tr td th dt dd".split())
+#: Levels that the style tree tells apart; what lies deeper is judged as its ancestor there.
+LEVELS = 400
 
 
 class Node:
     """A block element; ``items`` are texts and child nodes in order."""
 
-    __slots__ = ("tag", "label", "noise", "items", "path")
+    __slots__ = ("tag", "label", "noise", "items", "path", "within")
 
-    def __init__(self, tag, label, noise, path):
+    def __init__(self, tag, label, noise, path, within=frozenset()):
         self.tag, self.label, self.noise, self.path, self.items = tag, label, noise, path, []
+        self.within = within  # article and main, of those that it is or lies in
 
 
 def _element(tag, attributes):
     """Label of the style tree, and whether the element is never text."""
     names, noise = [], tag in _NOISE
     if "=" in attributes:
+        seen = set()
         for kind, *values in _ATTRIBUTE.findall(attributes):
+            kind = kind.lower()
+            if kind not in ("class", "id", "role") or kind in seen:  # the first of a name counts
+                continue
+            seen.add(kind)
             value = "".join(values).lower()
-            if kind.lower() == "role":
+            if kind == "role":
                 noise |= value.strip() in _NOISE_ROLES
             else:
                 names += value.split()
-                noise |= not _NOISE_NAMES.isdisjoint(_NAME_WORD.findall(value))
+                if kind == "class" or tag not in _TEXT:
+                    noise |= not _NOISE_NAMES.isdisjoint(_NAME_WORD.findall(value))
     if tag in ("html", "body", "main", "article"):
         noise = False
     return ".".join([tag, *sorted(names)]), noise
 
 
 def parse(text: str) -> Node:
-    root = Node("", "", False, "")
-    stack, hidden, at = [root], 0, 0
+    root = Node("", "", False, _key(""))
+    stack, opened, at = [root], Counter(), 0
     size = len(text)
+
+    def close(i):
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while at < size:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -101,10 +123,10 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _BLOCKS:
+            if opened[tag] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
@@ -117,19 +139,21 @@ def parse(text: str) -> Node:
         elif tag in _BLOCKS:
             if tag in _ENDS_P and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 if stack[-1].tag == "p" or tag[0] == "h" and tag[1:].isdigit() or tag == "p":
-                    stack.pop()
+                    close(-1)
             elif tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag in (
                 (tag,) if tag not in ("dt", "dd", "td", "th") else ("dt", "dd") if tag[0] == "d" else ("td", "th")
             ):
-                stack.pop()
+                close(-1)
             elif tag == "body" and stack[-1].tag == "head":
-                stack.pop()
+                close(-1)
             label, noise = _element(tag, m[3])
-            node = Node(tag, label, noise, f"{stack[-1].path}/{label}")
-            stack[-1].items.append(node)
+            up = stack[-1]
+            path = _key(f"{up.path}/{label}") if len(stack) <= LEVELS else up.path
+            within = up.within | {tag} if tag in ("article", "main") else up.within
+            node = Node(tag, label, noise, path, within)
+            up.items.append(node)
             stack.append(node)
-            if len(stack) > 400:  # deeper nests are read as part of this element
-                stack.pop()
+            opened[tag] += 1
     return root
 
 
@@ -138,14 +162,14 @@ def _clean(pieces):
 
 
 def blocks(node: Node):
-    """Texts of a node in page order: (nodes from the root down, text)."""
+    """Texts of a node in page order: (its innermost node, the nodes from the root down to LEVELS, text)."""
     trail, out, run = [], [], []
 
     def flush():
         text = _clean(run)
         run.clear()
         if text:
-            out.append((list(trail), text))
+            out.append((trail[-1] if trail else node, trail[:LEVELS], text))
 
     todo = [iter([node])]
     while todo:
@@ -180,12 +204,11 @@ def tree_rows(text: str):
         node = todo.pop()
         children = [x for x in node.items if not isinstance(x, str)]
         todo += [x for x in children if not x.noise]
-        path = _key(node.path)
-        rows.add((path, 0, 0))
-        rows.add((path, 1, _key("|".join(x.label for x in children))))
-    for trail, block in blocks(root):
+        rows.add((node.path, 0, 0))
+        rows.add((node.path, 1, _key("|".join(x.label for x in children))))
+    for _, trail, block in blocks(root):
         value = _key(block)
-        rows.update((_key(n.path), 2, value) for n in trail)
+        rows.update((n.path, 2, value) for n in trail)
     return rows
 
 
@@ -231,18 +254,18 @@ def main_text(text: str, low=frozenset()) -> str:
     """The page's text without the branches whose path is in ``low``."""
     found = blocks(parse(text))
     for tag in ("article", "main"):
-        inside = [(t, s) for t, s in found if any(n.tag == tag for n in t)]
+        inside = [x for x in found if tag in x[0].within]
         if inside:
             break
     else:
         tag, inside = None, found
     kept = []
-    for trail, block in inside:
+    for _, trail, block in inside:
         own = False
         for node in trail:
             if own or tag is None:
                 plain = tag is not None and node.tag in _PLAIN and "." not in node.label
-                if not plain and node.tag not in ("", "html", "body") and _key(node.path) in low:
+                if not plain and node.tag not in ("", "html", "body") and node.path in low:
                     break
             own = own or node.tag == tag
         else:

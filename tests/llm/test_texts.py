@@ -293,3 +293,24 @@ def test_edited_notices_beside_exact_ones_are_found():
         got = [line[s:e] for s, e, label, _ in fuzzy_spans(line, notices) if label == "gpl"]
         want = [exact if x == "general" else edited for x in line.split() if x in ("general", "genral")]
         assert got == want
+
+
+def test_attributes_are_read_one_by_one():
+    from lexidom.llm.pages import main_text
+
+    page = (
+        '<article><p data-id="share">one</p><p title="class=menu">two</p><h2 id="related-work">three</h2>'
+        "<p class='x' class='menu'>four</p><p data-class=menu>five</p><p title='id=\"ad\"' >six</p><p hidden=class=ad>seven</p>"
+        '<div id="related">no</div><p class="advert">no</p><p ID = share CLASS = "big menu">no</p><ul role=navigation><li>no</ul></article>'
+    )
+    assert main_text(page).split("\n") == ["one", "two", "three", "four", "five", "six", "seven"]
+
+
+@pytest.mark.parametrize("depth", [10, 399, 400, 401, 450, 3000])
+def test_roles_hold_at_any_depth(depth):
+    from lexidom.llm.pages import main_text, tree_rows
+
+    nest = "<div>" * depth
+    assert main_text(f"<article>{nest}<nav>MENU</nav><p>text</p>{'</div>' * depth}<p>more</p></article>no") == "text\nmore"
+    assert main_text(f"menu{nest}<article>in</article>out") == "in"
+    assert len(tree_rows(f"{nest}<p>x</p>")) <= 3 * 402
