@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,17 +47,45 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+_open = threading.local()
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes the tables staged inside when the block ends, failed or not.
+
+    What is read after the block is staged with ``lasting``; it then belongs to the
+    block around, if there is one. Only folders that this thread wrote are deleted.
+    """
+    blocks = _open.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        paths = blocks.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    blocks = _open.__dict__.get("blocks", [])
+    owners = blocks[: len(blocks) - lasting]
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str = "stage", lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, but keeps column pruning,
-    filter pushdown and size statistics for whatever reads it next.
+    filter pushdown and size statistics for whatever reads it next. Inside
+    ``released`` the table goes at the end of the block, unless it is ``lasting``.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
