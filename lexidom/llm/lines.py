@@ -12,7 +12,7 @@ is similar to it, kept or not.
 Equal sets are one class first. Then each class meets only the earliest class of
 each of its key words of many classes, which settles dense groups of copies in linear
 work. Then all classes are dealt by their key words once, and each meets those no longer
-than itself, unless both are settled; which of the two is the later is decided with
+than itself, of which fewer words need be met, unless both are settled; which of the two is the later is decided with
 the verification. Key words travel as 32 bits, which can only add candidates; whole sets are read for the verification, of candidates only.
 Texts are split into words once; later steps read the sets' hashes from a table.
 
@@ -31,7 +31,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import scratch_path, shuffle_partitions, stage
+from ..session import released, scratch_path, shuffle_partitions, stage
 from .common import plain_words, small, text_key
 
 SIMILARITY = 0.8
@@ -53,10 +53,9 @@ def _hint(df: DataFrame, bytes_per_row: int) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, key1, key2, line_no, line."""
-    return docs.select(
-        F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("doc"), *text_key(docs["text"]),
-        F.posexplode(F.split(docs["text"], "\n")).alias("line_no", "line"),
-    )
+    # the keys come first: beside the explode they would be made anew for each line
+    keyed = docs.select(F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("doc"), *text_key(docs["text"]), "text")
+    return keyed.select("doc", "key1", "key2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _hashes(line: Column) -> Column:
@@ -203,8 +202,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     n, n_ = (F.shiftright(c, 32) for c in ("at", "at_"))
     shorter = (n_ < n) | ((n_ == n) & (F.col("cid_") < F.col("cid")))
     both_settled = F.col("at").bitwiseAND(F.col("at_")).bitwiseAND(F.lit(1)) == 1
+    # the shorter of two shares at least 2t/(1+t) of its own words, so fewer of its rarest hold a common one
+    i_ = F.shiftright(F.col("at_").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    indexed = dealt.select("word", *other).where(i_ <= n_ - F.ceil(n_ * F.lit(2 * t / (1 + t)) - 1e-9))
     rest = _verified(
-        _candidates(dealt, dealt.select("word", *other), t, shorter & ~both_settled), classes, lines, t
+        _candidates(dealt, indexed, t, shorter & ~both_settled), classes, lines, t
     )
     similar = settled.union(rest).distinct().withColumn("similar", F.lit(True))
 
@@ -221,12 +223,13 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that stay, and ``removed``, their numbers from 0."""
-    gone = stage(
-        removed_lines(docs, similarity)
-        .groupBy("doc", "key1", "key2")
-        .agg(F.collect_set("line_no").alias("_gone")),  # lines of one document
-        "removed-lines",
-    )
+    with released(docs.sparkSession):
+        gone = stage(
+            removed_lines(docs, similarity)
+            .groupBy("doc", "key1", "key2")
+            .agg(F.collect_set("line_no").alias("_gone")),  # lines of one document
+            "removed-lines", lasting=True,
+        )
     size = gone.agg(F.coalesce(F.sum(F.size("_gone") * 8 + 64), F.lit(0))).first()[0]
     if size <= 64 << 20:
         gone = F.broadcast(gone)
