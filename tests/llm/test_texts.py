@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexidom.llm import language
-from lexidom.llm.language import Model, folded, grams, identify, keep_identified, score_texts
+from lexidom.llm.language import Model, Tables, distinct, folded, grams, identify, keep_identified, score_texts
 from lexidom.llm.licenses import NOTICES, edits, fuzzy_spans, pieces, scan_licenses
 from lexidom.llm.pages import extract, main_text
 from lexidom.llm.surrogates import anonymise, checked_attempts, distinct_entities, find, identity, surrogate
@@ -19,22 +19,98 @@ def test_folded_keeps_letters_and_single_spaces():
     assert len(folded("12 !!")) == len(folded(None)) == len(folded("")) == 0
 
 
+def model_of(text, alphabet):
+    first, rest, _, n = distinct(folded(text))
+    return Model(first, rest, n, alphabet)
+
+
+def packed(grams_):
+    c = np.array([[ord(x) for x in g] for g in grams_], np.int64)
+    return c[:, 0], c[:, 1] << 42 | c[:, 2] << 21 | c[:, 3]
+
+
 def test_probabilities_sum_to_one_over_the_alphabet():
-    codes = folded("the cat sat on the mat with the hat")
-    keys, counts = np.unique(grams(codes), return_counts=True)
-    alphabet = np.unique(codes)
-    model = Model(keys, counts, 4, len(alphabet))
+    text = "the cat sat on the mat with the hat"
+    alphabet = np.unique(folded(text))
+    model = model_of(text, len(alphabet))
     for context in ("the", "cat", "xyz", "at "):
-        c = [ord(x) for x in context]
-        keys = np.array([c[0] << 48 | c[1] << 32 | c[2] << 16 | int(a) for a in alphabet], np.uint64)
-        assert np.exp(model.log_p(keys)).sum() == pytest.approx(1.0, abs=1e-6)
+        p = np.exp(model.log_p(*packed([context + chr(a) for a in alphabet])))
+        assert p.sum() == pytest.approx(1.0, abs=1e-6)
+
+
+def plain_kneser_ney(text, alphabet):
+    """p(4-gram) by dictionaries, straight from the definition."""
+    from collections import Counter
+
+    letters = "".join(map(chr, folded(text)))
+    counts = {4: Counter(letters[i : i + 4] for i in range(len(letters) - 3))}
+    for o in (3, 2, 1):
+        counts[o] = Counter(g[1:] for g in counts[o + 1])
+    cut = {}
+    for o, c in counts.items():
+        once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+        cut[o] = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+    def p(gram):
+        o, c = len(gram), counts[len(gram)]
+        after = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        below = p(gram[1:]) if o > 1 else 1 / alphabet
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(c[gram] - cut[o], 0) / total + cut[o] * len(after) / total * below
+
+    return p
+
+
+def test_probabilities_are_those_of_the_plain_definition():
+    text = "the cat sat on the mat with the hat, \U00020000\U00020001 and \U00020000\U00020002 the"
+    p, model = plain_kneser_ney(text, 40), model_of(text, 40)
+    grams_ = ["the ", " the", "at o", "hat ", "xyze", "thex", "q\U00020000\U00020001 ", " \U00020000\U00020002 ",
+              " \U00020000\U00020001\U00020002", "hezz"]
+    assert np.exp(model.log_p(*packed(grams_))) == pytest.approx([p(g) for g in grams_], rel=1e-9)
+
+
+def test_letters_of_high_planes_stay_apart():
+    # 6,400 and 65,536 code points apart, and more letters than 16 bits number
+    codes = folded("\U00020000\U00021900\U00030000")
+    assert len(set(codes.tolist()) - {32}) == 3
+    many = "".join(map(chr, [*range(0x4E00, 0x9F00), *range(0xAC00, 0xD7A0), *range(0x20000, 0x2A000)]))
+    codes = folded(many + many)
+    first, rest, at, n = distinct(codes)
+    want = np.stack(grams(codes), axis=1)
+    assert len(np.unique(codes)) > 1 << 16
+    assert (np.stack([first, rest], axis=1)[at] == want).all() and n.sum() == len(want)
+    assert len(set(zip(first.tolist(), rest.tolist()))) == len(n)
+
+
+def test_models_too_large_to_gather_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300")
+    odd = [(-1, "Это совсем другой язык " * 5, None, "x"), (-2, None, None, None), (-3, "12 34", "en", "x"),
+           (-3, "12 34", "en", "x"), (-4, "\U00020000\U00020001 und", "de", "x"), (None, "wörter " * 3_000, None, "x"),
+           (-5, "the", None, "x"), (-5, "the", None, "x")]
+    few = docs.select("doc_id", "text", "lang", "source")
+    few = few.unionByName(spark.createDataFrame(odd, few.schema)).withColumn("label", F.lit(1)).withColumn("key1", F.lit(2))
+
+    def rows():
+        found = sorted(map(tuple, identify(few).collect()), key=repr)
+        return found, sorted(map(tuple, keep_identified(few).collect()), key=repr), keep_identified(few).columns
+
+    gathered, kept, columns = rows()
+    monkeypatch.setattr(language, "MODEL_BYTES", 0)
+    assert isinstance(language.fit(few), Tables)
+    joined, kept_joined, columns_joined = rows()
+    assert kept == kept_joined and columns == columns_joined and len(joined) == len(gathered) == few.count()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(gathered, key=key), sorted(joined, key=key)):
+        assert a[:2] == b[:2] and a[4] == b[4]
+        assert a[2] == pytest.approx(b[2], rel=1e-9) and (a[3] is b[3] or a[3] == pytest.approx(b[3], rel=1e-9))
 
 
 def test_scores_are_the_sums_over_the_text(monkeypatch):
     models = {}
     for name, text in (("a", "abcabcabd" * 5), ("b", "xyzxyzabx" * 5)):
-        k, n = np.unique(grams(folded(text)), return_counts=True)
-        models[name] = Model(k, n, 4, 30)
+        models[name] = model_of(text, 30)
     texts = ["abc abd", None, "xyz", "..", "abcxyz abc"]
     monkeypatch.setattr(language, "PART", 5)  # parts of one text or two
     label, score, entropy, accepted = score_texts(texts, models)
@@ -43,7 +119,7 @@ def test_scores_are_the_sums_over_the_text(monkeypatch):
         if not len(codes):
             assert (label[i], score[i], accepted[i]) == ("und", 0.0, False)
             continue
-        costs = {m: -models[m].log_p(grams(codes)).mean() for m in models}
+        costs = {m: -models[m].log_p(*grams(codes)).mean() for m in models}
         assert label[i] == min(costs, key=costs.get)
         assert entropy[i] == pytest.approx(min(costs.values()))
         assert 0 <= score[i] <= 1
@@ -281,8 +357,7 @@ def test_signs_beyond_16_bits_are_no_letters():
     assert folded("a\U0001F600b").tolist() == folded("a b").tolist()
     assert folded("\U00010400").tolist() == folded("\U00010428").tolist() != folded("\U00010429").tolist()
     assert len(folded("\U00020000")) == 5
-    k, n = np.unique(grams(folded("some words")), return_counts=True)
-    label, score, _, accepted = score_texts(["\U0001F600 \U0001F680"], {"a": Model(k, n, 4, 30)})
+    label, score, _, accepted = score_texts(["\U0001F600 \U0001F680"], {"a": model_of("some words", 30)})
     assert (label[0], score[0], accepted[0]) == ("und", 0.0, False)
 
 
