@@ -19,11 +19,12 @@ from .surrogates import anonymise
 from .token_files import round_trip
 from .topk import search_embeddings
 
-SURROGATE_KEY = "surrogates of the documents table"
+#: Where the session names the secret of the surrogates; unset, they follow from a public word.
+SURROGATE_KEY, PUBLIC_KEY = "spark.lexidom.surrogateKey", "surrogates of the documents table"
 
 
 def op1_surrogates(spark, sf_dir) -> DataFrame:
-    found = anonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    found = anonymise(table(spark, sf_dir, "documents"), spark.conf.get(SURROGATE_KEY, PUBLIC_KEY))
     return found.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")
 
 

@@ -6,13 +6,14 @@ letters, valid octets and check digits, first names of the same gender and scrip
 A surrogate is a keyed hash of the entity, so an entity has the same one wherever
 it stands. The distinct entities of the whole table are checked: a surrogate that
 two of them share, or that equals a real entity, is drawn again for all but the
-smallest. What still clashes after DRAWS draws gets a free value by number: the
+smallest; only the clashing ones are written again. What still clashes after DRAWS draws gets a free value by number: the
 values of its form are counted through, in blocks that double, and beyond the last
 the form is widened by letters or digits, until all are distinct. Only those
 exceptions are joined back.
 
 Defined cases: null texts stay null and have no entities; repeated rows are each
-returned; other columns are ignored; an empty table gives none.
+returned; other columns are ignored; an empty table gives none; a very long text takes
+time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -58,7 +60,7 @@ for _group in (g for pair in ALPHABETS for g in pair):
 _FINDERS = [
     ("secret", re.compile(r"\bAKIA[0-9A-Z]{16}\b")),
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,})")),
-    ("email", re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}\b")),
+    ("email", re.compile(r"@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}\b")),  # and what stands before
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])")),
@@ -74,6 +76,35 @@ _FULL_NAME = re.compile(rf"\b({'|'.join(sorted(_NAMES, key=lambda n: (-len(n), n
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_WORD}[\w'’\-]*{_WORD})")
 
 
+def _mails(text: str, host: re.Pattern):
+    """Addresses, from each @ backwards: a long run of letters is read once, not from each of its places."""
+    end = 0
+    for m in host.finditer(text):
+        start = m.start()
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        if start < m.start():
+            end = m.end()
+            yield start, end
+
+
+def _again(text: str, names: set[str]):
+    """Places of the names as whole words, the longest at each."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    most = max(len(_TOKEN.findall(n)) for n in names)
+    i = 0
+    while i < len(tokens):
+        start, last = tokens[i][0], None
+        for j in range(i, min(i + most, len(tokens))):
+            if j > i and text[tokens[j - 1][1] : tokens[j][0]].strip("'’-"):
+                break
+            if text[start : tokens[j][1]] in names:
+                last = j
+        if last is not None:
+            yield start, tokens[last][1]
+        i = (i if last is None else last) + 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """start, end, type of the entities, in order and without overlap; earlier types win."""
     found: list[tuple[int, int, str]] = []
@@ -85,6 +116,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         if kind not in ("email", "secret") and not digit:
             continue
+        if kind == "email":
+            found += [(*span, kind) for span in _mails(text, pattern)]
+            continue
         for m in pattern.finditer(text):
             found.append((*(m.span(1) if pattern.groups else m.span()), kind))
     # both patterns begin with a whole listed token, whatever signs stand around it
@@ -102,12 +136,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 family.add(m[1])
         for kind, names in (("family", family), ("first", first)):
             if names:  # the same person named again by one name alone
-                again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(names)))})\b")
-                found += [(*m.span(), kind) for m in again.finditer(text)]
-    taken, out = [], []
+                found += [(*span, kind) for span in _again(text, names)]
+    taken, out = bytearray(len(text) if found else 0), []
     for start, end, kind in found:
-        if all(end <= s or start >= e for s, e in taken):
-            taken.append((start, end))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             out.append((start, end, kind))
     return sorted(out)
 
@@ -278,29 +311,34 @@ def checked_attempts(entities: DataFrame, key: bytes) -> DataFrame:
     schema = "type STRING, value STRING, sample STRING, attempt BIGINT, new STRING"
     # first names turn as a list: distinct by construction, and meant to be names
     entities = stage(entities.where("type != 'first'"), "entities")
-    real = entities.select("type", F.col("value").alias("new"), F.lit(True).alias("real"))
+    real = entities.select("type", F.col("value").alias("new"))
     drawn = entities.withColumn("attempt", F.lit(0).cast("bigint")).mapInArrow(draw, schema)
-    rounds, tried = 0, None
+    settled, taken, rounds, tried = [], real, 0, None
     while True:
         drawn = stage(drawn, "surrogates")
         holders = drawn.groupBy("type", "new").agg(F.min("value").alias("holder"))
-        judged = drawn.join(holders, ["type", "new"]).join(real, ["type", "new"], "left")
-        clash = (F.col("value") != F.col("holder")) | F.col("real").isNotNull()
+        # a value is taken once: it is real, or one entity's that has settled
+        judged = drawn.join(holders, ["type", "new"]).join(
+            taken.withColumn("taken", F.lit(True)), ["type", "new"], "left"
+        )
+        clash = (F.col("value") != F.col("holder")) | F.col("taken").isNotNull()
         judged = stage(judged.select("type", "value", "sample", "attempt", "new", clash.alias("clash")), "judged")
+        settled.append(judged.where("not clash").select("type", "value", "attempt"))
         if judged.where("clash").limit(1).count() == 0:
             break
+        taken = taken.unionByName(judged.where("not clash").select("type", "new"))
         rounds += 1
         if rounds < DRAWS:
             again = judged.where("clash").select("type", "value", "sample", F.lit(rounds).cast("bigint").alias("attempt"))
-            drawn = judged.where("not clash").drop("clash").unionByName(again.mapInArrow(draw, schema))
+            drawn = again.mapInArrow(draw, schema)
         else:
-            drawn, tried = _numbered(judged, real, tried, rounds - DRAWS, key, draw)
-    return judged.where("attempt != 0").select("type", "value", "attempt")
+            drawn, tried = _numbered(judged.where("clash").drop("clash"), taken, tried, rounds - DRAWS, key, draw)
+    return reduce(DataFrame.unionByName, settled).where("attempt != 0")
 
 
-def _numbered(judged: DataFrame, real: DataFrame, tried, step: int, key: bytes, draw):
-    """``judged`` with free values for as many clashing rows as a block of each form's values
-    has, and the numbers (type, form, upto) that were looked at so far."""
+def _numbered(clashing: DataFrame, taken: DataFrame, tried, step: int, key: bytes, draw):
+    """``clashing`` with free values for as many rows as a block of each form's values has,
+    and the numbers (type, form, upto) that were looked at so far."""
 
     def shape(batches):
         for b in batches:
@@ -308,7 +346,7 @@ def _numbered(judged: DataFrame, real: DataFrame, tried, step: int, key: bytes,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forms, pa.string())], names=[*b.schema.names, "form"])
 
     names = "type STRING, value STRING, sample STRING, attempt BIGINT, new STRING"
-    open_ = stage(judged.where("clash").drop("clash").mapInArrow(shape, names + ", form STRING"), "clashes")
+    open_ = stage(clashing.mapInArrow(shape, names + ", form STRING"), "clashes")
     forms = open_.groupBy("type", "form").agg(F.count("*").alias("n"), F.min("sample").alias("sample"))
     if tried is not None:
         forms = forms.join(tried, ["type", "form"], "left")
@@ -320,8 +358,6 @@ def _numbered(judged: DataFrame, real: DataFrame, tried, step: int, key: bytes,
         "type", F.col("form").alias("value"), "sample",
         F.explode(F.sequence(-1 - F.col("upto"), -F.col("end"))).alias("attempt"),
     )
-    # a value taken is one that is real or that a row without a clash has
-    taken = judged.where("not clash").select("type", "new").union(real.select("type", "new"))
     values = asked.mapInArrow(draw, names).join(taken, ["type", "new"], "left_anti")
     values = values.groupBy("type", "new").agg(F.max(F.struct("attempt", "value")).alias("v"))
     place = Window.partitionBy("type", "form")
@@ -337,7 +373,7 @@ def _numbered(judged: DataFrame, real: DataFrame, tried, step: int, key: bytes,
     seen = forms.select("type", "form", F.col("end").alias("upto"))
     if tried is not None:
         seen = seen.unionByName(tried.join(forms.select("type", "form"), ["type", "form"], "left_anti"))
-    return judged.where("not clash").drop("clash").unionByName(given).unionByName(waiting), stage(seen, "seen")
+    return given.unionByName(waiting), stage(seen, "seen")
 
 
 def anonymise(docs: DataFrame, key: str) -> DataFrame:

@@ -291,6 +291,39 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
         assert [t.split()[3] for t in texts] == new[-1:] + new[:-1]
 
 
+def test_rounds_write_only_what_clashes(spark, monkeypatch):
+    from lexidom.llm import surrogates
+
+    written, own = [], surrogates.stage
+
+    def staged(df, name="stage", lasting=False):
+        out = own(df, name, lasting)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(surrogates, "stage", staged)
+    real = [f"1.{i}.{j}.{k}" for i in range(1, 10) for j in range(1, 10) for k in range(1, 10)]
+    df = spark.createDataFrame([(i, f"from {x}") for i, x in enumerate(real)], "doc_id BIGINT, text STRING")
+    late = checked_attempts(distinct_entities(df), b"k")
+    rounds = [n for name, n in written if name == "surrogates"]
+    assert rounds[0] == 729 and rounds[1] == late.count() and rounds == sorted(rounds, reverse=True)
+
+
+def test_the_session_names_the_key(spark):
+    from lexidom.llm.queries import SURROGATE_KEY, op1_surrogates
+
+    def texts():
+        return {(r.doc_id, r.text) for r in op1_surrogates(spark, "/root/testdata/sf0.001").where("n_entities > 0").collect()}
+
+    public = texts()
+    spark.conf.set(SURROGATE_KEY, "of this session")
+    try:
+        assert not public & texts()
+    finally:
+        spark.conf.unset(SURROGATE_KEY)
+    assert public == texts()
+
+
 def test_people_keep_gender_script_and_coreference(spark):
     text = "Maria Kowalska met Dr. Brown. Kowalska left; Иван Петров stayed."
     df = spark.createDataFrame([(1, text, 5), (2, None, 6), (None, "", 7)], "doc_id BIGINT, text STRING, entities INT")
@@ -317,6 +350,26 @@ def test_names_behind_signs_and_alone_again():
     assert parts("Maria alone, Marias") == []
 
 
+def test_names_of_several_parts_and_addresses_side_by_side():
+    def parts(text):
+        return [text[s:e] for s, e, _ in find(text)]
+
+    assert parts("Mr Al-Sayed, Mrs Al and Al-Sayed or Al, Als") == ["Al-Sayed", "Al", "Al-Sayed", "Al"]
+    assert parts("a.b+c@x.org.d@y.org @z.org a@b") == ["a.b+c@x.org", ".d@y.org"]
+
+
+@pytest.mark.parametrize("text, n", [
+    (" ".join(f"user{i}@host{i}.org" for i in range(40_000)), 40_000), ("a" * 1_000_000 + " b@c.org", 1),
+    ("x@" + "a." * 500_000, 0), (" ".join(f"Mr B{'aeiou'[i % 5]}{chr(97 + i % 26)}{i}x" for i in range(60_000)), 60_000),
+])
+def test_long_texts_take_time_in_proportion(text, n):
+    import time
+
+    start = time.process_time()
+    assert len(find(text)) == n
+    assert time.process_time() - start < 10  # a quadratic search takes minutes
+
+
 @pytest.mark.parametrize("kind, values", [
     ("family", [a.upper() + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]),
     ("ip", [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]),
