@@ -17,16 +17,23 @@ def zero_safe(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(numerator / F.nullif(denominator, F.lit(0)), F.lit(0.0))
 
 
-def speedup(baseline: Column, time: Column) -> Column:
-    return ratio_or_zero(baseline, time)
+def ieee_ratio(numerator: Column, denominator: Column) -> Column:
+    """numerator / denominator as in floating point: infinite or NaN where the denominator is 0."""
+    return F.when(denominator == 0, numerator * float("inf")).otherwise(
+        numerator / F.nullif(denominator, F.lit(0))
+    )
+
+
+def speedup(baseline: Column, time: Column, ratio=ratio_or_zero) -> Column:
+    return ratio(baseline, time)
 
 
 def efficiency(speedup_: Column, k: Column) -> Column:
     return ratio_or_zero(speedup_, k)
 
 
-def throughput(n: Column, time: Column) -> Column:
-    return ratio_or_zero(n, time)
+def throughput(n: Column, time: Column, ratio=ratio_or_zero) -> Column:
+    return ratio(n, time)
 
 
 def overhead_pct(part: Column, total: Column) -> Column:

@@ -36,6 +36,34 @@ def test_query_matches_sql(spark, duck, name):
     assert got[1], "an empty result checks nothing"
 
 
+ON_RUNS = ["acceptance", "chunk_sweep", "dataset_scaling", "efficiency_summary", "metrics_document", "run_summary", "scaling_derived"]
+
+
+@pytest.fixture(scope="module")
+def timeless(tmp_path_factory):
+    """Tables in which runs of each kind took no time."""
+    folder = tmp_path_factory.mktemp("timeless")
+    con = duckdb.connect()
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW given_{name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    value = "* REPLACE (CASE WHEN event_id % 97 = 0 THEN 0 ELSE value END AS value)"
+    con.execute(f"COPY (SELECT {value} FROM given_events) TO '{folder}/events.parquet'")
+    con.execute(f"COPY (SELECT * FROM given_documents) TO '{folder}/documents.parquet'")
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ON_RUNS)
+def test_runs_of_no_time_match_sql(spark, timeless, name):
+    folder, con = timeless
+    df = queries.QUERIES[name](spark, folder)
+    result = con.execute(queries.ORACLES[name])
+    want = in_name_order([c[0] for c in result.description], result.fetchall())
+    assert repr(in_name_order(df.columns, df.collect())) == repr(want)  # NaN is no equal of itself
+    assert "inf" in repr(want) or "nan" in repr(want)
+
+
 def test_entry_runs(spark):
     assert contract.entry(spark).count() == 2
 
