@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import time
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.evaluation import binary_metrics
 from ..operators.ranking import stratified_folds
 from ..operators.run_reports import paired_t, score_summary
 from ..schema import FEATURES_5, FEATURES_6
 from ..session import shared_root, stage
-from .models import evaluate, make_model
+from .models import SEED, evaluate, make_model
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
@@ -45,15 +47,37 @@ def _fit_and_score(train: DataFrame, test: DataFrame, **model) -> dict:
     return {**evaluate(fitted, test), "train_time_sec": seconds}
 
 
+# Seeds of the parts of a forest lie this far apart, as MLlib's follow the partition's number.
+SEED_STEP = 1_000_003
+
+
 def hyperparameter_sweep(
     train: DataFrame, test: DataFrame, estimator_values=(50, 100, 200, 300, 500), **options
 ) -> DataFrame:
-    rows = [
-        {"n_estimators": n, **_fit_and_score(train, test, model_type="rf", n_estimators=n, **options)}
-        for n in estimator_values
-    ]
+    """Forests of several sizes, each holding all trees of the smaller ones.
+
+    Trees of one seed are the same in a smaller and a larger forest, so each size grows
+    only the trees it adds. Votes of the parts add up to those of the whole forest;
+    ``train_time_sec`` is the time of all trees of that size.
+    """
+    seed = options.pop("seed", SEED)
+    votes = F.array(F.lit(0.0), F.lit(0.0))
+    scored, seconds, grown = test.withColumn("_votes", votes), {}, 0
+    for n in sorted(set(estimator_values)):
+        start = time.perf_counter()
+        part = make_model("rf", n_estimators=n - grown, seed=seed + SEED_STEP * len(seconds), **options).fit(train)
+        seconds[n] = time.perf_counter() - start + seconds.get(grown, 0.0)
+        grown = n
+        added = F.zip_with("_votes", vector_to_array("rawPrediction"), lambda x, y: x + y)
+        scored = part.transform(scored).withColumn("_votes", added).withColumn(
+            f"_class{n}", (F.get("_votes", F.lit(1)) > F.get("_votes", F.lit(0))).cast("int")
+        ).drop("features", "rawPrediction", "probability", "prediction")
+    sizes = F.inline(F.array(*[
+        F.struct(F.lit(n).alias("n_estimators"), F.col(f"_class{n}").alias("prediction")) for n in seconds
+    ]))
+    metrics = {r.n_estimators: r.asDict() for r in binary_metrics(scored.select("label", sizes), ["n_estimators"]).collect()}
     return _rows(
-        train.sparkSession, rows,
+        train.sparkSession, [{**metrics[n], "train_time_sec": seconds[n]} for n in estimator_values],
         "n_estimators INT, accuracy DOUBLE, f1 DOUBLE, train_time_sec DOUBLE",
     )
 

@@ -174,3 +174,28 @@ def test_a_batch_that_breaks_before_its_commit_is_written_once(spark, world, tmp
     # a replay of a committed batch changes nothing
     streaming.feature_stream(stream, lexicon, out, str(tmp_path / "again")).awaitTermination()
     assert ids() == want
+
+
+def test_sweep_grows_each_tree_once_and_adds_the_votes(world, monkeypatch):
+    _, _, _, train, test = world
+    parts = []
+
+    class Kept:
+        def __init__(self, kind, n_estimators, **options):
+            self.pipeline, self.n = models.make_model(kind, n_estimators=n_estimators, **options), n_estimators
+
+        def fit(self, rows):
+            parts.append((self.n, self.pipeline.fit(rows)))
+            return parts[-1][1]
+
+    monkeypatch.setattr(experiments, "make_model", lambda kind, **options: Kept(kind, **options))
+    rows = experiments.hyperparameter_sweep(train, test, (5, 2, 3), max_depth=4).collect()
+    assert [r.n_estimators for r in rows] == [5, 2, 3]
+    assert [n for n, _ in parts] == [2, 1, 2]  # five trees, not ten
+    votes, right = {}, {}
+    for size, (_, model) in zip((2, 3, 5), parts):
+        for r in model.transform(test).select("domain", "label", "rawPrediction").collect():
+            v = votes.get(r.domain, (0.0, 0.0))
+            votes[r.domain] = (v[0] + r.rawPrediction[0], v[1] + r.rawPrediction[1])
+            right[size] = right.get(size, 0) + ((votes[r.domain][1] > votes[r.domain][0]) == r.label)
+    assert {r.n_estimators: r.accuracy for r in rows} == pytest.approx({n: c / len(votes) for n, c in right.items()})
