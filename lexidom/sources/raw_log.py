@@ -37,6 +37,11 @@ def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     )
 
 
+def fold_lines(lines: DataFrame, order: str, line_col: str = "value") -> DataFrame:
+    """One row per different line, with its smallest ``order``: equal lines parse alike."""
+    return lines.groupBy(line_col).agg(F.min(order).alias(order))
+
+
 def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan plain or compressed JSON lines into domain, threat, label, ord.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexidom.functions.punycode import host_to_unicode
 from lexidom.operators import cleaning
 from lexidom.sources import suffix_rules
-from lexidom.sources.raw_log import parse_lines, read_raw_log
+from lexidom.sources.raw_log import fold_lines, parse_lines, read_raw_log
 
 LINES = [
     "# c", "", '{"domain":"Foo.co.uk","threat":"dga"}', "{bad", '{"domain":"","threat":"dga"}',
@@ -139,3 +139,16 @@ def test_suffixes_meet_in_either_spelling(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "domain STRING")
     got = [r.domain for r in cleaning.strip_suffix(df, rules, idna=True).collect()]
     assert got == ["a.b", "a", "x", "x", "xn--n3h", "", "y.org"]
+
+
+def test_repeats_fold_before_lines_are_parsed_and_suffixes_looked_up(spark):
+    line = '{"domain":"%s","threat":"%s"}'
+    rows = [(line % ("B.com", "dga"), 1), (line % ("b.com", "ok"), 5), (line % ("b.net", "ok"), 3)] * 40
+    rows += [(line % ("b.net", "ok"), 4), ("# note", 0), (line % ("x.com", "dga"), 9), (line % ("x.com", "dga"), 7)]
+    folded = fold_lines(spark.createDataFrame(rows, "value STRING, doc_id BIGINT"), "doc_id")
+    assert folded.count() == 5
+    out = cleaning.clean(parse_lines(folded), suffix_rules.starter_rules(spark), "doc_id")
+    assert sorted(tuple(r) for r in out.select("domain", "label", "doc_id").collect()) == [("b", 0, 3), ("x", 1, 7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Join LeftOuter"):]
+    assert "Aggregate [domain#" in below  # of domains that still have their suffix
