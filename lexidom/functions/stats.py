@@ -18,8 +18,10 @@ def zero_safe(numerator: Column, denominator: Column) -> Column:
 
 
 def ieee_ratio(numerator: Column, denominator: Column) -> Column:
-    """numerator / denominator as in floating point: infinite or NaN where the denominator is 0."""
-    return F.when(denominator == 0, numerator * float("inf")).otherwise(
+    """numerator / denominator as in floating point: infinite or NaN where the denominator
+    is 0, of the other sign where it is -0.0."""
+    infinite = F.when(denominator.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))
+    return F.when(denominator == 0, numerator * infinite).otherwise(
         numerator / F.nullif(denominator, F.lit(0))
     )
 

@@ -64,6 +64,21 @@ def test_runs_of_no_time_match_sql(spark, timeless, name):
     assert "inf" in repr(want) or "nan" in repr(want)
 
 
+@pytest.mark.parametrize("name", ["acceptance", "chunk_sweep", "dataset_scaling", "run_summary", "scaling_derived"])
+def test_runs_of_negative_zero_time_match_sql(spark, timeless, name, tmp_path):
+    _, given = timeless
+    value = "* REPLACE (CASE WHEN value = 0 AND event_id % 2 = 1 THEN -value ELSE value END AS value)"
+    given.execute(f"COPY (SELECT {value} FROM events) TO '{tmp_path}/events.parquet'")
+    given.execute(f"COPY (SELECT * FROM documents) TO '{tmp_path}/documents.parquet'")
+    con = duckdb.connect()
+    for t in ("events", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    result = con.execute(queries.ORACLES[name])
+    want = in_name_order([c[0] for c in result.description], result.fetchall())
+    assert repr(in_name_order(df.columns, df.collect())) == repr(want)
+
+
 def test_entry_runs(spark):
     assert contract.entry(spark).count() == 2
 
