@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evaluation import binary_metrics
 from ..schema import FEATURES_6
+from .forest import Forest
 
 # MLlib grows trees level by level over histograms, up to 30 levels. One depth for
 # single trees and forests, so that comparisons are of equals; set it per call.
@@ -48,11 +49,12 @@ def decision_tree(
 def make_model(
     model_type: str, features: list[str] = FEATURES_6, n_estimators: int = 100,
     max_depth: int | None = None, seed: int = SEED,
-) -> Pipeline:
+) -> Forest:
+    """The models of the comparisons; ``random_forest`` and ``decision_tree`` are MLlib's."""
     if model_type == "rf":
-        return random_forest(features, n_estimators, max_depth, seed)
+        return Forest(features, n_estimators, _depth(max_depth), seed)
     if model_type == "dt":
-        return decision_tree(features, max_depth, seed)
+        return Forest(features, 1, _depth(max_depth), seed, bootstrap=False)
     raise ValueError(f"Unknown model_type: {model_type}")
 
 

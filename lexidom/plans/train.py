@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..ml import experiments, models
+from ..ml import models
 from ..operators.evaluation import binary_metrics
 from ..operators.features import extract_features
 from ..operators.reference_tables import Lexicon, build_lexicon
@@ -41,6 +41,5 @@ def train_and_evaluate(
     rows, lexicon = read_prepared(spark, folder)
     names = feature_names(levenshtein)
     features = stage(features_by_split(rows, lexicon, levenshtein), "split-features")
-    train = experiments.settled(features.where("split = 'train'"))
-    fitted = models.make_model(model_type, names, **options).fit(train)
+    fitted = models.make_model(model_type, names, **options).fit(features.where("split = 'train'"))
     return binary_metrics(models.predict(fitted, features.where("split = 'test'")))

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lexidom.ml import experiments, models, scoring
+from lexidom.ml import experiments, forest, models, scoring
 from lexidom.operators.features import extract_features
 from lexidom.operators.ranking import stratified_folds, stratified_split
 from lexidom.operators.reference_tables import build_lexicon, fit_trigrams
@@ -199,3 +200,39 @@ def test_sweep_grows_each_tree_once_and_adds_the_votes(world, monkeypatch):
             votes[r.domain] = (v[0] + r.rawPrediction[0], v[1] + r.rawPrediction[1])
             right[size] = right.get(size, 0) + ((votes[r.domain][1] > votes[r.domain][0]) == r.label)
     assert {r.n_estimators: r.accuracy for r in rows} == pytest.approx({n: c / len(votes) for n, c in right.items()})
+
+
+def test_forest_work_follows_cells_and_draws_follow_the_data(world):
+    """A hundredfold of the same rows has the same cells; partitions change no tree."""
+    _, _, _, train, _ = world
+    limits = forest._limits(train, FEATURES_6)
+    many = train.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    cells = {r.cell: r.n for r in forest._cells(train, FEATURES_6, limits).collect()}
+    assert {r.cell: r.n for r in forest._cells(many, FEATURES_6, limits).collect()} == {c: 100 * n for c, n in cells.items()}
+    assert sum(cells.values()) == train.count()
+    grown = [models.make_model("rf", n_estimators=4).fit(rows) for rows in (train.coalesce(1), train.repartition(7))]
+    if all((a == b).all() for a, b in zip(grown[0].limits, grown[1].limits)):
+        for a, b in zip(*(m.trees for m in grown)):
+            assert a.left.tolist() == b.left.tolist() and a.cut.tolist() == b.cut.tolist()
+
+
+def test_poisson_draws_have_their_mean_and_spread():
+    n = np.repeat([1, 2, 40, 5000, 3_000_000], 40_000)
+    draws = forest.poisson(n)(forest._uniform(np.arange(len(n)), 7)).reshape(5, -1)
+    mean = n.reshape(5, -1)[:, 0]
+    assert draws.min() >= 0
+    assert np.abs(draws.mean(1) - mean).max() < 5 * np.sqrt(3_000_000 / 40_000)
+    assert draws.mean(1) == pytest.approx(mean, rel=0.03) and draws.var(1) == pytest.approx(mean, rel=0.05)
+    assert (draws[0] == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+
+
+def test_plain_tree_takes_the_best_split_and_null_features_fail(spark):
+    rows = [(float(i), float(i % 3), int(i >= 6)) for i in range(10)]
+    table = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, label INT")
+    model = models.make_model("dt", ["b", "a"]).fit(table)
+    (tree,) = model.trees
+    assert tree.left.tolist() == [1, 1, 2] and model.features[tree.feature[0]] == "a"
+    assert model.limits[1][tree.cut[0]] == 5.0 and tree.share.tolist() == [0.4, 0.0, 1.0]
+    assert all(r.prediction == r.label for r in model.transform(table).collect())
+    with pytest.raises(Exception, match="null or NaN feature"):
+        models.make_model("dt", ["a"]).fit(table.withColumn("a", F.when(F.col("a") > 1, F.col("a"))))
