@@ -84,14 +84,19 @@ def _line_sets(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(sets: DataFrame) -> Column:
-    """An array with twice the binary logarithm of each bucket's count, in a long's top byte, as a constant."""
+    """An array with twice the binary logarithm of each bucket's count, as a constant."""
     counts = sets.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
     levels = ["0"] * RARITY_BUCKETS
     for r in counts.collect():  # RARITY_BUCKETS rows at most
-        levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))) << 56)
+        levels[r.b] = str(min(127, int(2 * math.log2(r["count"]))))
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
+def _ordered(rarity: Column, h: Column) -> Column:
+    """The hash with its bucket's level in the top byte: rare ones first."""
+    return F.shiftleft(F.get(rarity, _bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+
 def _parity(words: Column) -> Column:
     """Each word toggles one of 64 bits."""
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
@@ -105,15 +110,12 @@ def _keyed(sets: DataFrame, rarity: Column, t: float) -> DataFrame:
     ``odd_bits`` is the parity of about half of the words, of long sets only.
     """
 
-    def order(h):
-        return F.get(rarity, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
-
     def key(w):
         return (w.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
     n = F.size("words")
     length = n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
-    rarest = F.slice(F.sort_array(F.transform("words", order)), F.lit(1), length)
+    rarest = F.slice(F.sort_array(F.transform("words", lambda h: _ordered(rarity, h))), F.lit(1), length)
     odd = _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0))
     return sets.select(
         *_PLACE, "set1", "set2", n.alias("n"), _parity(F.col("words")).alias("all_bits"),

@@ -244,6 +244,48 @@ def test_pipeline_keeps_one_of_each_group_of_near_copies(spark, documents):
     assert 24 < len(first) < len(texts) - 30
 
 
+def _met_words(copies):
+    """Texts of which half is one common passage, with a near copy each of a few, and short ones of it alone."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(copies):
+        own = [f"w{i}x{j}" for j in range(60)]
+        texts.append(" ".join(own + passage))
+        if i % 10 == 0:
+            texts.append(" ".join(own[3:] + passage))
+    return texts + [" ".join(passage[i : i + 30]) for i in range(0, 30, 3)]
+
+
+@pytest.mark.parametrize("dense, spare", [(16, 8), (2, 8), (1, 0), (10**6, 8)])
+def test_near_copies_are_the_same_whatever_is_dense(spark, documents, monkeypatch, dense, spare):
+    from lexidom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    monkeypatch.setattr(near_copies, "SPARE", spare)
+    test_pipeline_keeps_one_of_each_group_of_near_copies(spark, documents)
+    texts = _met_words(20)
+    sets, first = [brute.shingles(x) for x in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                first = [first[j] if r == first[i] else r for r in first]
+    kept = near_copies.keep_first_alike(documents(texts)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(first)) and len(set(first)) < len(texts)
+
+
+def test_a_passage_of_many_texts_makes_few_pairs(spark, documents, monkeypatch):
+    """Texts that only share a passage are met by other shingles; pairs stay in proportion to the texts."""
+    from lexidom.llm import near_copies
+
+    asked, edges = [], near_copies._edges
+    monkeypatch.setattr(near_copies, "_edges", lambda pairs, *more: asked.append(pairs.count()) or edges(pairs, *more))
+    monkeypatch.setattr(near_copies, "SPARE", 60, raising=False)
+    monkeypatch.setattr(line_dedup, "RARITY_BUCKETS", 1)  # as in large tables, buckets tell nothing of a single shingle
+    texts = [" ".join([f"w{i}x{j}" for j in range(80)] + [f"p{j}" for j in range(120)]) for i in range(60)]
+    assert near_copies.keep_first_alike(documents(texts)).count() == len(texts)
+    assert sum(asked) <= 4 * len(texts)
+
+
 def test_near_copies_of_odd_rows(spark):
     from lexidom.llm.near_copies import keep_first_alike
 
