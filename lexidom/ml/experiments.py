@@ -1,5 +1,7 @@
-"""Model comparisons. Each loops over a few fits on the driver; every fit and
-every evaluation is a distributed job over the (staged) feature table."""
+"""Model comparisons. Each loops over a few fits on the driver; every fit and every
+evaluation is a distributed job. The rows are counted in cells first, for all models of a
+comparison at once, so the feature table is read a fixed number of times; a fit's time
+is that of growing its trees from the cells. The sweep fits and scores the rows themselves."""
 
 from __future__ import annotations
 
@@ -13,7 +15,8 @@ from ..operators.ranking import stratified_folds
 from ..operators.run_reports import paired_t, score_summary
 from ..schema import FEATURES_5, FEATURES_6
 from ..session import stage
-from .models import SEED, evaluate, make_model
+from .forest import Tally, tallied
+from .models import SEED, make_model
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
@@ -23,11 +26,18 @@ def _rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ddl)
 
 
-def _fit_and_score(train: DataFrame, test: DataFrame, **model) -> dict:
+def _counted(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[Tally, Tally]:
+    rows = [df.select("label", *features, F.lit(own).alias("_own")) for df, own in ((train, True), (test, False))]
+    return tallied(rows[0].unionByName(rows[1]), features, [F.col("_own")])[0]
+
+
+def _fit_and_score(train: Tally, test: Tally, **model) -> dict:
+    used = model.get("features", FEATURES_6)
     start = time.perf_counter()
-    fitted = make_model(**model).fit(train)
+    fitted = make_model(**model).grow(train.of(used))
     seconds = time.perf_counter() - start
-    return {**evaluate(fitted, test), "train_time_sec": seconds}
+    scores = binary_metrics(fitted.tested(test.of(used)), count="n").first().asDict()
+    return {**scores, "train_time_sec": seconds}
 
 
 # Seeds of the parts of a forest lie this far apart.
@@ -68,29 +78,28 @@ def hyperparameter_sweep(
 def compare_models(train: DataFrame, test: DataFrame, **options) -> DataFrame:
     """Decision tree against random forest, as model, metric, value."""
     rows = []
+    train, test = _counted(train, test, options.get("features", FEATURES_6))
     for name, kind in (("decision_tree", "dt"), ("random_forest", "rf")):
         scores = _fit_and_score(train, test, model_type=kind, **options)
         rows += [
             {"model": name, "metric": m, "value": float(scores[m])}
             for m in [*METRICS, "tp", "fp", "fn", "tn", "train_time_sec"]
         ]
-    return _rows(train.sparkSession, rows, "model STRING, metric STRING, value DOUBLE")
+    return _rows(train.cells.sparkSession, rows, "model STRING, metric STRING, value DOUBLE")
 
 
 def feature_ablation(
     train: DataFrame, test: DataFrame, feature_names: list[str] = FEATURES_6, **options
 ) -> DataFrame:
-    """Random forests on the first 1, 2, ... features; only those are read."""
+    """Random forests on the first 1, 2, ... features; a forest sees only those."""
     rows = []
+    train, test = _counted(train, test, feature_names)
     for n in range(1, len(feature_names) + 1):
         used = feature_names[:n]
-        scores = _fit_and_score(
-            train.select("label", *used), test.select("label", *used),
-            model_type="rf", features=used, **options,
-        )
+        scores = _fit_and_score(train, test, model_type="rf", features=used, **options)
         rows.append({"n_features": n, "features_used": used, **scores})
     return _rows(
-        train.sparkSession, rows,
+        train.cells.sparkSession, rows,
         "n_features INT, features_used ARRAY<STRING>, accuracy DOUBLE, f1 DOUBLE",
     )
 
@@ -98,11 +107,12 @@ def feature_ablation(
 def compare_feature_sets(train: DataFrame, test: DataFrame, **options) -> DataFrame:
     """Six features against five, on one split."""
     rows = []
+    train, test = _counted(train, test, FEATURES_6)
     for used in (FEATURES_6, FEATURES_5):
         scores = _fit_and_score(train, test, model_type="rf", features=used, **options)
         rows.append({"config": f"{len(used)}_features", "n_features": len(used), **scores})
     return _rows(
-        train.sparkSession, rows,
+        train.cells.sparkSession, rows,
         "config STRING, n_features INT, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, "
         "f1 DOUBLE, train_time_sec DOUBLE",
     )
@@ -119,9 +129,9 @@ def _fold_scores(
             raise ValueError(f"fold must hold 0 to {n_splits - 1}")
     else:
         folds = stage(stratified_folds(features, n_splits, keys=keys, seed=seed), "folds")
+    used = list(dict.fromkeys(c for model in models.values() for c in model.get("features", FEATURES_6)))
     rows = []
-    for i in range(n_splits):
-        train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+    for i, (train, test) in enumerate(tallied(folds, used, [F.col("fold") != i for i in range(n_splits)])):
         for name, model in models.items():
             scores = _fit_and_score(train, test, **model)
             rows.append({"fold": i, "model": name, "fit_time": scores["train_time_sec"], **scores})

@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 
@@ -29,18 +29,28 @@ CELLS, MOST_CELLS = 20_000, 1_000_000
 _SPLITS = "tree INT, node INT, feature INT, cut INT, left0 BIGINT, left1 BIGINT, right0 BIGINT, right1 BIGINT"
 
 
+def _limits_of(rows: DataFrame, features: list[str], parts: list[Column]) -> list[list[np.ndarray]]:
+    """Per part of the rows, upper limits of all bins but the last: every value where they are few, else
+    quantiles of all its rows. All parts are summed up in the same passes."""
+    of = lambda i, c: F.when(parts[i], F.col(c).cast("double"))
+    places = [(i, c) for i in range(len(parts)) for c in features]
+    steps = [j / BINS for j in range(1, BINS)]
+    found = rows.agg(
+        *[F.percentile_approx(of(i, c), steps, 1000).alias(f"q{i}_{c}") for i, c in places],
+        *[F.approx_count_distinct(of(i, c), 0.02).alias(f"k{i}_{c}") for i, c in places],
+    ).first().asDict()
+    limits = {(i, c): found[f"q{i}_{c}"] or [] for i, c in places}
+    few = [(i, c) for i, c in places if found[f"k{i}_{c}"] <= 2 * BINS]
+    if few:
+        sets = rows.agg(*[F.collect_set(of(i, c)).alias(f"v{i}_{c}") for i, c in few]).first().asDict()
+        for i, c in few:
+            if len(sets[f"v{i}_{c}"]) <= BINS:
+                limits[i, c] = sorted(sets[f"v{i}_{c}"])[:-1]
+    return [[np.unique(np.array(limits[i, c], "float64")) for c in features] for i in range(len(parts))]
+
+
 def _limits(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
-    """Upper limits of all bins but the last: every value where they are few, else quantiles of all rows."""
-    kinds = rows.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in features]).first()
-    quantiles = rows.approxQuantile(features, [i / BINS for i in range(1, BINS)], 0.001)
-    limits = []
-    for c, found in zip(features, quantiles):
-        if kinds[c] <= 2 * BINS:
-            values = [r[0] for r in rows.select(c).distinct().limit(BINS + 1).collect()]
-            if len(values) <= BINS:
-                found = sorted(v for v in values if v is not None)[:-1]
-        limits.append(np.unique(np.array(found, "float64")))
-    return limits
+    return _limits_of(rows, features, [F.lit(True)])[0]
 
 
 def _bins(columns, limits: list[np.ndarray]) -> np.ndarray:
@@ -54,21 +64,83 @@ def _bins(columns, limits: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def _packed(batch: pd.DataFrame, features: list[str], limits: list[np.ndarray]) -> np.ndarray:
+    """The bins and the label of each row in one number."""
+    cell = batch["label"].to_numpy("int64")
+    for i, x in enumerate(_bins([batch[c] for c in features], limits).T):
+        cell = cell | (x.astype("int64") << (1 + BITS * i))
+    return cell
+
+
+def _unpacked(cell: np.ndarray, n_features: int) -> np.ndarray:
+    return np.stack([(cell >> (1 + BITS * i)) & (BINS - 1) for i in range(n_features)], 1).astype("uint8")
+
+
 def _cells(rows: DataFrame, features: list[str], limits: list[np.ndarray]) -> DataFrame:
     """cell, n: the bins and the label in one number, and its rows."""
     def packed(batches):
         for b in batches:
             if len(b):
-                cell = b["label"].to_numpy("int64")
-                for i, x in enumerate(_bins([b[c] for c in features], limits).T):
-                    cell = cell | (x.astype("int64") << (1 + BITS * i))
-                cell, n = np.unique(cell, return_counts=True)
+                cell, n = np.unique(_packed(b, features, limits), return_counts=True)
                 yield pd.DataFrame({"cell": cell, "n": n})
 
     parts = rows.select("label", *features).mapInPandas(packed, "cell BIGINT, n BIGINT")
     return parts.groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+class Tally:
+    """Rows counted in cells (cell, n) of the bins of ``features``."""
+
+    def __init__(self, features: list[str], limits: list[np.ndarray], cells: DataFrame):
+        if 1 + BITS * len(features) > 63:
+            raise ValueError("too many features for one cell number")
+        self.features, self.limits, self.cells = list(features), limits, cells
+
+    def of(self, features: list[str]) -> Tally:
+        """The same rows, counted by some of the features."""
+        if list(features) == self.features:
+            return self
+        places = [self.features.index(c) for c in features]
+        code = F.col("cell").bitwiseAND(F.lit(1))
+        for i, place in enumerate(places):
+            x = F.shiftright("cell", 1 + BITS * place).bitwiseAND(F.lit(BINS - 1))
+            code = code.bitwiseOR(F.shiftleft(x, 1 + BITS * i))
+        cells = self.cells.groupBy(code.alias("cell")).agg(F.sum("n").alias("n"))
+        return Tally(features, [self.limits[i] for i in places], cells)
+
+
+def tallied(rows: DataFrame, features: list[str], parts: list[Column]) -> list[tuple[Tally, Tally]]:
+    """Per part, the tallies of its rows and of all other rows, both by the part's own limits.
+
+    The rows are read for the limits and for the cells of all parts at once, so a
+    comparison reads them a fixed number of times, however many models it fits.
+    """
+    Tally(features, [], rows)  # refuses too many features
+    limits = _limits_of(rows, features, parts)
+    mark = F.lit(0).cast("bigint")
+    for i, part in enumerate(parts):
+        mark = mark.bitwiseOR(F.when(part, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+
+    def packed(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            mark = b["_parts"].to_numpy("int64")
+            for i, limit in enumerate(limits):
+                own = (mark >> i) & 1
+                code, n = np.unique(_packed(b, features, limit) * 2 + own, return_counts=True)
+                yield pd.DataFrame({"part": i, "own": code & 1 == 1, "cell": code >> 1, "n": n})
+
+    counts = rows.select("label", *features, mark.alias("_parts")).mapInPandas(
+        packed, "part INT, own BOOLEAN, cell BIGINT, n BIGINT"
+    )
+    table = stage(counts.groupBy("part", "own", "cell").agg(F.sum("n").alias("n")), "cells")
+    tally = lambda i, own: Tally(
+        features, limits[i], table.where((F.col("part") == i) & (F.col("own") == own)).select("cell", "n")
+    )
+    return [(tally(i, True), tally(i, False)) for i in range(len(parts))]
+
+
 def _uniform(cell: np.ndarray, seed: int) -> np.ndarray:
     """A number from [0, 1) per cell (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -138,7 +210,7 @@ def _level(cells: DataFrame, trees, opened, chosen, depth: int, n_features: int,
             return
         cell, n = (np.concatenate(c) for c in zip(*held))
         label, draw = cell & 1, poisson(n) if bootstrap else None
-        x = np.stack([(cell >> (1 + BITS * i)) & (BINS - 1) for i in range(n_features)], 1).astype("uint8")
+        x = _unpacked(cell, n_features)
         for t, nodes in enumerate(opened):
             if not len(nodes):
                 continue
@@ -183,6 +255,14 @@ def _level(cells: DataFrame, trees, opened, chosen, depth: int, n_features: int,
     return parts.groupBy("tree").applyInPandas(best, _SPLITS).toPandas()
 
 
+def _votes(trees: list[Tree], x: np.ndarray, depth: int) -> np.ndarray:
+    """The trees' votes for class 1, each a share."""
+    one = np.zeros(len(x))
+    for tree in trees:
+        one += tree.share[tree.walk(x, depth)]
+    return one
+
+
 class ForestModel:
     def __init__(self, features: list[str], limits: list[np.ndarray], trees: list[Tree], depth: int):
         self.features, self.limits, self.trees, self.depth = features, limits, trees, depth
@@ -193,9 +273,7 @@ class ForestModel:
 
         def votes(*columns: pd.Series) -> pd.Series:
             x = _bins(columns, limits)
-            one = np.zeros(len(x))
-            for tree in trees:
-                one += tree.share[tree.walk(x, depth)]
+            one = _votes(trees, x, depth)
             return pd.Series(list(np.stack([len(trees) - one, one], 1)))
 
         voted = F.pandas_udf(votes, "array<double>")
@@ -205,6 +283,19 @@ class ForestModel:
             "prediction": (F.get("_forest_votes", F.lit(1)) > F.get("_forest_votes", F.lit(0))).cast("double"),
         }).drop("_forest_votes")
 
+    def tested(self, tally: Tally) -> DataFrame:
+        """label, prediction, n: the rows of a tally by this model's bins; a tie is class 0."""
+        trees, depth, k = self.trees, self.depth, len(self.features)
+        if tally.features != self.features:
+            raise ValueError("the tally has other features than the model")
+
+        def predicted(cells: pd.Series) -> pd.Series:
+            one = _votes(trees, _unpacked(cells.to_numpy(), k), depth)
+            return pd.Series((one > len(trees) - one).astype("int32"))
+
+        label = F.col("cell").bitwiseAND(F.lit(1)).cast("int")
+        return tally.cells.select(label.alias("label"), F.pandas_udf(predicted, "int")("cell").alias("prediction"), "n")
+
 
 class Forest:
     """Grows ``n_estimators`` trees of at most ``max_depth`` levels; a node looks at the square root of the features.
@@ -221,11 +312,17 @@ class Forest:
 
     def fit(self, rows: DataFrame) -> ForestModel:
         limits = _limits(rows, self.features)
-        cells = stage(_cells(rows, self.features, limits), "cells")
+        return self.grow(Tally(self.features, limits, stage(_cells(rows, self.features, limits), "cells")))
+
+    def grow(self, tally: Tally) -> ForestModel:
+        """The model of rows that are counted already."""
+        if tally.features != self.features:
+            raise ValueError("the tally has other features than the model")
+        limits, cells = tally.limits, tally.cells
         n = cells.count()
         if not n:
             raise ValueError("no rows to learn from")
-        cores = rows.sparkSession.sparkContext.defaultParallelism
+        cores = cells.sparkSession.sparkContext.defaultParallelism
         cells = stage(cells.repartition(max(min(cores, -(-n // CELLS)), -(-n // MOST_CELLS)), "cell"), "cells")
         seeds = np.random.SeedSequence(self.seed).generate_state(self.n_estimators, "uint64").tolist()
         trees = [Tree() for _ in seeds]

@@ -236,3 +236,41 @@ def test_plain_tree_takes_the_best_split_and_null_features_fail(spark):
     assert all(r.prediction == r.label for r in model.transform(table).collect())
     with pytest.raises(Exception, match="null or NaN feature"):
         models.make_model("dt", ["a"]).fit(table.withColumn("a", F.when(F.col("a") > 1, F.col("a"))))
+
+
+def test_comparisons_read_the_rows_a_fixed_number_of_times(spark, world):
+    """Cells give the scores that fits on the rows give, and more folds or models read no more rows."""
+    _, _, features, _, _ = world
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+
+    def reads(n_splits, run):
+        folds = stage(stratified_folds(features, n_splits)).withColumn("length", seen("length"))
+        before = read.value
+        rows = run(folds, n_splits, max_depth=4).collect()
+        return (read.value - before) / features.count(), rows
+
+    few, scores = reads(3, lambda *a, **o: experiments.cross_validate(a[0], "rf", a[1], n_estimators=3, **o))
+    more, _ = reads(5, lambda *a, **o: experiments.paired_feature_sets(*a, n_estimators=3, **o))
+    assert few == more <= 3
+    folds = stage(stratified_folds(features, 3))
+    for r in scores:
+        fitted = models.make_model("rf", n_estimators=3, max_depth=4).fit(folds.where(F.col("fold") != r.fold))
+        plain = models.evaluate(fitted, folds.where(F.col("fold") == r.fold))
+        assert (r.accuracy, r.f1) == pytest.approx((plain["accuracy"], plain["f1"]), abs=0.02)
+
+
+def test_a_tally_of_some_features_counts_the_same_rows(world):
+    _, _, features, _, _ = world
+    used = [FEATURES_6[4], FEATURES_6[1]]
+    ((own, other),) = forest.tallied(features, FEATURES_6, [F.col("label") == 1])
+    assert other.cells.where("cell & 1 = 1").isEmpty() and own.cells.where("cell & 1 = 0").isEmpty()
+    cells = {r.cell: r.n for r in own.of(used).cells.collect()}
+    limits = [own.limits[4], own.limits[1]]
+    assert cells == {r.cell: r.n for r in forest._cells(features.where("label = 1"), used, limits).collect()}
+    with pytest.raises(ValueError, match="other features"):
+        models.make_model("rf", used).grow(own)
