@@ -42,6 +42,16 @@ def fold_lines(lines: DataFrame, order: str, line_col: str = "value") -> DataFra
     return lines.groupBy(line_col).agg(F.min(order).alias(order))
 
 
+def count_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """domain, threat, label and n, the log's lines with that record, however they are spelled.
+
+    The log is read once: no line needs its place. Equal lines are folded before they are
+    parsed, those of a task before they are shuffled.
+    """
+    lines = spark.read.text(path).groupBy("value").agg(F.count("*").alias("_lines"))
+    return parse_lines(lines).groupBy("domain", "threat", "label").agg(F.sum("_lines").alias("n"))
+
+
 def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan plain or compressed JSON lines into domain, threat, label, ord.
 

@@ -111,3 +111,17 @@ def test_whole_documents_without_a_schema(spark, tmp_path):
         ("E6", "dt", "acc"): 0.5, ("E6", "rf", "acc"): 1.0, ("base", None, None): 7.25,
         ("E9", None, None): "[]", ("none", None, None): None,
     }
+
+
+def test_counted_log_folds_lines_before_the_parse_and_reads_them_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lines = ['{"domain":"A.de","threat":"dga"}'] * 3 + ['  {"domain":"A.de", "threat":"dga"}\t', "# c", "", "{bad"] * 2
+    lines += ['{"domain":"A.de","threat":"x"}', '{"domain":"","threat":"dga"}', '{"domain":"b"}']
+    df = spark.createDataFrame([(v,) for v in lines], "value STRING")
+    raw_log.write_raw_log(df.repartition(3), path)
+    counted = raw_log.count_raw_log(spark, path)
+    assert sorted(tuple(r) for r in counted.collect()) == [("A.de", "dga", 1, 5), ("A.de", "x", 0, 1)]
+    read = raw_log.read_raw_log(spark, path).groupBy("domain", "threat", "label").count()
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, counted.collect()))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.index("from_json") < plan.index("Aggregate [value")
