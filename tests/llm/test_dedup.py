@@ -298,3 +298,25 @@ def test_near_copies_of_odd_rows(spark):
         [(3, "A b, c d e f g"), (7, "x y z"), (None, "p q r s"), (8, "")], key=str
     )
     assert keep_first_alike(df.limit(0)).count() == 0
+
+
+def test_texts_of_the_same_repeats_are_near_copies(documents):
+    """Most of a text is one passage again and again, which its set of shingles does not show."""
+    from lexidom.llm.near_copies import keep_first_alike
+
+    passage = " ".join(VOCABULARY[:7]) + " "
+    own = [" ".join(f"x{i}y{j}" for j in range(30)) for i in range(4)]
+    texts = [own[3], *(passage * 200 + x for x in own[:3]), passage * 2 + own[2]]  # the last has the set of the one before
+    assert len({fingerprint(x.encode(), 5) for x in texts[1:4]}) == 1
+    kept = keep_first_alike(documents(texts)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1]
+
+
+def test_fingerprints_that_are_close_by_chance_join_no_texts(documents):
+    """A text of two shingles has a bit only where both have it, so it can be next to the wordless one."""
+    from lexidom.llm.near_copies import keep_first_alike
+
+    texts = ["", "w63 w57 w84 w40 w95 w96", "w92 w58 w52 w26 w27 w78", "!!"]
+    assert [fingerprint(x.encode(), 5).bit_count() for x in texts[:3]] == [0, 2, 2]
+    kept = keep_first_alike(documents(texts)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 2]
